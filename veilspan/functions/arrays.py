@@ -4,12 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SPAN_FIELDS, SPANS
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it appears.
+
+    Inside lambdas Spark evaluates an expression at every mention, so anything costlier than a
+    column reference is bound to a lambda variable first.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def each(df: DataFrame, items: str | Column, *keep: str, name: str = "s", position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    A plain ``explode`` of a computed column makes the optimizer add a size filter and push it,
+    with the whole computation inlined, down to the scan.  The outer form does not.
+    """
+    spread = F.posexplode_outer(items).alias(position, name) if position else F.explode_outer(items).alias(name)
+    return df.select(*keep, spread).where(F.col(name).isNotNull())
+
+
 def make_span(**values: Column) -> Column:
     """A span struct with every field of the span schema (missing ones null)."""
     return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in SPAN_FIELDS])

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
+from .arrays import bind
 from .finditer import char_slice, contains_match, full_match, unicode_regex
 
 
@@ -30,26 +31,30 @@ def _weighted(digits: Column, weights: list[int]) -> Column:
 
 
 def luhn_ok(text: Column) -> Column:
-    d = digits_of(text)
-    n = F.size(d)
-
     def doubled(x: Column) -> Column:
         return F.when(x > 4, x * 2 - 9).otherwise(x * 2)
 
-    parts = F.transform(d, lambda x, i: F.when(i % 2 == n % 2, doubled(x)).otherwise(x))
-    return (n >= 12) & (F.aggregate(parts, F.lit(0), lambda a, x: a + x) % 10 == 0)
+    def ok(d: Column) -> Column:
+        parts = F.transform(d, lambda x, i: F.when(i % 2 == F.size(d) % 2, doubled(x)).otherwise(x))
+        return (F.size(d) >= 12) & (F.aggregate(parts, F.lit(0), lambda a, x: a + x) % 10 == 0)
+
+    return bind(digits_of(text), ok)
 
 
 def resident_ok(text: Column) -> Column:
-    d = digits_of(text)
-    check = (11 - _weighted(d, [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]) % 11) % 10
-    return F.when(F.size(d) == 13, check == d[12]).otherwise(False)
+    def ok(d: Column) -> Column:
+        check = (11 - _weighted(d, [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]) % 11) % 10
+        return F.when(F.size(d) == 13, check == F.get(d, F.lit(12))).otherwise(False)
+
+    return bind(digits_of(text), ok)
 
 
 def business_ok(text: Column) -> Column:
-    d = digits_of(text)
-    total = _weighted(d, [1, 3, 7, 1, 3, 7, 1, 3, 5]) + F.floor(d[8] * 5 / 10)
-    return F.when(F.size(d) == 10, (10 - total % 10) % 10 == d[9]).otherwise(False)
+    def ok(d: Column) -> Column:
+        total = _weighted(d, [1, 3, 7, 1, 3, 7, 1, 3, 5]) + F.floor(F.get(d, F.lit(8)) * 5 / 10)
+        return F.when(F.size(d) == 10, (10 - total % 10) % 10 == F.get(d, F.lit(9))).otherwise(False)
+
+    return bind(digits_of(text), ok)
 
 
 def email_allowed(address: Column, allow: Iterable[str] = (), deny: Iterable[str] = ()) -> Column:

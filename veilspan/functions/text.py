@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import lexicon as L
-from .finditer import FENCE, char_slice, fenced, find_all, replace_all, split_on, unicode_regex
+from .arrays import bind
+from .finditer import FENCE, char_slice, fence_free, find_all, replace_all, split_on, unicode_regex
 
 # Characters that NFKC leaves alone wherever they stand; any other character sends the row to
 # the one Python function of the package.
@@ -59,7 +60,8 @@ def normalize_text(text: Column, use_nfkc: bool = True) -> Column:
 
 
 def _redact_one(text: Column, pattern: str) -> Column:
-    pieces = F.split(fenced(text, pattern), FENCE, -1)
+    # the text is an expression here: mention it once, so that the chain stays linear
+    pieces = F.split(F.regexp_replace(text, unicode_regex(pattern), FENCE + "$0" + FENCE), FENCE, -1)
     blanked = F.transform(
         pieces, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"[\p{L}\p{N}]", "X")).otherwise(p))
     return F.array_join(blanked, "")
@@ -67,7 +69,7 @@ def _redact_one(text: Column, pattern: str) -> Column:
 
 def redact(text: Column) -> Column:
     """Length-preserving redaction: letters and digits of every hit become ``X``."""
-    out = text
+    out = fence_free(text)
     for _, pattern in L.REDACTION_BANK:
         out = _redact_one(out, pattern)
     return out
@@ -83,7 +85,7 @@ def _clean(parts: Column) -> Column:
 
 
 def _or_whole(parts: Column, text: Column) -> Column:
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
 
 
 def sentences(text: Column) -> Column:
@@ -105,14 +107,17 @@ def bare_sentences(text: Column) -> Column:
 def sentence_batches(text: Column, size: int = L.SENTENCES_PER_BATCH) -> Column:
     """Texts of ``size`` consecutive terminated sentences (raw, unterminated tail dropped)."""
     found = F.regexp_extract_all(text, F.lit("[^.!?]*[.!?]+"), F.lit(0))
-    starts = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.lit(size)))
-    batches = F.transform(starts, lambda i: F.array_join(F.slice(found, i, F.lit(size)), ""))
-    return F.coalesce(batches, F.array().cast("array<string>"))
+
+
+    def batches(all_: Column) -> Column:
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(size)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(all_, i, F.lit(size)), ""))
+
+    return F.coalesce(bind(found, batches), F.array().cast("array<string>"))
 
 
 def ensure_terminator(text: Column) -> Column:
-    t = strip(text)
-    return F.when((t == "") | t.rlike(r"[.!?]\z"), t).otherwise(F.concat(t, F.lit(".")))
+    return bind(strip(text), lambda t: F.when((t == "") | t.rlike(r"[.!?]\z"), t).otherwise(F.concat(t, F.lit("."))))
 
 
 def join_pieces(texts: Column) -> Column:
@@ -148,8 +153,7 @@ def word_count(text: Column) -> Column:
 def line_count(text: Column) -> Column:
     """Number of lines; a trailing line break does not open another line."""
     breaks = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
-    n = F.size(breaks)
-    return F.when(F.element_at(breaks, -1) == "", n - 1).otherwise(n)
+    return bind(breaks, lambda b: F.when(F.element_at(b, -1) == "", F.size(b) - 1).otherwise(F.size(b)))
 
 
 def preservation_rate(before: Column, after: Column) -> Column:
@@ -185,12 +189,16 @@ def fix_double_particles(text: Column) -> Column:
     return out
 
 
+def _log_entries(current: Column, doubled: str, single: str) -> Column:
+    return F.transform(bind(current, lambda t: find_all(t, doubled)), lambda m: F.struct(
+        F.lit("duplicate").alias("type"), F.lit(doubled).alias("original"), F.lit(single).alias("corrected"),
+        F.lit(1.0).alias("confidence"), m["start"].alias("position")))
+
+
 def double_particle_log(text: Column) -> Column:
     """What :func:`fix_double_particles` changes; positions are in the text edited so far."""
     logs, current = [], text
     for doubled, single in L.DOUBLE_PARTICLES:
-        logs.append(F.transform(find_all(current, doubled), lambda m, d=doubled, s=single: F.struct(
-            F.lit("duplicate").alias("type"), F.lit(d).alias("original"), F.lit(s).alias("corrected"),
-            F.lit(1.0).alias("confidence"), m["start"].alias("position"))))
+        logs.append(_log_entries(current, doubled, single))
         current = F.replace(current, F.lit(doubled), F.lit(single))
     return F.concat(*logs)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import checks
-from ..functions.arrays import change, final_label, lookup, make_span, no_spans
+from ..functions.arrays import bind, change, each, final_label, lookup, make_span, no_spans
 from ..functions.finditer import (char_slice, contains_match, find_all, find_literal, full_match, unicode_regex)
 from ..functions.text import normalize_text
 from . import overlap
@@ -91,13 +91,15 @@ def keyword_vote(context: Column) -> Column:
         hits = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(context, w))
         votes.append(F.struct(F.size(hits).alias("n"), F.lit(-rank).alias("rank"),
                               F.lit(subtype).alias("subtype"), F.get(hits, F.lit(0)).alias("first")))
-    tally = F.array(*votes)
-    best = F.array_max(tally)
-    keyword = F.get(F.filter(F.transform(tally, lambda v: v["first"]), lambda w: w.isNotNull()), F.lit(0))
-    return F.when(best["n"] > 0, F.struct(
-        best["subtype"].alias("subtype"),
-        F.least(F.lit(1.0), F.lit(0.6) + F.lit(0.1) * best["n"]).alias("score"),
-        keyword.alias("keyword")))
+
+    def winner(tally: Column) -> Column:
+        keyword = F.get(F.filter(F.transform(tally, lambda v: v["first"]), lambda w: w.isNotNull()), F.lit(0))
+        return bind(F.array_max(tally), lambda best: F.when(best["n"] > 0, F.struct(
+            best["subtype"].alias("subtype"),
+            F.least(F.lit(1.0), F.lit(0.6) + F.lit(0.1) * best["n"]).alias("score"),
+            keyword.alias("keyword"))))
+
+    return bind(F.array(*votes), winner)
 
 
 def span_context(text: Column, span: Column, reach: int = L.CONTEXT_REACH) -> Column:
@@ -119,8 +121,7 @@ def _refine_number(text: Column, span: Column) -> Column:
             label_adjusted=F.when(v["subtype"] == "계좌번호", "금융").otherwise("번호"),
         )).otherwise(change(span, label_adjusted=F.lit("번호")))
 
-    # a one-element array binds the vote once for its three uses
-    by_context = F.get(F.transform(F.array(keyword_vote(span_context(text, span))), voted), F.lit(0))
+    by_context = bind(bind(span_context(text, span), keyword_vote), voted)
     return (
         F.when(contains_match(around, L.NEAR_PHONE), fixed("전화번호", 0.95))
         .when(contains_match(snippet, L.NEAR_IP), fixed("IP", 0.90))
@@ -209,13 +210,13 @@ def proper_noun_spans(text: Column, tokens: Column) -> Column:
 
 def supplementary_spans(text: Column) -> Column:
     """The second bank: no checksums, score 0.85."""
-    groups = []
-    for name, pattern, label, subtype in L.SUPPLEMENTARY_BANK:
+    def hits(name: str, pattern: str, label: str, subtype: str) -> Column:
         found = find_all(text, pattern, _gate(name, text, {}), ignore_case=True)
-        groups.append(F.transform(found, lambda m, lab=label, sub=subtype: make_span(
-            start=m["start"], end=m["end"], text=m["text"], label=F.lit(lab), subtype=F.lit(sub),
-            score=F.lit(L.SUPPLEMENTARY_SCORE), source=F.lit("regex"))))
-    return F.concat(*groups)
+        return F.transform(found, lambda m: make_span(
+            start=m["start"], end=m["end"], text=m["text"], label=F.lit(label), subtype=F.lit(subtype),
+            score=F.lit(L.SUPPLEMENTARY_SCORE), source=F.lit("regex")))
+
+    return F.concat(*[hits(*entry) for entry in L.SUPPLEMENTARY_BANK])
 
 
 def primary_and_supplementary(text: Column, primary: Column, primary_source: str = "ner") -> Column:
@@ -281,7 +282,7 @@ def detect_all(df: DataFrame, text: str = "text", out: str = "spans", prediction
 
 def explode_spans(df: DataFrame, spans: str, *keep: str) -> DataFrame:
     """One row per span with its position ``ord`` in the array."""
-    return df.select(*keep, F.posexplode(spans).alias("ord", "span")).select(*keep, "ord", "span.*")
+    return each(df, spans, *keep, name="span", position="ord").select(*keep, "ord", "span.*")
 
 
 def label_of(spans: Column) -> Column:

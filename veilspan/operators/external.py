@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.arrays import change, final_label, lookup, make_span, no_spans
+from ..functions.arrays import bind, change, each, final_label, lookup, make_span, no_spans
 from ..functions.checks import clip_confidence
 from ..functions.finditer import char_slice
 from ..functions.text import context_slice, redact, strip
@@ -48,7 +48,7 @@ def _morpheme_offsets(sentence: Column, morphemes: Column) -> Column:
             return F.when(p >= 0, F.struct((p + F.length(lemma)).alias("at"), F.array_append(acc["out"], F.struct(
                 m["id"].alias("id"), p.alias("start"), (p + F.length(lemma)).alias("end"))).alias("out"))).otherwise(acc)
 
-        return F.get(F.transform(F.array(_find(sentence, lemma, acc["at"])), placed), F.lit(0))
+        return bind(_find(sentence, lemma, acc["at"]), placed)
 
     return F.aggregate(F.coalesce(morphemes, F.array().cast("array<struct<id:int,lemma:string>>")), begin, step, lambda a: a["out"])
 
@@ -77,7 +77,7 @@ def ner_spans(text: Column, sentences: Column, source: str = "ner") -> Column:
                              subtype=kind["subtype"], score=F.lit(L.NER_SCORE), source=F.lit(source), keyword=e["type"])
 
         known = F.filter(s["NE"], lambda e: ner_label(e["type"]).isNotNull())
-        return F.filter(F.flatten(F.transform(F.array(morphemes), lambda ms: F.transform(known, lambda e: entity(e, ms)))),
+        return F.filter(bind(morphemes, lambda ms: F.transform(known, lambda e: entity(e, ms))),
                         lambda x: x["start"].isNotNull())
 
     def step(acc: Column, s: Column) -> Column:
@@ -86,7 +86,7 @@ def ner_spans(text: Column, sentences: Column, source: str = "ner") -> Column:
                 (p + F.length(s["text"])).alias("at"),
                 F.concat(acc["out"], F.coalesce(of_sentence(s, p, acc["at"]), no_spans())).alias("out"))).otherwise(acc)
 
-        return F.get(F.transform(F.array(_find(text, s["text"], acc["at"])), placed), F.lit(0))
+        return bind(_find(text, s["text"], acc["at"]), placed)
 
     return F.coalesce(F.aggregate(sentences, begin, step, lambda a: a["out"]), no_spans())
 
@@ -119,7 +119,7 @@ def review_windows(df: DataFrame, *keep: str, text: str = "text", size: int = L.
 
 def review_items(df: DataFrame, *keep: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """Redacted review items, one row per valid span; ``id`` is the span's position."""
-    rows = df.select(*keep, text, F.posexplode(spans).alias("ord", "s")).where(
+    rows = each(df, spans, *keep, text, position="ord").where(
         (F.col("s.start") >= 0) & (F.col("s.start") < F.col("s.end")) & (F.col("s.end") <= F.length(text)))
     raw = rows.select(*keep, F.col("ord").cast("string").alias("id"), char_slice(F.col(text), F.col("s.start"), F.col("s.end")).alias("_span"),
                       context_slice(F.col(text), F.col("s.start"), F.col("s.end")).alias("_context"),
@@ -173,10 +173,9 @@ def checked_additions(text: Column, additions: Column, windows_used: Column) ->
 
 def decided_spans(spans: Column, decisions: Column) -> Column:
     """Spans kept by a decision, relabelled, in decision order."""
-    table = F.map_from_entries(F.transform(spans, lambda s, i: F.struct(i.cast("string"), s)))
-
     def apply(d: Column) -> Column:
-        s = F.element_at(table, d["id"])
+        index = F.when(d["id"].rlike(r"\A(0|[1-9][0-9]*)\z"), d["id"]).try_cast("int")
+        s = F.get(spans, index)
         label = F.coalesce(d["label"], strict_label(final_label(s)))
         return F.when(d["keep"] & s.isNotNull() & label.isNotNull(), change(
             s, label_adjusted=label, subtype=d["subtype"],
@@ -196,7 +195,7 @@ def apply_verdicts(text: Column, spans: Column, response: Column) -> Column:
     additions = F.coalesce(response["additions"], F.array().cast(
         "array<struct<win_id:string,start_rel:string,end_rel:string,label:string,subtype:string,reason:string,confidence:string>>"))
     reviewed = F.concat(decided_spans(spans, decisions), checked_additions(text, additions, needs_windows(text, spans)))
-    chosen = F.get(F.transform(F.array(reviewed), lambda r: F.when(F.size(r) > 0, r).otherwise(spans)), F.lit(0))
+    chosen = bind(reviewed, lambda r: F.when(F.size(r) > 0, r).otherwise(spans))
     return resolve_verdicts(F.when(response.isNull(), spans).otherwise(chosen), F.length(text))
 
 

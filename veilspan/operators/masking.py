@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.arrays import final_label, sort_stable
+from ..functions.arrays import bind, final_label, sort_stable
 from ..functions.finditer import char_slice
 from ..schemas import RECORD, RULES
 from . import overlap
@@ -70,9 +70,8 @@ def apply_records(text: Column, recs: Column) -> Column:
 
 
 def label_counts(recs: Column) -> Column:
-    labels = F.transform(recs, lambda r: r["label"])
-    return F.map_from_entries(F.transform(F.array_distinct(labels), lambda lab: F.struct(
-        lab, F.size(F.filter(labels, lambda x: x == lab)))))
+    return F.map_from_entries(bind(F.transform(recs, lambda r: r["label"]), lambda labels: F.transform(
+        F.array_distinct(labels), lambda lab: F.struct(lab, F.size(F.filter(labels, lambda x: x == lab))))))
 
 
 def mask(df: DataFrame, text: str = "text", spans: str = "spans", rules: dict[str, Any] | Column | None = None,

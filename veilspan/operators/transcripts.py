@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
+from ..functions.arrays import bind
 from ..functions.clocks import minute_clock, subtitle_clock
 from ..functions.text import bare_sentences, sentences, squeeze, strip, terminated_sentences, words
 from ..plans.chain import landed
@@ -40,27 +41,28 @@ def _whole(text: Column, start: Column, end: Column) -> Column:
 
 def share_by_characters(text: Column, start: Column, end: Column, merged: Column) -> Column:
     """Sentences of a merged chunk share its time by their characters; other chunks stay whole."""
-    parts = sentences(text)
-    total = F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
-    rate = F.when(total > 0, (end - start) / total).otherwise(F.lit(0.0))
-    return F.when(merged & (F.size(parts) > 1), _spread(parts, start, rate, end)).otherwise(_whole(text, start, end))
+    def share(parts: Column) -> Column:
+        total = F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+        rate = F.when(total > 0, (end - start) / total).otherwise(F.lit(0.0))
+        return bind(rate, lambda r: F.when(merged & (F.size(parts) > 1), _spread(parts, start, r, end)).otherwise(
+            _whole(text, start, end)))
+
+    return bind(sentences(text), share)
 
 
 def share_of_whole(text: Column, start: Column, end: Column, merged: Column) -> Column:
     """Variant: terminated sentences, share relative to the whole text, no clipping."""
-    parts = terminated_sentences(text)
     rate = (end - start) / F.length(text)
-    return F.when(merged & (F.size(parts) > 1), _spread(parts, start, rate, None)).otherwise(_whole(text, start, end))
+    return bind(terminated_sentences(text), lambda parts: F.when(
+        merged & (F.size(parts) > 1), _spread(parts, start, rate, None)).otherwise(_whole(text, start, end)))
 
 
 def share_evenly(text: Column, duration: Column | None = None) -> Column:
     """Fallback: equal time per sentence over the recording's duration."""
-    parts = bare_sentences(text)
     total = F.lit(L.FALLBACK_DURATION) if duration is None else F.coalesce(duration, F.lit(L.FALLBACK_DURATION))
-    each = total / F.size(parts)
-    return F.when(F.size(parts) > 0, F.transform(parts, lambda p, i: F.struct(
-        p.alias("text"), (i * each).alias("start_time"), ((i + 1) * each).alias("end_time")))).otherwise(
-        F.array()).cast(SENTENCES)
+    return bind(bare_sentences(text), lambda parts: F.transform(parts, lambda p, i: F.struct(
+        p.alias("text"), (i * (total / F.size(parts))).alias("start_time"),
+        ((i + 1) * (total / F.size(parts))).alias("end_time")))).cast(SENTENCES)
 
 
 def matched_results(results: DataFrame, chunks: DataFrame, how: str = "inner") -> DataFrame:
@@ -110,9 +112,8 @@ def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_m
 def cut_exact(prev: Column, cur: Column) -> Column:
     """Remove through the previous text's tail (11-100 characters) found near the start."""
     longest = F.least(F.lit(100), F.floor(F.length(prev) / 2), F.floor(F.length(cur) / 2)).cast("int")
-    hit = F.array(_shared_tail(prev, cur, longest, 11, 49))
-    return F.get(F.transform(hit, lambda h: F.when(h.isNull(), cur).otherwise(
-        strip(F.substring(cur, h["at"] + h["k"], F.length(cur))))), F.lit(0))
+    return bind(_shared_tail(prev, cur, longest, 11, 49), lambda h: F.when(h.isNull(), cur).otherwise(
+        strip(F.substring(cur, h["at"] + h["k"], F.length(cur)))))
 
 
 def _exact_found(prev: Column, cur: Column) -> Column:
@@ -138,14 +139,13 @@ def _cut_fuzzy(prev: Column, cur: Column) -> Column:
 
         grid = F.flatten(F.transform(lengths, lambda n: F.transform(
             F.filter(starts(n), lambda s: score(n, s) / n >= 0.7), lambda s: s + n)))
-        drop = F.get(grid, F.lit(0))
         # 70 % of at least 3 words means a shared word: skip the grid without one
         near = F.arrays_overlap(F.slice(p, -F.least(F.lit(10), F.size(p)), F.lit(10)), F.slice(c, 1, 19))
-        return F.when((F.size(p) >= 3) & (F.size(c) >= 3) & near & drop.isNotNull(),
-                      F.array_join(F.slice(c, drop + 1, F.greatest(F.size(c) - drop, F.lit(0))), " "))
+        rest = bind(F.get(grid, F.lit(0)), lambda drop: F.when(
+            drop.isNotNull(), F.array_join(F.slice(c, drop + 1, F.greatest(F.size(c) - drop, F.lit(0))), " ")))
+        return F.when((F.size(p) >= 3) & (F.size(c) >= 3) & near, rest)
 
-    found = F.get(F.transform(F.array(F.struct(pw.alias("p"), cw.alias("c"))), lambda w: search(w["p"], w["c"])), F.lit(0))
-    return F.coalesce(found, cur)
+    return F.coalesce(bind(F.struct(pw.alias("p"), cw.alias("c")), lambda w: search(w["p"], w["c"])), cur)
 
 
 def cut_fuzzy(prev: Column, cur: Column) -> Column:
@@ -162,13 +162,11 @@ def cut_prefix(prev: Column, cur: Column) -> Column:
     def by_words(p: Column, c: Column) -> Column:
         n = F.least(F.size(p), F.size(c), F.lit(5))
         shared = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)), lambda j: F.slice(p, -j, j) == F.slice(c, 1, j))
-        j = F.get(shared, F.lit(0))
-        return F.when(j.isNull(), cur).otherwise(F.array_join(F.slice(c, j + 1, F.size(c)), " "))
+        return bind(F.get(shared, F.lit(0)), lambda j: F.when(j.isNull(), cur).otherwise(
+            F.array_join(F.slice(c, j + 1, F.size(c)), " ")))
 
-    worded = F.get(F.transform(F.array(F.struct(words(prev).alias("p"), words(cur).alias("c"))),
-                               lambda w: by_words(w["p"], w["c"])), F.lit(0))
-    return F.get(F.transform(F.array(k), lambda n: F.when(n.isNotNull(), strip(F.substring(cur, n + 1, F.length(cur))))
-                             .otherwise(worded)), F.lit(0))
+    worded = bind(F.struct(words(prev).alias("p"), words(cur).alias("c")), lambda w: by_words(w["p"], w["c"]))
+    return bind(k, lambda n: F.when(n.isNotNull(), strip(F.substring(cur, n + 1, F.length(cur)))).otherwise(worded))
 
 
 def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column]) -> DataFrame:
