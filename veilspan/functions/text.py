@@ -30,7 +30,13 @@ def nfkc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
-    return F.regexp_replace(text, unicode_regex(r"\A\s+|\s+\z"), "")
+    edge = unicode_regex(r"\s")
+
+    def trimmed(t: Column) -> Column:
+        loose = F.substring(t, F.lit(1), F.lit(1)).rlike(edge) | F.right(t, F.lit(1)).rlike(edge)
+        return F.when(loose, F.regexp_replace(t, unicode_regex(r"\A\s+|\s+\z"), "")).otherwise(t)
+
+    return bind(text, trimmed)
 
 
 def squeeze(text: Column) -> Column:
@@ -39,7 +45,8 @@ def squeeze(text: Column) -> Column:
 
 
 def ascii_confusables(text: Column) -> Column:
-    return F.translate(text, L.CONFUSABLE_FROM, L.CONFUSABLE_TO)
+    return bind(text, lambda t: F.when(t.rlike(f"[{L.CONFUSABLE_FROM}]"), F.translate(
+        t, L.CONFUSABLE_FROM, L.CONFUSABLE_TO)).otherwise(t))
 
 
 def drop_zero_width(text: Column) -> Column:

@@ -148,8 +148,9 @@ def domain_spans(text: Column) -> Column:
     found = F.flatten(F.transform(present, lambda t: F.transform(find_literal(text, t["word"]), lambda m: make_span(
         start=m["start"], end=m["end"], text=t["word"], label=t["label"], label_adjusted=t["label"],
         score=F.lit(L.DOMAIN_SCORE), source=F.lit("keyword-domain")))))
-    any_term = "|".join(w for w, _ in terms)
-    return F.when(text.rlike(any_term), found).otherwise(no_spans())
+    # every term is Hangul or one of two Latin words
+    latin = [F.contains(text, F.lit(w)) for w, _ in terms if w.isascii()]
+    return F.when(text.rlike("[가-힣]") | latin[0] | latin[1], found).otherwise(no_spans())
 
 
 def detect_default(df: DataFrame, text: str = "text", out: str = "spans", **lists) -> DataFrame:
