@@ -66,8 +66,12 @@ def _visited(rows: DataFrame, keys: list[str], ddl: str, span: int, width: int,
         out["nxt"] = [leads[p] for p in out["pos"].tolist()]
         return out
 
+    def by_block(df: DataFrame):
+        # fresh column identities: both sides of a cogroup come from the same rows
+        return df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(*keys, "blk")
+
     grouped = blocked.groupBy(*keys, "blk")
-    shorter = grouped.cogroup(doors.groupBy(*keys, "blk")).applyInPandas(exits, ddl + ", nxt long")
+    shorter = grouped.cogroup(by_block(doors)).applyInPandas(exits, ddl + ", nxt long")
     entries = _visited(shorter, keys, ddl, span * width, width, levels - 1).withColumn("blk", block("pos"))
 
     def walk(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
@@ -75,4 +79,4 @@ def _visited(rows: DataFrame, keys: list[str], ddl: str, span: int, width: int,
         path = _walk(int(entry["pos"].iloc[0]), _jumps(part)) if len(entry) else []
         return part.loc[part["pos"].isin(path), [*keys, "pos"]]
 
-    return grouped.cogroup(entries.groupBy(*keys, "blk")).applyInPandas(walk, ddl)
+    return grouped.cogroup(by_block(entries)).applyInPandas(walk, ddl)
