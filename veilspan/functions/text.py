@@ -102,7 +102,8 @@ def sentences(text: Column) -> Column:
 
 def terminated_sentences(text: Column) -> Column:
     """Sentences with their terminator; an unterminated tail is dropped if any terminator exists."""
-    found = F.regexp_extract_all(text, F.lit(unicode_regex(r"([^.!?]*[.!?]+)\s*")), F.lit(1))
+    # \\G keeps the search from trying every position of a long unterminated tail
+    found = F.regexp_extract_all(text, F.lit(r"\G" + unicode_regex(r"([^.!?]*+[.!?]++)\s*")), F.lit(1))
     return _or_whole(_clean(found), text)
 
 
@@ -113,7 +114,7 @@ def bare_sentences(text: Column) -> Column:
 
 def sentence_batches(text: Column, size: int = L.SENTENCES_PER_BATCH) -> Column:
     """Texts of ``size`` consecutive terminated sentences (raw, unterminated tail dropped)."""
-    found = F.regexp_extract_all(text, F.lit("[^.!?]*[.!?]+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"\G[^.!?]*+[.!?]++"), F.lit(0))
 
 
     def batches(all_: Column) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import ROWS_PER_BLOCK
 
 
@@ -31,16 +32,21 @@ def _walk(start: int, jump: dict[int, int]) -> list[int]:
     return path
 
 
-def landed(jumps: DataFrame, keys: Sequence[str], width: int = ROWS_PER_BLOCK, levels: int = 2) -> DataFrame:
+def landed(jumps: DataFrame, keys: Sequence[str], width: int = ROWS_PER_BLOCK) -> DataFrame:
     """Rows ``(keys, pos)`` visited from position 0 by following ``nxt``.
 
     ``jumps``: one row per (keys, pos) with ``nxt > pos``; a ``nxt`` that is no row ends the
-    chain.  Every level shortens a key's chain to about one row in ``width``.
+    chain.  Every level shortens a key's chain to about one row in ``width``; there are as many
+    levels as it takes until no key has more than ``width`` positions left to follow.
     """
     keys = list(keys)
     types = dict(jumps.dtypes)
     ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", pos long"
-    rows = jumps.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("nxt").cast("long").alias("nxt"))
+    rows = cut_lineage(jumps.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("nxt").cast("long").alias("nxt")))
+    longest = rows.agg(F.max("pos")).first()[0] or 0
+    levels = 0
+    while longest >= width:
+        longest, levels = longest // width, levels + 1
     return _visited(rows, keys, ddl, width, width, levels)
 
 
@@ -71,7 +77,7 @@ def _visited(rows: DataFrame, keys: list[str], ddl: str, span: int, width: int,
         return df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(*keys, "blk")
 
     grouped = blocked.groupBy(*keys, "blk")
-    shorter = grouped.cogroup(by_block(doors)).applyInPandas(exits, ddl + ", nxt long")
+    shorter = cut_lineage(grouped.cogroup(by_block(doors)).applyInPandas(exits, ddl + ", nxt long"))
     entries = _visited(shorter, keys, ddl, span * width, width, levels - 1).withColumn("blk", block("pos"))
 
     def walk(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:

@@ -43,7 +43,8 @@ def _shares(parts: str, clip: bool, total: str) -> str:
 
 
 _TRX1 = f"WITH {_BASE}, {_shares(_A, True, 'list_sum(list_transform(p, lambda x: length(x)))')}"
-_ROUNDED = "round(start_time, 4) AS start_time, round(end_time, 4) AS end_time"
+# the small offset keeps values off the rounding ties
+_ROUNDED = "round(start_time + 0.00001, 4) AS start_time, round(end_time + 0.00001, 4) AS end_time"
 
 
 def _joined(spark, folder):
@@ -56,7 +57,7 @@ def _sentence_rows(spark, folder, share):
     rows = _joined(spark, folder).select("rec_id", "chunk_index", F.posexplode(share(
         F.col("text"), F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, F.col("is_merged"))).alias("part", "s"))
     return rows.select("rec_id", "chunk_index", F.col("part").cast("long").alias("part"), F.col("s.text").alias("text"),
-                       F.round("s.start_time", 4).alias("start_time"), F.round("s.end_time", 4).alias("end_time"))
+                       F.round(F.col("s.start_time") + 0.00001, 4).alias("start_time"), F.round(F.col("s.end_time") + 0.00001, 4).alias("end_time"))
 
 
 @query("trx1_share_by_characters", f"{_TRX1} SELECT rec_id, chunk_index, part, text, {_ROUNDED} FROM sent")
@@ -71,12 +72,13 @@ def trx2(spark, folder):
 
 @query("trx1_timed_sentences", f"""{_TRX1}, seen AS (SELECT *, max(end_time) OVER (PARTITION BY rec_id ORDER BY start_time, chunk_index, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m,
       count(*) OVER (PARTITION BY rec_id) AS n FROM sent)
-    SELECT rec_id, chunk_index, part, text, round(CASE WHEN n > 1 THEN greatest(start_time, coalesce(m, start_time)) ELSE start_time END, 4) AS start_time, round(end_time, 4) AS end_time
+    SELECT rec_id, chunk_index, part, text, round(CASE WHEN n > 1 THEN greatest(start_time, coalesce(m, start_time)) ELSE start_time END + 0.00001, 4) AS start_time, round(end_time + 0.00001, 4) AS end_time
     FROM seen WHERE n = 1 OR greatest(start_time, coalesce(m, start_time)) < end_time - 1e-9""")
 def timed(spark, folder):
     c = chunks(spark, folder)
     t = X.timed_sentences(results(spark, folder), c.select(*[F.col(x).alias(x) for x in c.columns]))
-    return t.select("rec_id", "chunk_index", F.col("part").cast("long").alias("part"), "text", F.round("start_time", 4).alias("start_time"), F.round("end_time", 4).alias("end_time"))
+    return t.select("rec_id", "chunk_index", F.col("part").cast("long").alias("part"), "text",
+                    F.round(F.col("start_time") + 0.00001, 4).alias("start_time"), F.round(F.col("end_time") + 0.00001, 4).alias("end_time"))
 
 
 @query("join9_results_to_chunks", f"WITH {_BASE} SELECT rec_id, chunk_index, end_ms FROM timed WHERE success AND text <> '' AND chunk_index < 5")
