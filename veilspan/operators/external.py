@@ -66,8 +66,8 @@ def ner_spans(text: Column, sentences: Column, source: str = "ner") -> Column:
             m["id"].alias("id"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end")))
 
         def entity(e: Column, morphs: Column) -> Column:
-            first = F.element_at(F.filter(morphs, lambda m: m["id"] == F.coalesce(e["begin"], F.lit(0))), -1)["start"]
-            last = F.element_at(F.filter(morphs, lambda m: m["id"] == F.coalesce(e["end"], F.lit(0))), -1)["end"]
+            first = F.try_element_at(F.filter(morphs, lambda m: m["id"] == F.coalesce(e["begin"], F.lit(0))), F.lit(-1))["start"]
+            last = F.try_element_at(F.filter(morphs, lambda m: m["id"] == F.coalesce(e["end"], F.lit(0))), F.lit(-1))["end"]
             found = _find(text, F.coalesce(e["text"], F.lit("")), cursor)
             placed = first.isNotNull() & last.isNotNull()
             hit = F.when(placed, F.struct(first.alias("s"), last.alias("e"))).when(

@@ -177,7 +177,7 @@ def frame_crossings(frames: DataFrame) -> DataFrame:
     """Zero-crossing rate of whole recordings: crossings inside frames plus those between neighbours."""
     s = doubles(F.col("samples"))
     per_frame = frames.select(*KEY, "frame_idx", F.size("samples").alias("n"), (zero_crossing_rate(F.col("samples")) * F.size("samples")).alias("inside"),
-                              (F.element_at(s, 1) < 0).alias("first"), (F.element_at(s, -1) < 0).alias("last"))
+                              (F.get(s, F.lit(0)) < 0).alias("first"), (F.get(s, F.size(s) - 1) < 0).alias("last"))
     linked = neighbours(per_frame, KEY, "frame_idx", ["first"], 1, "next_")
     between = F.when(F.col("next_first").isNotNull() & (F.col("last") != F.col("next_first")), 1).otherwise(0)
     return linked.groupBy(*KEY).agg((F.sum(F.col("inside") + between) / F.sum("n")).alias("zcr"))

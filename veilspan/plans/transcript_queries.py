@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
 from ..operators import transcripts as X
 from ..plans.ordered import running
 from . import sqltext as S
