@@ -32,7 +32,7 @@ def sentences(spark, folder):
     return rows.withColumns({"gold": gold, "predicted": guess})
 
 
-_TOK = f"tok AS (SELECT doc_id, i - 1 AS i, ws[i] AS w FROM (SELECT doc_id, {_WORDS} AS ws, unnest(range(1, len(ws) + 1)) AS i FROM documents))"
+_TOK = f"tok AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))"
 _TAGS = f"{_TOK}, tag AS (SELECT doc_id, i, w, {_tag_sql('w', 'i', 0)} AS g, CASE WHEN i % 9 = 4 THEN {_tag_sql('w', 'i', 3)} ELSE {_tag_sql('w', 'i', 0)} END AS p FROM tok)"
 
 
