@@ -6,11 +6,14 @@ the document's own text, so no rule needs a shuffle or a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions.arrays import change, final_label, lookup, no_spans, overlaps, sort_stable
+from ..schemas import SPAN
 
 
 def _length(s: Column) -> Column:
@@ -38,8 +41,6 @@ def prune_contained(spans: Column) -> Column:
 
 def prune_contained_rows(spans: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     """The same rule over a span table, as one window."""
-    from pyspark.sql import Window
-
     w = (Window.partitionBy(*keys).orderBy(F.col("start"), (F.col("end") - F.col("start")).desc(), F.col(order))
          .rowsBetween(Window.unboundedPreceding, -1))
     return (spans.withColumn("_reach", F.max("end").over(w))
@@ -81,19 +82,48 @@ def best_per_range(spans: Column) -> Column:
     return F.aggregate(ranked, start, step, lambda acc: acc["kept"])
 
 
-def resolve_partial(spans: Column) -> Column:
-    """Priority times ``log1p(length)`` against the first overlapping kept span; the winner stays there."""
-    def weight(s: Column) -> Column:
-        return verdict_priority(s["label_adjusted"]) * F.log1p(_length(s))
+def _against_last(ordered: Column, item: str, wins: Callable[[Column, Column], Column]) -> Column:
+    """Left-to-right fold for items sorted by start: an overlapping item replaces or yields.
+
+    Kept items are disjoint and start no later than the current one, so only the last of them
+    can overlap it; the rules need to look no further back.
+    """
+    begin = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast(item).alias("last"))
+
+    def step(acc: Column, c: Column) -> Column:
+        a, b = _interval(c), _interval(acc["last"])
+        return (F.when(acc["last"].isNull(), F.struct(acc["done"].alias("done"), c.alias("last")))
+                .when(~overlaps(a, b), F.struct(F.array_append(acc["done"], acc["last"]).alias("done"), c.alias("last")))
+                .when(wins(c, acc["last"]), F.struct(acc["done"].alias("done"), c.alias("last")))
+                .otherwise(acc))
+
+    return F.aggregate(ordered, begin, step, lambda acc: F.when(
+        acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"])))
+
+
+_RANKED = f"struct<span:{SPAN},rank:int>"
+
 
-    def step(kept: Column, s: Column) -> Column:
-        flags = F.transform(kept, lambda k: overlaps(s, k))
-        at = F.array_position(flags, F.lit(True)) - 1
-        swapped = F.transform(kept, lambda k, i: F.when((i == at) & (weight(s) > weight(k)), s).otherwise(k))
-        return F.when(at < 0, F.array_append(kept, s)).otherwise(swapped)
+def _interval(item: Column) -> Column:
+    return item["span"]
 
-    folded = F.aggregate(sort_stable(spans, lambda s: [s["start"], s["end"]]), no_spans(), step)
-    return sort_stable(folded, lambda s: [s["start"], s["end"]])
+
+def _ranked(spans: Column, rank: Callable[[Column], Column]) -> Column:
+    return F.transform(spans, lambda s: F.struct(s.alias("span"), rank(s).cast("int").alias("rank"))).cast(f"array<{_RANKED}>")
+
+
+def _unranked(items: Column) -> Column:
+    return F.transform(items, lambda r: r["span"])
+
+
+def resolve_partial(spans: Column) -> Column:
+    """Priority times ``log1p(length)`` against the overlapping kept span; the winner takes its place."""
+    def weight(r: Column) -> Column:
+        return r["rank"] * F.log1p(_length(r["span"]))
+
+    ordered = sort_stable(_ranked(spans, lambda s: verdict_priority(s["label_adjusted"])),
+                          lambda r: [r["span"]["start"], r["span"]["end"]])
+    return _unranked(_against_last(ordered, _RANKED, lambda c, k: weight(c) > weight(k)))
 
 
 def resolve_verdicts(spans: Column, length: Column) -> Column:
@@ -119,44 +149,25 @@ def interval_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
 
 
 def merge_by_priority(spans: Column) -> Column:
-    """Higher priority wins; near-identical spans of one label compare by score.
-
-    A candidate enters only if it beats every kept span it overlaps, and then evicts them all.
-    """
-    ranked = F.transform(spans, lambda s: F.struct(
-        change(s, label_adjusted=F.coalesce(s["label_adjusted"], s["label"]), score=F.coalesce(s["score"], F.lit(0.0)))
-        .alias("s"), merge_priority(final_label(s), s["subtype"]).alias("p")))
-    ordered = sort_stable(ranked, lambda r: [r["s"]["start"], -r["p"], -_length(r["s"])])
-    empty = F.filter(ordered, lambda r: F.lit(False))
-
-    def loses(c: Column, k: Column) -> Column:
-        near = ((c["s"]["label_adjusted"] == k["s"]["label_adjusted"])
-                & (interval_iou(c["s"]["start"], c["s"]["end"], k["s"]["start"], k["s"]["end"]) >= 0.7))
-        return overlaps(c["s"], k["s"]) & ~F.when(
-            near, c["s"]["score"] > k["s"]["score"]).otherwise(c["p"] > k["p"])
+    """Higher priority wins; near-identical spans of one label compare by score."""
+    filled = F.transform(spans, lambda s: change(
+        s, label_adjusted=F.coalesce(s["label_adjusted"], s["label"]), score=F.coalesce(s["score"], F.lit(0.0))))
+    ordered = sort_stable(_ranked(filled, lambda s: merge_priority(final_label(s), s["subtype"])),
+                          lambda r: [r["span"]["start"], -r["rank"], -_length(r["span"])])
 
-    def step(kept: Column, c: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: loses(c, k)), kept).otherwise(
-            F.array_append(F.filter(kept, lambda k: ~overlaps(c["s"], k["s"])), c))
+    def wins(c: Column, k: Column) -> Column:
+        a, b = c["span"], k["span"]
+        near = (a["label_adjusted"] == b["label_adjusted"]) & (interval_iou(a["start"], a["end"], b["start"], b["end"]) >= 0.7)
+        return F.when(near, a["score"] > b["score"]).otherwise(c["rank"] > k["rank"])
 
-    folded = F.transform(F.aggregate(ordered, empty, step), lambda r: r["s"])
-    return sort_stable(folded, lambda s: [s["start"]])
+    return _unranked(_against_last(ordered, _RANKED, wins))
 
 
 def merge_source_first(spans: Column, primary_source: str = "ner") -> Column:
-    """Primary-source spans replace others; otherwise the first overlapping kept span decides."""
-    ordered = sort_stable(spans, lambda s: [
-        s["start"], F.when(s["source"] == primary_source, 0).otherwise(1), -_length(s)])
-
-    def step(kept: Column, s: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: overlaps(s, k)), F.lit(True))
-        first = F.get(kept, (at - 1).cast("int"))
-        evicts = (s["source"] == primary_source) & (first["source"] != primary_source)
-        without = F.filter(kept, lambda k, i: i != (at - 1))
-        return (F.when(at == 0, F.array_append(kept, s))
-                .when(evicts, F.array_append(without, s)).otherwise(kept))
-
-    return sort_stable(F.aggregate(ordered, no_spans(), step), lambda s: [s["start"]])
+    """Spans of the primary source replace overlapping others; otherwise the kept span stays."""
+    ordered = sort_stable(_ranked(spans, lambda s: F.when(s["source"] == primary_source, 0).otherwise(1)),
+                          lambda r: [r["span"]["start"], r["rank"], -_length(r["span"])])
+    return _unranked(_against_last(ordered, _RANKED, lambda c, k: c["rank"] < k["rank"]))
 
 
 def uncovered(spans: Column, cover: Column) -> Column:

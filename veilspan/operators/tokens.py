@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
+
 IGNORED = -100
 TAGGED = "array<struct<start:int,end:int,type:string>>"
 
@@ -29,21 +31,30 @@ def align_labels(word_ids: Column, tags: Column, ids: Column) -> Column:
 
 
 def bio_spans(tags: Column) -> Column:
-    """Entity spans over token positions: a span starts at ``B-`` or where the type changes."""
-    begin = F.struct(F.lit("").alias("open"), F.array().cast(TAGGED).alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        kind = F.when(t["tag"].rlike(r"\A[BI]-"), F.substring(t["tag"], F.lit(3), F.length(t["tag"]))).otherwise("")
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        fresh = F.struct(t["i"].alias("start"), (t["i"] + 1).alias("end"), kind.alias("type"))
-        grown = F.struct(last["start"].alias("start"), (t["i"] + 1).alias("end"), last["type"].alias("type"))
-        return (F.when(kind == "", F.struct(F.lit("").alias("open"), acc["out"].alias("out")))
-                .when(t["tag"].startswith("I-") & (acc["open"] == kind), F.struct(kind.alias("open"), F.array_append(
-                    F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), grown).alias("out")))
-                .otherwise(F.struct(kind.alias("open"), F.array_append(acc["out"], fresh).alias("out"))))
-
-    indexed = F.transform(tags, lambda x, i: F.struct(F.coalesce(x, F.lit("O")).alias("tag"), i.alias("i")))
-    return F.aggregate(indexed, begin, step, lambda acc: acc["out"])
+    """Entity spans over token positions: a span starts at ``B-`` or where the type changes.
+
+    Starts and ends are picked independently by looking one token back and one ahead; the n-th
+    start belongs to the n-th end.
+    """
+    marked = F.transform(tags, lambda t: F.struct(
+        F.coalesce(t.startswith("B-"), F.lit(False)).alias("begins"),
+        F.when(t.rlike(r"\A[BI]-"), F.substring(t, F.lit(3), F.length(t))).otherwise("").alias("type")))
+
+    def pair(m: Column) -> Column:
+        def type_at(i: Column) -> Column:
+            return F.coalesce(F.get(m, i)["type"], F.lit(""))
+
+        def starts(i: Column) -> Column:
+            here = F.get(m, i)
+            return F.coalesce((here["type"] != "") & (here["begins"] | (type_at(i - 1) != here["type"])), F.lit(False))
+
+        spots = F.transform(m, lambda x, i: i)
+        first = F.filter(spots, starts)
+        last = F.filter(spots, lambda i: (type_at(i) != "") & ((type_at(i + 1) != type_at(i)) | starts(i + 1)))
+        return F.zip_with(first, last, lambda s, e: F.struct(
+            s.alias("start"), (e + 1).alias("end"), F.get(m, s)["type"].alias("type")))
+
+    return bind(marked, pair).cast(TAGGED)
 
 
 def span_scores(df: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:

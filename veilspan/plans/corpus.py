@@ -53,7 +53,8 @@ def resident(sep: str, wrong: str = "0") -> str:
     return f"({_R6} || {sep} || {_R6B} || CAST(({RESIDENT_CHECK} + {wrong}) % 10 AS STRING))"
 
 
-_B9 = _pad(_mixed(7907, 1000000000), 9)
+# a leading 2 keeps business numbers from also being telephone numbers
+_B9 = f"('2' || {_pad(_mixed(7907, 100000000), 8)})"
 _BW = [1, 3, 7, 1, 3, 7, 1, 3, 5]
 _BSUM = " + ".join(f"{_digit(_B9, i + 1)} * {w}" for i, w in enumerate(_BW))
 _BTOTAL = f"({_BSUM} + CAST(floor({_digit(_B9, 9)} * 5 / 10) AS INT))"
@@ -82,6 +83,7 @@ LICENCE = f"({_pad(_mixed(3, 100), 2)} || '-' || {_pad(_mixed(7877, 1000000), 6)
 PASSPORT = f"({pick('k', 'M', 'S', 'm')} || {_pad(_mixed(7873, 100000000), 8)})"
 EMAIL = "('user' || CAST(k AS STRING) || '@mail' || CAST(k % 7 AS STRING) || '.co.kr')"
 HOST = "('https://intra' || CAST(k % 9 AS STRING) || '.example.co.kr/m/' || CAST(k AS STRING))"
+PLAIN_NAME = f"({pick('k', '김', '남궁', '이', '제갈', '박', '최')} || {pick('k', '민수', '지영', '서준', '하')} || {pick('k', '씨', '님', '')})"
 NAME = (f"({pick('k', '김', '남궁', '이', '제갈', '박', '최')} || {pick('k', '', '', '', '·', '')} || "
         f"{pick('k', '민수', '지영', '서준', '하')} || {pick('k', '씨', '님', '')})")
 
@@ -91,6 +93,11 @@ def phone(sep: str) -> str:
             f"{_pad(_mixed(7919, 10000), 4)})")
 
 
+def mobile(sep: str) -> str:
+    """Eleven digits, so never mistaken for a ten-digit business number."""
+    return f"({pick('k', '010', '031', '070', '011')} || {sep} || {_pad(_mixed(41, 10000), 4)} || {sep} || {_pad(_mixed(7919, 10000), 4)})"
+
+
 ADDRESS = (f"({pick('k', '서울시', '부산광역시', '세종특별자치시', '경기도', '서울특별시')} || ' ' || "
            f"{pick('k', '마포구', '해운대구', '강남구')} || ' ' || {pick('k', '상암동', '우동', '역삼동', '신사동')} || ' ' || "
            f"CAST(1 + k % 900 AS STRING) || {pick('k', '', '-12', '-3, 101호', ' (04524)')})")
