@@ -93,12 +93,15 @@ def fenced_spans(marked: Column) -> Column:
     return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def find_all(text: Column, pattern: str, gate: Column | None = None, ignore_case: bool = False) -> Column:
+def find_all(text: Column, pattern: str, gate: Column | None = None, ignore_case: bool = False,
+             first: str | None = None) -> Column:
     """``array<struct<start,end,text>>`` of all leftmost non-overlapping matches.
 
-    ``gate`` is a cheap necessary condition: rows where it is false skip the regex.
+    ``gate`` is a cheap necessary condition: rows where it is false skip the regex.  ``first`` is
+    a class that every match starts with; testing it ahead of look-arounds makes the scan over
+    ordinary prose several times faster.
     """
-    marked = fenced(text, pattern, ignore_case)
+    marked = fenced(text, pattern if first is None else f"(?={first}){pattern}", ignore_case)
     if gate is not None:
         marked = F.when(gate, marked)
     return with_text(text, fenced_spans(marked))
