@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from veilspan.functions.text import normalize_text
 from veilspan.operators import detect, masking, summaries
 from veilspan.plans import registry
-from veilspan.session import local_session, table
+from veilspan.session import local_session, spread, table
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 
 
 def documents(spark):
-    # one file at this scale: spread it over the cores as a cluster's many files would be
-    return table(spark, FOLDER, "documents").select("doc_id", "text").repartition(CPUS)
+    return spread(table(spark, FOLDER, "documents").select("doc_id", "text"))
 
 
 HEADLINE = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,8 @@ class Tables:
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self._spark, self._folder, name)
+        rows = table(self._spark, self._folder, name)
+        return spread(rows) if name in ("documents", "orders", "pages") else rows
 
 
 def load_all() -> None:
