@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +44,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _single_machine(master: str) -> bool:
+    """``local``, ``local[8]`` and ``local[*,2]`` share one disk; ``local-cluster[...]`` and the rest do not."""
+    return master == "local" or master.startswith("local[")
+
+
+def choose_folder(master: str, configured: str | None) -> str:
+    """The folder that every executor sees: the configured one; a new local one only on one machine."""
+    if configured:
+        return configured
+    if not _single_machine(master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="veilspan-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables: the cluster's own, else a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
+    """The folder for checkpoints and intermediate tables (see ``choose_folder``)."""
     if not hasattr(spark, "_veilspan_folder"):
-        spark._veilspan_folder = tempfile.mkdtemp(prefix="veilspan-")
+        conf = spark.sparkContext.getConf()
+        configured = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+        spark._veilspan_folder = choose_folder(spark.sparkContext.master, configured)
     return spark._veilspan_folder
 
 
@@ -57,6 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the shared folder (survives lost executors)."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(os.path.join(shared_folder(spark), "veilspan"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, read back column by column."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/veilspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
