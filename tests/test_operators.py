@@ -24,6 +24,34 @@ def noisy(spark):
     return rows, spark.createDataFrame(rows, "id long, text string").repartition(8).cache()
 
 
+# the host rule as stated, which only a backtracking engine without Java's recursion can run on any text
+STATED_URL = (r"(?:(?:https?://|www\.)[^\s<>\"']+|\b(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?:/[^\s<>\"']*)?)")
+
+
+def test_long_hosts_do_not_exhaust_the_stack(spark):
+    texts = ["a." * 200_000 + "com", "abcdefgh." * 110_000, "1bcdefgh." * 3_000, "a-" * 20_000 + ".com", "x" + "a." * 100_000 + ".b.org", "(" + "-." * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(6)
+    rows = {r.id: r.n for r in df.select("id", F.transform(finditer.find_all(F.col("text"), L.URL), lambda m: m["end"] - m["start"]).alias("n")).collect()}
+    assert rows[0] == [400_003] and rows[1] == [110_000 * 9 - 1] and rows[2] == [] and rows[3] == [40_004] and rows[4] == [5] and rows[5] == []
+
+
+def test_hosts_equal_finditer(spark):
+    rnd = random.Random(8)
+    words = ["a", "b1", "1", "co", "com", "x-", "-y", "é", "_", "가"]
+    texts = ["".join(rnd.choice(words + [".", ".", ".", "-", "..", "/", " ", "http://", "www."]) for _ in range(rnd.randint(1, 16))) for _ in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(8)
+    for r in df.select("id", finditer.find_all(F.col("text"), L.URL).alias("m")).collect():
+        assert [m.text for m in r.m] == [m.group() for m in re.finditer(STATED_URL, texts[r.id])], texts[r.id]
+
+
+def test_redaction_keeps_private_use_characters(spark):
+    texts = ["a\ue000b", "\ue000\ue001 010-1234-5678\ue000 hong@a.com", "\ue000" * 3 + "12345" + "\ue001", "".join(map(chr, range(0xE000, 0xE008))) + "9999", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.t for r in df.select("id", T.redact(F.col("text")).alias("t")).collect()}
+    assert got[0] == "a\ue000b" and got[1] == "\ue000\ue001 XXX-XXXX-XXXX\ue000 XXXX@X.XXX"
+    assert got[2] == "\ue000" * 3 + "XXXXX" + "\ue001" and got[3] == texts[3][:-4] + "XXXX" and got[4] is None and got[5] == ""
+
+
 def test_matches_and_offsets_equal_finditer(noisy):
     rows, df = noisy
     bank = [(f"a_{n}", p, False, detect._FIRST.get(n)) for n, p, _, _ in L.PATTERN_BANK]
@@ -33,7 +61,8 @@ def test_matches_and_offsets_equal_finditer(noisy):
             for n, p, ic, first in bank]
     for row in df.select("id", "text", *cols).collect():
         for n, p, ic, _ in bank:
-            want = [f"{m.start()}:{m.end()}:{m.group()}" for m in re.finditer(p, row.text, re.I if ic else 0)]
+            stated = STATED_URL if p == L.URL else p
+            want = [f"{m.start()}:{m.end()}:{m.group()}" for m in re.finditer(stated, row.text, re.I if ic else 0)]
             assert row[n] == want, (n, row.text)
 
 

@@ -66,20 +66,33 @@ def normalize_text(text: Column, use_nfkc: bool = True) -> Column:
     return collapse_blanks(tighten_separators(drop_zero_width(ascii_confusables(base))))
 
 
-def _redact_one(text: Column, pattern: str) -> Column:
+# a row takes the first of these that it does not hold
+_FENCES = [chr(0xE000 + i) for i in range(8)] + [chr(0xF0000 + i) for i in range(24)]
+
+
+def _absent_fence(text: Column) -> Column:
+    chain = F.when(~F.contains(text, F.lit(_FENCES[0])), F.lit(_FENCES[0]))
+    for fence in _FENCES[1:]:
+        chain = chain.when(~F.contains(text, F.lit(fence)), F.lit(fence))
+    return F.when(text.isNotNull(), F.coalesce(chain, F.raise_error(F.lit("every private-use fence occurs in the text"))))
+
+
+def _redact_one(text: Column, pattern: str, fence: Column) -> Column:
     # the text is an expression here: mention it once, so that the chain stays linear
-    pieces = F.split(F.regexp_replace(text, unicode_regex(pattern), FENCE + "$0" + FENCE), FENCE, -1)
+    pieces = F.split(F.regexp_replace(text, F.lit(unicode_regex(pattern)), F.concat(fence, F.lit("$0"), fence)), fence, -1)
     blanked = F.transform(
         pieces, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"[\p{L}\p{N}]", "X")).otherwise(p))
     return F.array_join(blanked, "")
 
 
 def redact(text: Column) -> Column:
-    """Length-preserving redaction: letters and digits of every hit become ``X``."""
-    out = fence_free(text)
-    for _, pattern in L.REDACTION_BANK:
-        out = _redact_one(out, pattern)
-    return out
+    """Length-preserving redaction: letters and digits of every hit become ``X``; all else stays."""
+    def run(t: Column, fence: Column) -> Column:
+        for _, pattern in L.REDACTION_BANK:
+            t = _redact_one(t, pattern, fence)
+        return t
+
+    return bind(text, lambda t: bind(_absent_fence(t), lambda fence: run(t, fence)))
 
 
 def context_slice(text: Column, start: Column, end: Column, reach: int = L.CONTEXT_SLICE) -> Column:
