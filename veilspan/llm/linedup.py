@@ -23,7 +23,7 @@ NEAR = 0.27
 
 def line_key(line: Column) -> Column:
     """128-bit key of a line without the blanks around it; null for a blank line."""
-    bare = F.trim(F.regexp_replace(line, r"^[\s]+|[\s]+$", ""))
+    bare = F.trim(line, F.lit(" \t\n\r\x0b\x0c"))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b")))
 
 
