@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.arrays import final_label
 from ..functions.text import percent_label, position_label, strip
 from ..plans.ordered import positions, running
+from ..session import written
 
 
 def _shown_label() -> Column:
@@ -33,7 +33,8 @@ def summarize_by_label(spans: DataFrame, order: Sequence[str] = ("doc_id", "ord"
     rows = spans.select(*by, _shown_label().alias("label"), strip(F.coalesce("text", F.lit(""))).alias("t"),
                         F.struct(*order).alias("at"))
     rows = rows.where((F.col("label") != "") & ~F.upper("label").startswith("LABEL_"))
-    texts = rows.groupBy(*keys, "t").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    # written, so that the spans are found once for the counts and the samples
+    texts = written(rows.groupBy(*keys, "t").agg(F.count("*").alias("n"), F.min("at").alias("at")))
     first = Window.partitionBy(*keys).orderBy("at")
     top = (texts.where("t != ''").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= samples)
            .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("picked")))
@@ -64,9 +65,9 @@ def by_category(spans: Column) -> Column:
 
 
 def source_share(spans: DataFrame) -> DataFrame:
+    # the window holds one row per source, after counting
     counts = spans.groupBy("source").agg(F.count("*").alias("n"))
-    total = spans.agg(F.count("*").alias("total"))
-    return counts.crossJoin(total).select("source", "n", (F.col("n") / F.col("total") * 100).alias("share"))
+    return counts.select("source", "n", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))) * 100).alias("share"))
 
 
 def label_histogram(spans: DataFrame) -> DataFrame:
@@ -136,7 +137,3 @@ def parallel_saving(elapsed: Column) -> Column:
 
 def latest(runs: DataFrame, order: str, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc(order)).limit(n)
-
-
-def spans_with_label(spans: Column) -> Column:
-    return F.transform(spans, final_label)

@@ -66,9 +66,14 @@ def span_scores(df: DataFrame, gold: str = "gold", predicted: str = "predicted")
     pairs = F.filter(F.arrays_zip(F.col(gold).alias("g"), F.col(predicted).alias("p")), lambda x: x["g"].isNotNull())
     clean = df.select(pairs.alias("pairs")).select(
         F.transform("pairs", lambda x: x["g"]).alias("g"), F.transform("pairs", lambda x: x["p"]).alias("p"))
-    counted = clean.select(
-        F.size(bio_spans(F.col("g"))).alias("gold"), F.size(bio_spans(F.col("p"))).alias("pred"),
-        F.size(F.array_intersect(bio_spans(F.col("g")), bio_spans(F.col("p")))).alias("hit"), F.size("g").alias("n"),
+
+    def names(tags: str) -> Column:
+        # one string per span: Spark intersects arrays of strings by hashing, arrays of structs by comparing all
+        return F.transform(bio_spans(F.col(tags)), lambda s: F.concat_ws(":", s["start"], s["end"], s["type"]))
+
+    named = clean.select("g", "p", names("g").alias("gs"), names("p").alias("ps"))
+    counted = named.select(
+        F.size("gs").alias("gold"), F.size("ps").alias("pred"), F.size(F.array_intersect("gs", "ps")).alias("hit"), F.size("g").alias("n"),
         F.aggregate(F.zip_with("g", "p", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x).alias("same"))
     sums = counted.agg(*[F.sum(c).alias(c) for c in ("gold", "pred", "hit", "n", "same")])
     zero = F.lit(0.0)
@@ -94,4 +99,5 @@ def missing_labels(data: DataFrame, schema: DataFrame, column: str = "tag") -> D
 
 def hash_split(df: DataFrame, key: str, percent: int = 5, seed: int = 42) -> DataFrame:
     """``is_validation`` for about ``percent`` of the rows, fixed by the key alone."""
-    return df.withColumn("is_validation", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent)
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
+    return df.withColumn("is_validation", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < percent)

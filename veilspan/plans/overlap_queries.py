@@ -114,8 +114,9 @@ _run("ovl6_source_first", _listed("s, src <> 'ner', s - e, i", f"""CASE WHEN coa
      "(SELECT *, 0.0 AS w FROM base)"), O.merge_source_first)
 
 
-@query("ovl8_iou", f"""WITH {SPANS_SQL} SELECT a.doc_id, a.i AS i, round(CAST(greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) AS DOUBLE)
-    / ((a.e - a.s) + (b.e - b.s) - greatest(least(a.e, b.e) - greatest(a.s, b.s), 0)), 6) AS iou FROM base a JOIN base b ON a.doc_id = b.doc_id AND b.i = a.i + 1""")
+@query("ovl8_iou", f"""WITH {SPANS_SQL}, next AS (SELECT doc_id, i, s, e, lead(s) OVER w AS s2, lead(e) OVER w AS e2 FROM base WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, i, round(CAST(greatest(least(e, e2) - greatest(s, s2), 0) AS DOUBLE)
+    / ((e - s) + (e2 - s2) - greatest(least(e, e2) - greatest(s, s2), 0)), 6) AS iou FROM next WHERE s2 IS NOT NULL""")
 def ovl8(spark, folder):
     rows = spans_of_orders(spark, folder)
     pairs = F.transform(F.filter(F.col("spans"), lambda s, i: i > 0), lambda b, i: F.struct(i.cast("long").alias("i"), F.get(F.col("spans"), i).alias("a"), b.alias("b")))

@@ -90,7 +90,7 @@ def bio2(spark, folder):
     return labelled.select("doc_id", F.size("y").cast("long").alias("pieces"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
 
 
-@query("bio4_hash_split")
+@query("bio4_hash_split", "SELECT doc_id, ('0x' || substr(md5(doc_id || ':42'), 1, 8))::BIGINT % 100 < 5 AS is_validation FROM documents")
 def bio4(spark, folder):
     return B.hash_split(Tables(spark, folder).documents.select("doc_id"), "doc_id")
 
