@@ -169,24 +169,39 @@ def cut_prefix(prev: Column, cur: Column) -> Column:
     return bind(k, lambda n: F.when(n.isNotNull(), strip(F.substring(cur, n + 1, F.length(cur)))).otherwise(worded))
 
 
+def _run_ends(texts: DataFrame) -> DataFrame:
+    """``(rec_id, _at, _after)``: the position after the run of equal texts in which ``_at`` lies."""
+    before = neighbours(texts, KEY, "pos", ["text"], -1, "prev_")
+    marked = before.withColumn("_new", F.when(F.col("text") == F.col("prev_text"), 0).otherwise(1).cast("long"))
+    runs = running(marked.select(*KEY, "pos", "_new"), KEY, ["pos"], {"_run": ("sum", "_new")})
+    ends = runs.groupBy(*KEY, "_run").agg((F.max("pos") + 1).alias("_after"))
+    return cut_lineage(runs.join(ends, [*KEY, "_run"]).select(*KEY, F.col("pos").alias("_at"), "_after"))
+
+
 def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column]) -> DataFrame:
-    """Chunks that keep some text after their overlap with the last accepted chunk is cut.
+    """``(rec_id, pos, added)`` for chunks that keep some text after their overlap with the last accepted one is cut.
 
     ``texts(rec_id, pos, text)`` with dense positions.  Each chunk's jump is its first follower
-    that is not swallowed whole; nearly always the next one, so later rounds see few rows.
+    that is not swallowed whole; nearly always the next one, so later rounds see few rows.  A text
+    equal to a swallowed one before it is swallowed too, so a round passes a whole run of equal texts.
     """
     nxt = texts.select(*KEY, F.col("pos").alias("_at"), F.col("text").alias("_cur"))
     still_open = texts.select(*KEY, "pos", "text", (F.col("pos") + 1).alias("_at"))
-    jumps = None
+    jumps = ends = None
     while True:
         tried = still_open.join(nxt, [*KEY, "_at"], "left")
-        state = cut_lineage(tried.withColumn("_ok", F.col("_cur").isNull() | (cut(F.col("text"), F.col("_cur")) != "")).drop("_cur"))
-        found = state.where("_ok").select(*KEY, "pos", F.col("_at").alias("nxt"))
+        state = cut_lineage(tried.withColumn("_cut", cut(F.col("text"), F.col("_cur"))).withColumn(
+            "_ok", F.col("_cur").isNull() | (F.col("_cut") != "")).drop("_cur"))
+        found = state.where("_ok").select(*KEY, "pos", F.col("_at").alias("nxt"), "_cut")
         jumps = found if jumps is None else jumps.unionByName(found)
-        still_open = state.where("NOT _ok").select(*KEY, "pos", "text", (F.col("_at") + 1).alias("_at"))
-        if still_open.isEmpty():
+        rest = state.where("NOT _ok")
+        if rest.isEmpty():
             break
-    return landed(jumps, KEY)
+        ends = _run_ends(texts) if ends is None else ends
+        still_open = rest.join(ends, [*KEY, "_at"]).select(*KEY, "pos", "text", F.col("_after").alias("_at"))
+    visited = landed(jumps.drop("_cut"), KEY)
+    later = jumps.where("_cut IS NOT NULL").join(visited, [*KEY, "pos"]).select(*KEY, F.col("nxt").alias("pos"), F.col("_cut").alias("added"))
+    return later.unionByName(texts.where("pos = 0").select(*KEY, "pos", F.col("text").alias("added")))
 
 
 def stitched(results: DataFrame, cut: Callable[[Column, Column], Column] = cut_exact) -> DataFrame:
@@ -197,13 +212,8 @@ def stitched(results: DataFrame, cut: Callable[[Column, Column], Column] = cut_e
     """
     clean = results.select(*KEY, "chunk_index", strip(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''")
     numbered = cut_lineage(positions(clean, KEY, ["chunk_index"], "pos"))
-    kept = _accepted(numbered.select(*KEY, "pos", "text"), cut)
-    order = positions(kept, KEY, ["pos"], "rank")
-    full = order.join(numbered, [*KEY, "pos"])
-    pairs = neighbours(full, KEY, "rank", ["text"], -1, "prev_")
-    cut_texts = pairs.select(*KEY, "pos", F.when(F.col("prev_text").isNull(), F.col("text")).otherwise(
-        cut(F.col("prev_text"), F.col("text"))).alias("added"))
-    return numbered.join(cut_texts, [*KEY, "pos"], "left").select(
+    added = _accepted(numbered.select(*KEY, "pos", "text"), cut)
+    return numbered.join(added, [*KEY, "pos"], "left").select(
         *KEY, "chunk_index", "pos", F.coalesce("added", F.lit("")).alias("text"), F.col("added").isNull().alias("removed"))
 
 
@@ -213,7 +223,7 @@ def stitched_with_markers(results: DataFrame) -> DataFrame:
         "text", F.when(F.col("removed"), F.lit(L.REMOVED_CHUNK)).otherwise(F.col("text")))
 
 
-def merged_transcript(results: DataFrame, per_part: int = 10000) -> DataFrame:
+def merged_transcript(results: DataFrame) -> DataFrame:
     """One text per recording: prefix stitching, ``[...]`` for failed inner chunks, tidy punctuation."""
     rows = positions(results.select(*KEY, "chunk_index", "success", "text"), KEY, ["chunk_index"], "row")
     last = rows.groupBy(*KEY).agg(F.max("row").alias("last"))
@@ -231,7 +241,7 @@ def merged_transcript(results: DataFrame, per_part: int = 10000) -> DataFrame:
     tidy = F.regexp_replace(squeeze(F.col("piece")), " ([.,?!])", "$1")
     spaced = dotted.withColumn("line", tidy).withColumn("line", F.when(
         (F.col("pos") == 0) | F.col("line").rlike(r"\A[.,?!]"), F.col("line")).otherwise(F.concat(F.lit(" "), F.col("line"))))
-    return documents_from_lines(spaced, KEY, "pos", "line", per_part)
+    return documents_from_lines(spaced, KEY, "pos", "line")
 
 
 # --- rendering --------------------------------------------------------------------------
@@ -241,27 +251,27 @@ def _numbered_sentences(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return positions(rows, KEY, list(order), "pos", 600.0, order[0])
 
 
-def plain_text(rows: DataFrame, order: Sequence[str] = ("start_time",), per_part: int = 10000) -> DataFrame:
+def plain_text(rows: DataFrame, order: Sequence[str] = ("start_time",)) -> DataFrame:
     kept = rows.where(F.coalesce("text", F.lit("")) != "")
     lines = _numbered_sentences(kept, order).withColumn(
         "line", F.concat(F.when(F.col("pos") > 0, " ").otherwise(""), F.col("text")))
-    return documents_from_lines(lines, KEY, "pos", "line", per_part)
+    return documents_from_lines(lines, KEY, "pos", "line")
 
 
-def stamped_text(rows: DataFrame, order: Sequence[str] = ("start_time",), per_part: int = 10000) -> DataFrame:
+def stamped_text(rows: DataFrame, order: Sequence[str] = ("start_time",)) -> DataFrame:
     """``[MM:SS] text`` lines, each followed by an empty line."""
     lines = _numbered_sentences(rows, order).withColumn("line", F.concat(
         F.when(F.col("pos") > 0, "\n").otherwise(""), minute_clock(F.col("start_time")), F.lit(" "), F.col("text"), F.lit("\n")))
-    return documents_from_lines(lines, KEY, "pos", "line", per_part)
+    return documents_from_lines(lines, KEY, "pos", "line")
 
 
-def subtitles(rows: DataFrame, order: Sequence[str] = ("start_time",), per_part: int = 10000) -> DataFrame:
+def subtitles(rows: DataFrame, order: Sequence[str] = ("start_time",)) -> DataFrame:
     """SRT: index, clock range, text, empty line; a missing end is three seconds after the start."""
     end = F.coalesce(F.col("end_time"), F.col("start_time") + 3)
     lines = _numbered_sentences(rows, order).withColumn("line", F.concat(
         F.when(F.col("pos") > 0, "\n").otherwise(""), (F.col("pos") + 1).cast("string"), F.lit("\n"),
         subtitle_clock(F.col("start_time")), F.lit(" --> "), subtitle_clock(end), F.lit("\n"), F.col("text"), F.lit("\n")))
-    return documents_from_lines(lines, KEY, "pos", "line", per_part)
+    return documents_from_lines(lines, KEY, "pos", "line")
 
 
 def edit_status(transcripts: DataFrame, edits: DataFrame) -> DataFrame:

@@ -109,13 +109,11 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, wid
     return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out))
 
 
-def documents_from_lines(lines: DataFrame, keys: Sequence[str], pos: str, line: str,
-                         per_part: int = 10000, out: str = "text") -> DataFrame:
-    """Concatenate lines (each carrying its own separator), one row per ``per_part`` lines.
+def documents_from_lines(lines: DataFrame, keys: Sequence[str], pos: str, line: str, out: str = "text") -> DataFrame:
+    """Concatenate lines (each carrying its own separator), one text per key.
 
-    Ordinary recordings have one part; the parts of a longer one, concatenated in ``part``
-    order, are the whole text.  ``pos`` must be dense.
+    The ordered line rows are the form for keys of any length; a text is a single value, so a
+    task holds one text at a time, like any row.
     """
-    part = F.floor(F.col(pos) / per_part).cast("long").alias("part")
-    grouped = lines.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct(pos, line))).alias("_lines"))
-    return grouped.select(*keys, "part", F.array_join(F.transform("_lines", lambda x: x[line]), "").alias(out))
+    grouped = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(pos, line))).alias("_lines"))
+    return grouped.select(*keys, F.array_join(F.transform("_lines", lambda x: x[line]), "").alias(out))

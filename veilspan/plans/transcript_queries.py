@@ -80,9 +80,10 @@ def timed(spark, folder):
                     F.round(F.col("start_time") + 0.00001, 4).alias("start_time"), F.round(F.col("end_time") + 0.00001, 4).alias("end_time"))
 
 
-@query("join9_results_to_chunks", f"WITH {_BASE} SELECT rec_id, chunk_index, end_ms FROM timed WHERE success AND text <> '' AND chunk_index < 5")
+@query("join9_results_to_chunks", f"WITH {_BASE} SELECT rec_id, chunk_index, end_ms FROM timed WHERE success AND text <> '' AND (chunk_index * 7 + rec_id) % 5 <> 3")
 def join9(spark, folder):
-    c = chunks(spark, folder).where("chunk_index < 5")
+    # some chunks are missing anywhere in a recording; all results are kept
+    c = chunks(spark, folder).where("(chunk_index * 7 + rec_id) % 5 <> 3")
     return X.matched_results(results(spark, folder), c.select(*[F.col(x).alias(x) for x in c.columns])).select("rec_id", "chunk_index", "end_ms")
 
 
@@ -112,7 +113,7 @@ def lines(spark, folder):
     return c.select(F.col("conv_id").alias("rec_id"), "text", s.alias("start_time"), F.when(F.col("turn") % 4 != 3, s + 7.25).alias("end_time"))
 
 
-@query("trx7_plain_text", f"SELECT rec_id, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY pos) AS text FROM ({_LINES}) WHERE text <> '' GROUP BY rec_id")
+@query("trx7_plain_text", f"SELECT rec_id, string_agg(text, ' ' ORDER BY pos) AS text FROM ({_LINES}) WHERE text <> '' GROUP BY rec_id")
 def trx7(spark, folder):
     return X.plain_text(lines(spark, folder))
 
@@ -120,7 +121,7 @@ def trx7(spark, folder):
 _STAMP = "printf('[%02d:%02d] ', CAST(floor(s / 60) AS BIGINT), CAST(floor(s % 60) AS BIGINT)) || text || chr(10)"
 
 
-@query("trx8_stamped_text", f"SELECT rec_id, CAST(0 AS BIGINT) AS part, string_agg({_STAMP}, chr(10) ORDER BY pos) AS text FROM ({_LINES}) GROUP BY rec_id")
+@query("trx8_stamped_text", f"SELECT rec_id, string_agg({_STAMP}, chr(10) ORDER BY pos) AS text FROM ({_LINES}) GROUP BY rec_id")
 def trx8(spark, folder):
     return X.stamped_text(lines(spark, folder))
 
@@ -129,7 +130,7 @@ def _clock(x: str) -> str:
     return f"printf('%02d:%02d:%02d,%03d', CAST(floor({x} / 3600) AS BIGINT), CAST(floor(({x} % 3600) / 60) AS BIGINT), CAST(floor({x} % 60) AS BIGINT), CAST(floor(({x} % 1) * 1000) AS BIGINT))"
 
 
-@query("trx9_subtitles", f"""SELECT rec_id, CAST(0 AS BIGINT) AS part, string_agg(CAST(n AS VARCHAR) || chr(10) || {_clock('s')} || ' --> ' || {_clock('e1')} || chr(10) || text || chr(10), chr(10) ORDER BY pos) AS text
+@query("trx9_subtitles", f"""SELECT rec_id, string_agg(CAST(n AS VARCHAR) || chr(10) || {_clock('s')} || ' --> ' || {_clock('e1')} || chr(10) || text || chr(10), chr(10) ORDER BY pos) AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS n, CASE WHEN pos % 4 = 3 THEN s + 3 ELSE e END AS e1 FROM ({_LINES})) GROUP BY rec_id""")
 def trx9(spark, folder):
     return X.subtitles(lines(spark, folder))
@@ -222,7 +223,7 @@ _JA = "(list_filter(range(1, least(len(pw), len(ws), 5) + 1), lambda j: pw[len(p
           SELECT r.rec_id, r.n, r.total, r.t, r.ws, r.success AS ok, w.prev, w.pw FROM walk w JOIN num r ON r.rec_id = w.rec_id AND r.n = w.n + 1))),
     piece AS (SELECT *, lead(piece) OVER o AS nxt, lead(gap) OVER o AS nxt_gap FROM walk WHERE piece IS NOT NULL WINDOW o AS (PARTITION BY rec_id ORDER BY n)),
     dotted AS (SELECT rec_id, n, CASE WHEN nxt IS NOT NULL AND NOT nxt_gap AND NOT regexp_matches(piece, '[.!?]$') AND NOT regexp_matches(nxt, '^\\p{{Lu}}') THEN piece || '.' ELSE piece END AS piece FROM piece)
-    SELECT rec_id, CAST(0 AS BIGINT) AS part, replace(replace(replace(replace({S.squeeze("string_agg(piece, ' ' ORDER BY n)")}, ' .', '.'), ' ,', ','), ' ?', '?'), ' !', '!') AS text FROM dotted GROUP BY rec_id""")
+    SELECT rec_id, replace(replace(replace(replace({S.squeeze("string_agg(piece, ' ' ORDER BY n)")}, ' .', '.'), ' ,', ','), ' ?', '?'), ' !', '!') AS text FROM dotted GROUP BY rec_id""")
 def trx5(spark, folder):
     return X.merged_transcript(overlapped(spark, folder, 300, 270))
 
