@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import checks
-from ..functions.arrays import bind, change, each, final_label, lookup, make_span, no_spans
+from ..functions.arrays import bind, change, each, lookup, make_span, no_spans
 from ..functions.finditer import (char_slice, contains_match, find_all, find_literal, full_match, unicode_regex)
 from ..functions.text import normalize_text
 from . import overlap
@@ -289,7 +289,3 @@ def detect_all(df: DataFrame, text: str = "text", out: str = "spans", prediction
 def explode_spans(df: DataFrame, spans: str, *keep: str) -> DataFrame:
     """One row per span with its position ``ord`` in the array."""
     return each(df, spans, *keep, name="span", position="ord").select(*keep, "ord", "span.*")
-
-
-def label_of(spans: Column) -> Column:
-    return F.transform(spans, final_label)

@@ -125,16 +125,28 @@ def short_names(spark, folder):
     return flat(docs.withColumn("spans", D.short_name_spans(F.col("text"))), "spans", "doc_id")
 
 
-@query("pat23_redaction_hits", """
+_AFTER = " 김민수 www.a1.kr/ 010-2345-6789 801010-1234567 1234-5678-9012-3456 hong@a1.com 끝"
+_AFTER_HITS = [("name", "김민수"), ("url", "www.a1.kr/"), ("phone", "010-2345-6789"), ("resident", "801010-1234567"), ("card", "1234-5678-9012-3456"), ("email", "hong@a1.com")]
+_AFTER_DIGITS = ["2345", "6789", "801010", "1234567", "1234", "5678", "9012", "3456"]
+
+
+def _after_hits() -> str:
+    rows, at = [f"('{n}', {_AFTER.index(x)}, '{x}')" for n, x in _AFTER_HITS], 0
+    for x in _AFTER_DIGITS:
+        at = _AFTER.index(x, at)
+        rows.append(f"('digits', {at}, '{x}')")
+        at += len(x)
+    return f"SELECT k, p, 3 + length(CAST(1000 + k * 7 AS STRING)) + o, x FROM t, (VALUES {', '.join(rows)}) v(p, o, x)"
+
+
+@query("pat23_redaction_hits", f"""
     WITH t AS (SELECT o_orderkey AS k FROM orders)
-    SELECT k AS doc_id, 'digits' AS pattern, CAST(3 AS BIGINT) AS span_start, CAST(1000 + k * 7 AS STRING) AS span_text FROM t
-    UNION ALL SELECT k, 'name', 3 + length(CAST(1000 + k * 7 AS STRING)) + 1, '김민수' FROM t
-    UNION ALL SELECT k, 'url', 3 + length(CAST(1000 + k * 7 AS STRING)) + 5, 'www.a' || CAST(k % 9 AS STRING) || '.kr/' FROM t""")
+    SELECT k AS doc_id, 'digits' AS pattern, CAST(3 AS BIGINT) AS span_start, CAST(1000 + k * 7 AS STRING) AS span_text FROM t UNION ALL {_after_hits()}""")
 def redaction_hits(spark, folder):
-    pieces = [Piece("'번호 '"), Piece("CAST(1000 + k * 7 AS STRING)"), Piece("' 김민수 '"), Piece("'www.a' || CAST(k % 9 AS STRING) || '.kr/'"), Piece("' 끝'")]
+    pieces = [Piece("'번호 '"), Piece("CAST(1000 + k * 7 AS STRING)"), Piece(f"'{_AFTER}'")]
     from ..functions.finditer import find_all
     docs = C.sentences(Tables(spark, folder).orders, pieces)
-    hits = F.array(*[F.struct(F.lit(n).alias("n"), find_all(F.col("text"), p).alias("m")) for n, p in L.REDACTION_BANK if n in ("url", "name", "digits")])
+    hits = F.array(*[F.struct(F.lit(n).alias("n"), find_all(F.col("text"), p).alias("m")) for n, p in L.REDACTION_BANK])
     rows = docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", F.col("h.n").alias("pattern"), F.explode("h.m").alias("m"))
     return rows.select("doc_id", "pattern", F.col("m.start").cast("long").alias("span_start"), F.col("m.text").alias("span_text"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread, table
+from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,12 +29,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 class Tables:
     """``t.documents`` reads ``<folder>/documents.parquet``."""
 
+    #: How a local run lays out the scans of tables with long rows; as they are unless it says otherwise.
+    layout: Callable[[DataFrame], DataFrame] = staticmethod(lambda rows: rows)
+
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         rows = table(self._spark, self._folder, name)
-        return spread(rows) if name in ("documents", "orders", "pages") else rows
+        return self.layout(rows) if name in ("documents", "orders", "pages") else rows
 
 
 def load_all() -> None:

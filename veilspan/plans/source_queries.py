@@ -12,7 +12,7 @@ from ..session import shared_folder
 from ..sources import documents as Docs, responses, tokens as Tok, transcripts as Tr, vault as V
 from .masking_queries import _PIECES, _SRC, _masked_sql, docs_with_spans
 from .registry import Tables, query
-from .summary_queries import span_rows
+from .summary_queries import _ROWS, _SUMMARY, span_rows
 from .token_queries import _TAGS, sentences
 
 
@@ -65,13 +65,13 @@ def src5(spark, folder):
     return back.select("session_id", F.col("audio_enhancement.before.rms").try_cast("double").alias("before_rms"), "masking.masked_text", F.size("pii_detection.entities").cast("long").alias("entities"))
 
 
-@query("src6_bio_files", f"WITH {_TAGS} SELECT count(DISTINCT doc_id) AS sentences, count(*) AS tokens, count(*) FILTER (g = 'B-주소') AS addresses FROM tag")
+@query("src6_bio_files", f"WITH {_TAGS} SELECT string_agg(w, ' ' ORDER BY i) AS tokens, string_agg(g, ' ' ORDER BY i) AS tags FROM tag GROUP BY doc_id")
 def src6(spark, folder):
     path = _fresh(spark, "bio")
     rows = sentences(spark, folder).where(F.size("tokens") > 0)
     Tok.bio_lines(rows, "tokens", "gold").write.text(path)
     back = Tok.read_bio(spark, path)
-    return back.agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size(F.filter("tags", lambda t: t == "B-주소"))).alias("addresses"))
+    return back.select(F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
 
 _SHAPES = """CASE k % 4 WHEN 0 THEN '{"labels":["B-A","O","B-A","I-' || CAST(k AS STRING) || '"]}' WHEN 1 THEN '{"O":0,"Z":1,"B-' || CAST(k AS STRING) || '":2}'
@@ -84,11 +84,11 @@ def src7(spark, folder):
     return rows.select("k", F.array_join(Tok.schema_labels(F.col("content")), ",").alias("labels"))
 
 
-@query("src11_label_summary_csv", "SELECT '이름' AS label, count(*) AS count FROM orders UNION ALL SELECT '번호', count(*) FROM orders UNION ALL SELECT '계정', count(*) FROM orders UNION ALL SELECT '정신건강', count(*) FROM orders")
+@query("src11_label_summary_csv", f"WITH src AS (SELECT label, t, k * 10 + ord AS o FROM ({_ROWS})), {_SUMMARY}")
 def src11(spark, folder):
     path = _fresh(spark, "summary")
     Docs.write_label_summary(A.summarize_by_label(span_rows(spark, folder)), path)
-    return spark.read.option("header", True).schema("label string, count long, examples string").csv(path).select("label", "count")
+    return spark.read.option("header", True).schema("label string, count long, examples string").csv(path)
 
 
 @query("src12_rule_presets", f"SELECT 'standard' AS name, 'advanced' AS mode, label, mask FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in L.DEFAULT_RULES['label_rules'].items())}) v(label, mask) JOIN (SELECT DISTINCT lab FROM (SELECT ['이름','번호','주소','계정','금융','URL','신원','소속'][o_orderkey % 8 + 1] AS lab FROM orders)) ON lab = label")

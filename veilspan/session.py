@@ -34,16 +34,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
-
-    Text work is bound by the processor, so a single small file should not run as one task.
-    Tables with enough splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _single_machine(master: str) -> bool:
     """``local``, ``local[8]`` and ``local[*,2]`` share one disk; ``local-cluster[...]`` and the rest do not."""
     return master == "local" or master.startswith("local[")
