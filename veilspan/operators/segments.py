@@ -19,7 +19,11 @@ KEY = ["rec_id"]
 
 
 def _with_lookahead(df: DataFrame, at: str, reach: int, width: int = TIME_BLOCK) -> DataFrame:
-    """Rows by time block, plus copies of the first ``reach`` of each block for the block before."""
+    """Rows by time block, plus copies of the first ``reach`` of each block for the block before.
+
+    A block is at least as wide as the look-ahead, which so never passes the next block.
+    """
+    width = max(width, reach)
     own = with_block(df, at, width).withColumn("_own", F.lit(True))
     copies = own.where((F.col(at) % width) <= reach).select(
         *[c for c in own.columns if c not in (BLOCK, "_own")], (F.col(BLOCK) - 1).alias(BLOCK), F.lit(False).alias("_own"))
@@ -194,8 +198,9 @@ def _next_pause(nodes: DataFrame, pauses: DataFrame, recordings: DataFrame, stri
                 per_round: int = 8) -> DataFrame:
     """For every node the first pause within ``snap`` of ``at + m * stride`` for the smallest m >= 1.
 
-    Each round probes the next ``per_round`` grid points of the nodes still open by equality on
-    (recording, time cell); long stretches without any pause just take more rounds.
+    Each round probes the next grid points of the nodes still open by equality on (recording, time
+    cell), twice as many as the round before, so the rounds grow with the logarithm of the longest
+    stretch without a pause.
     """
     cell = 2 * snap
     targets = pauses.select(*KEY, F.floor(F.col("at") / cell).alias("cell"), F.col("pos").alias("_pos"), F.col("at").alias("_at"))
@@ -220,6 +225,7 @@ def _next_pause(nodes: DataFrame, pauses: DataFrame, recordings: DataFrame, stri
         if still_open.isEmpty():
             return solved
         m0 += per_round
+        per_round *= 2
 
 
 def fixed_windows(recordings: DataFrame, step: int = L.CHUNK_IDEAL, overlap: int = L.CHUNK_OVERLAP) -> DataFrame:
