@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions.arrays import make_span
-from ..operators import detect as D, masking as M
+from ..operators import detect as D, endtoend, masking as M
 from ..session import shared_folder
 from ..sources import vault as V
 from . import corpus as C
@@ -168,3 +168,21 @@ def _tag(i: int) -> str:
 @query("str22_highlight", f"SELECT k AS doc_id, {' || '.join(_tag(i) if p.label else f's{i}' for i, p in enumerate(_PIECES))} AS out_text FROM {_SRC}")
 def str22(spark, folder):
     return docs_with_spans(spark, folder).select("doc_id", M.highlight(F.col("text"), F.col("spans")).alias("out_text"))
+
+
+# --- the whole way: correct, detect, mask -------------------------------------------------------
+
+_E1 = [Piece("'연락 '"), Piece(C.resident("'-'"), "신원", "주민등록번호"), Piece("', 메일 '"), Piece(C.EMAIL, "계정", "이메일"), Piece("' 끝입니다.'")]
+_E1_MASKED = " || ".join(f"'{L.DEFAULT_RULES['label_rules'].get(p.label, L.MASK_DEFAULT)}'" if p.label else p.sql for p in _E1)
+_E1_TEXT = " || ".join(p.sql for p in _E1)
+
+
+@query("e1_correct_detect_mask", f"""SELECT k AS doc_id, k % 5 > 1 AS success, CASE WHEN k % 5 > 1 THEN {_E1_TEXT} END AS corrected_text, CASE WHEN k % 5 > 1 THEN {_E1_MASKED} END AS masked_text,
+    CASE WHEN k % 5 > 1 THEN 2 ELSE 0 END AS entities, CASE k % 5 WHEN 0 THEN 'API Error Code: 5' WHEN 1 THEN 'no text' ELSE '' END AS errors FROM (SELECT o_orderkey AS k FROM orders)""")
+def e1(spark, folder):
+    k = F.col("k")
+    rows = Tables(spark, folder).orders.select(F.col("o_orderkey").alias("k")).select(
+        k.alias("doc_id"), F.when(k % 5 == 1, "  ").when(k % 5 > 1, F.replace(F.expr(_E1_TEXT), F.lit("연락 "), F.lit("연락   "))).alias("text"),
+        F.when(k % 5 == 0, "API Error Code: 5").alias("asr_error"))
+    done = endtoend.process(rows, error="asr_error")
+    return done.select("doc_id", "success", "corrected_text", "masked_text", F.size("records").alias("entities"), F.array_join("errors", ";").alias("errors"))
