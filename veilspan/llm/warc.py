@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.session import written
+
 from .common import batches
 
 #: Payloads of fewer bytes are always archived in full.
@@ -50,8 +52,9 @@ def revisits(pages: DataFrame, *, key: str = "page_id", payload: str = "html") -
     large = F.octet_length(body) >= REVISIT_BYTES
     mark = F.when(large, F.unhex(F.sha2(body, 256)))
     marked = pages.drop("refers_to", "_mark", "_largest").withColumn("_mark", mark)
-    groups = (marked.where("_mark is not null").groupBy("_mark")
-              .agg(F.max(key).alias("_largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    # written, so that the join's two sides are dealt alike and Spark can split a frequent payload
+    groups = written(marked.where("_mark is not null").groupBy("_mark")
+                     .agg(F.max(key).alias("_largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     joined = marked.join(groups, "_mark", "left")
     other = F.when(~F.col(key).eqNullSafe(F.col("_largest")), F.col("_largest"))
     return joined.withColumn("refers_to", other).drop("_mark", "_largest")
@@ -257,11 +260,12 @@ def inventory(spark, folder: str) -> DataFrame:
     Length and digest of a revisit are those of the response that it refers to, which must be in
     the archive with the digest that the revisit states.
     """
-    pages = read_pages(spark, folder).select(
-        "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"))
+    # one reading of the archives; of the payloads only their lengths go on
+    pages = written(read_pages(spark, folder).select(
+        "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n")))
     full = pages.where("record_type = 'response'")
-    lengths = full.where(F.col("n") >= REVISIT_BYTES).groupBy(
-        F.col("page_id").alias("refers_to"), "digest").agg(F.max("n").alias("target"))
+    lengths = written(full.where(F.col("n") >= REVISIT_BYTES).groupBy(
+        F.col("page_id").alias("refers_to"), "digest").agg(F.max("n").alias("target")))
     again = pages.where("record_type = 'revisit'").drop("n").join(lengths, ["refers_to", "digest"], "left").select(
         "page_id", "record_type", "refers_to", "digest",
         _checked(F.col("target").isNotNull(), F.col("target"), "a revisit refers to no response").alias("n"))
