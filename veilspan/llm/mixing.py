@@ -9,7 +9,7 @@ order is a uniform global shuffle.  Everything is built from column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fraction, known_small
@@ -36,9 +36,9 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, *, al
         for name, weight in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(share)
     shares = sizes.select("*", F.when(F.col("bytes") > 0, share).otherwise(0.0).alias("_share"))
-    totals = shares.agg(F.sum("bytes").alias("_bytes"), F.sum("_share").alias("_shares"))
-    # one row of totals, attached by a constant key
-    both = shares.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")
+    # the window holds one row per source, after counting
+    every = Window.partitionBy(F.lit(1))
+    both = shares.withColumns({"_bytes": F.sum("bytes").over(every), "_shares": F.sum("_share").over(every)})
     rate = F.when(F.col("bytes") == 0, 1.0).when(F.col("_shares") == 0, 0.0).otherwise(
         F.lit(float(epochs)) * F.col("_bytes") * F.col("_share") / F.col("_shares") / F.col("bytes"))
     return both.select("source", "bytes", rate.alias("rate"))
