@@ -67,14 +67,12 @@ def judge(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched:
         "_row", at.alias("_at"), bucket(at).alias("bucket"), F.pmod(F.xxhash64("_row"), F.lit(PARTS)).cast("int").alias("part"),
         F.explode(domains(host(F.col(url)))).alias("domain"))
     listed = intervals(entries)
-    # intervals that are still open are followed to the last capture
-    span = captures.agg(F.min(F.col(fetched).cast("timestamp")).alias("_first"), F.max(F.col(fetched).cast("timestamp")).alias("_last"))
-    clipped = listed.withColumn("_k", F.lit(1)).join(F.broadcast(span.withColumn("_k", F.lit(1))), "_k").where(
-        (F.col("valid_from") <= F.col("_last")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_first"))))
-    first = F.greatest(bucket(F.col("valid_from")), bucket(F.col("_first")))
-    last = F.least(bucket(F.coalesce("valid_to", "_last")), bucket(F.col("_last")))
-    spread = clipped.select(
-        "domain", "valid_from", "valid_to", F.explode(F.sequence(first, last)).alias("bucket")).select(
+    # intervals are followed from the first capture to the last: two numbers, which fit into the plan
+    first, last = asked.agg(F.min("bucket"), F.max("bucket")).first()
+    begin = F.greatest(bucket(F.col("valid_from")), F.lit(first))
+    end = F.least(F.coalesce(bucket(F.col("valid_to")), F.lit(last)), F.lit(last))
+    spread = listed.withColumns({"_begin": begin, "_end": end}).where("_begin <= _end").select(
+        "domain", "valid_from", "valid_to", F.explode(F.sequence("_begin", "_end")).alias("bucket")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     met = asked.join(spread, ["domain", "bucket", "part"]).where(
         (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
