@@ -68,7 +68,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, *, text: str = "tex
     lines = plain.where(whole.isNotNull()).select(
         hashed.alias("_text"), F.posexplode(F.transform(F.split(whole, "\n"), line_key)).alias("_at", "line"))
     hits = lines.join(bad, "line", "left_semi").groupBy("_text", "_at").agg(F.lit(1).alias("_one"))
-    gone = hits.groupBy("_text").agg(F.collect_list("_at").alias("_gone"))
+    # written, so that the join's two sides are dealt alike and Spark can split a text with many copies
+    gone = written(hits.groupBy("_text").agg(F.collect_list("_at").alias("_gone")))
     joined = plain.withColumn("_text", F.when(whole.isNotNull(), hashed)).join(gone, "_text", "left")
     parts = F.split(whole, "\n")
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
