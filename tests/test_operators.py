@@ -251,3 +251,32 @@ def test_terminated_sentences_drop_the_tail(spark):
     df = spark.createDataFrame([("하나. 둘! 꼬리",), ("끝이 없다",)], "text string")
     got = [r[0] for r in df.select(T.terminated_sentences(F.col("text"))).collect()]
     assert got == [["하나.", "둘!"], ["끝이 없다"]]
+
+
+def test_exact_quantile_on_crowded_values(spark):
+    rnd = random.Random(21)
+    rows = [(k, v) for k, values in {
+        "spread": [rnd.random() for _ in range(5000)], "crowded": [1e9, -1e9] + [rnd.random() * 1e-6 for _ in range(6000)],
+        "tied": [3.0] * 4000 + [7.0], "one": [5.0], "few": [1.0, 2.0, 4.0]}.items() for v in values] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for p in (0.0, 0.2, 0.5, 0.999, 1.0):
+        got = {r.k: r.quantile for r in ordered.exact_quantile(df, ["k"], "v", p, per_bucket=16).collect()}
+        for k in ("spread", "crowded", "tied", "one", "few"):
+            vs = sorted(v for n, v in rows if n == k and v is not None)
+            spot = (len(vs) - 1) * p
+            lo = int(spot)
+            want = vs[lo] + (vs[min(lo + 1, len(vs) - 1)] - vs[lo]) * (spot - lo)
+            assert got[k] == pytest.approx(want, rel=1e-9, abs=1e-12), (k, p)
+
+
+def test_equal_chunks_take_the_same_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(transcripts, "cut_lineage", lambda df, keep=transcripts.cut_lineage: (cuts.append(1), keep(df))[1])
+    rounds = []
+    for n in (2, 600):
+        cuts.clear()
+        rows = [(0, i, "aaaa bbbb cccc dddd eeee ffff") for i in range(n)] + [(0, n, "other words come here at last")]
+        out = transcripts.stitched(spark.createDataFrame(rows, "rec_id long, chunk_index long, text string"), transcripts.cut_prefix)
+        assert out.where("NOT removed").count() >= 2
+        rounds.append(len(cuts))
+    assert rounds[0] == rounds[1]

@@ -146,7 +146,7 @@ def signal_to_noise(frames: DataFrame, noise_frames: int) -> DataFrame:
     return per_frame.groupBy(*KEY).agg(noise.alias("noise_level"), level.alias("signal_level"), (level - noise).alias("snr"))
 
 
-def quiet_noise(frames: DataFrame, min_frames: int, noise_frames: int, runs_used: int = 3, bucket: float = 0.001) -> DataFrame:
+def quiet_noise(frames: DataFrame, min_frames: int, noise_frames: int, runs_used: int = 3) -> DataFrame:
     """Noise level from the first quiet runs of a recording.
 
     Quiet frames are below the recording's 20th percentile of frame RMS; a run counts when it is
@@ -154,7 +154,7 @@ def quiet_noise(frames: DataFrame, min_frames: int, noise_frames: int, runs_used
     """
     per_frame = frames.select(*KEY, "frame_idx", F.size("samples").alias("n"), energy(F.col("samples")).alias("ss")).withColumn(
         "level", F.sqrt(F.col("ss") / F.col("n")))
-    limit = exact_quantile(per_frame, KEY, "level", 0.2, bucket, "limit")
+    limit = exact_quantile(per_frame, KEY, "level", 0.2, "limit")
     flagged = per_frame.join(limit, KEY).withColumn("loud", (F.col("level") >= F.col("limit")).cast("long"))
     # quiet frames between the same two loud ones form a run
     runs = running(flagged, KEY, ["frame_idx"], {"run": ("sum", "loud")}, width=65536)

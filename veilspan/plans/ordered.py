@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BLOCK = "_block"
 ROWS_PER_BLOCK = 4096
 SECOND_LEVEL = 4096
@@ -82,28 +84,37 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, columns: Sequence[s
     return df.join(other, [*keys, pos], "left")
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, width: float,
-                   out: str = "quantile") -> DataFrame:
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str = "quantile",
+                   per_bucket: int = 1024, levels: int = 2) -> DataFrame:
     """Linearly interpolated quantile per key, by counting value buckets first.
 
-    Only the buckets that hold the two ranks around ``p`` are ranked row by row, so no task
-    sees all values of a key.
+    Equal values are counted together.  A key's range is cut into about one bucket per
+    ``per_bucket`` distinct values and only the buckets that hold the two ranks around ``p`` are
+    looked at again, in the same way over their own range, so values that crowd together are
+    spread by the next level.  What the last level leaves is ranked row by row.
     """
-    blocked = with_block(df.select(*keys, F.col(value).cast("double").alias("_v")), "_v", width)
-    counts = blocked.groupBy(*keys, BLOCK).agg(F.count("*").alias("n"))
-    before = _prefix(counts, keys, {"n": F.sum}).select(
-        *keys, BLOCK, (F.coalesce("_near_n", F.lit(0)) + F.coalesce("_far_n", F.lit(0))).alias("_before"))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    keys = list(keys)
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
     spot = (F.col("_total") - 1) * F.lit(p)
-    wanted = (counts.join(before, [*keys, BLOCK]).join(total, list(keys))
-              .withColumn("_lo", F.floor(spot)).withColumn("_hi", F.ceil(spot)).withColumn("_frac", spot - F.floor(spot))
-              .where((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("n") > F.col("_lo"))))
-    # equal values inside a bucket collapse before they are ranked
-    values = blocked.groupBy(*keys, BLOCK, "_v").agg(F.count("*").alias("_m"))
-    w = Window.partitionBy(*keys, BLOCK).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (values.join(wanted.drop("n"), [*keys, BLOCK])
-              .withColumn("_last", F.col("_before") + F.sum("_m").over(w) - 1)
-              .withColumn("_first", F.col("_last") - F.col("_m") + 1))
+    ranks = values.groupBy(*keys).agg(F.sum("_m").alias("_total")).select(
+        *keys, F.floor(spot).alias("_lo"), F.ceil(spot).alias("_hi"), (spot - F.floor(spot)).alias("_frac"))
+    left = values.join(ranks, keys).withColumn("_base", F.lit(0).cast("long"))
+    carried = ["_lo", "_hi", "_frac", "_base"]
+    for _ in range(levels):
+        left = written(left)  # read three times below
+        span = left.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("*").alias("_n"))
+        share = F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min"))
+        cut = left.join(span, keys).withColumn(BLOCK, F.coalesce(F.floor(share * F.ceil(F.col("_n") / per_bucket)), F.lit(0)).cast("long"))
+        counts = cut.groupBy(*keys, BLOCK).agg(F.sum("_m").alias("n"))
+        first = F.coalesce("_near_n", F.lit(0)) + F.coalesce("_far_n", F.lit(0))
+        before = _prefix(counts, keys, {"n": F.sum}).select(*keys, BLOCK, first.alias("_before")).join(counts, [*keys, BLOCK])
+        placed = cut.select(*keys, "_v", "_m", *carried, BLOCK).join(before, [*keys, BLOCK]).withColumn("_base", F.col("_base") + F.col("_before"))
+        near = placed.where((F.col("_base") <= F.col("_hi")) & (F.col("_base") + F.col("n") > F.col("_lo")))
+        # at most two buckets of a key remain; ranks go on from the first of them
+        start = near.groupBy(*keys).agg(F.min("_base").alias("_base"))
+        left = near.select(*keys, "_v", "_m", "_lo", "_hi", "_frac").join(start, keys)
+    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = left.withColumn("_last", F.col("_base") + F.sum("_m").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_m") + 1)
     at = lambda r: F.max(F.when(F.col(r).between(F.col("_first"), F.col("_last")), F.col("_v")))
     picked = ranked.groupBy(*keys).agg(at("_lo").alias("_a"), at("_hi").alias("_b"), F.max("_frac").alias("_f"))
     return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(out))

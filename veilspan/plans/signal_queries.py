@@ -66,7 +66,7 @@ def sig4(spark, folder):
 @query("sig5_quantiles", "SELECT user_id AS rec_id, round(quantile_cont(value, 0.2), 6) AS quantile FROM events GROUP BY user_id")
 def sig5(spark, folder):
     e = Tables(spark, folder).events.select(F.col("user_id").alias("rec_id"), "value")
-    return exact_quantile(e, ["rec_id"], "value", 0.2, 5.0).withColumn("quantile", F.round("quantile", 6))
+    return exact_quantile(e, ["rec_id"], "value", 0.2).withColumn("quantile", F.round("quantile", 6))
 
 
 @query("sig5_array_quantile", f"SELECT vec_id, round(list_aggregate(v, 'quantile_cont', 0.2), 9) AS q FROM ({_S})")
