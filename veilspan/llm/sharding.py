@@ -16,7 +16,7 @@ of the number of groups.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.session import written
@@ -86,11 +86,12 @@ def contiguous_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     if not facts[0] or shards < 2:
         return [], int(facts[0] or 0)
     total, largest = int(facts[0]), int(facts[1])
-    edges = np.array([0, 1 << POSITION_BITS], dtype=object)  # stretch i is [edges[i], edges[i + 1])
+    # stretch i holds the places from edges[i] up to edges[i + 1] and all its groups agree above levels[i] bits
+    edges, levels = np.array([0, 1 << POSITION_BITS], dtype=object), np.array([POSITION_BITS])
     sums, solid = np.array([total], dtype=np.int64), np.array([facts[2] == 1])
     split = np.array([True])
     while True:
-        edges, sums, solid = _divided(groups, edges, sums, solid, split)
+        edges, levels, sums, solid = _divided(groups, edges, levels, sums, solid, split)
         ends = np.cumsum(sums)
         low = max(-(-total // shards), largest)
         low = _smallest(ends, solid, shards, True, low)
@@ -115,48 +116,42 @@ def contiguous_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
             raise AssertionError("no stretch is left to divide")
 
 
-def _divided(groups, edges, sums, solid, split):
+def _divided(groups: DataFrame, edges: np.ndarray, levels: np.ndarray, sums: np.ndarray, solid: np.ndarray, split: np.ndarray):
     """Divide the marked stretches: into their groups when those are few, else evenly in places."""
     marked = np.flatnonzero(split)
-    runs = []  # neighbouring marked stretches are read as one range
-    for i in marked.tolist():
-        if runs and runs[-1][1] == edges[i]:
-            runs[-1][1] = edges[i + 1]
-        else:
-            runs.append([edges[i], edges[i + 1]])
-    inside = F.lit(False)
-    for lo, hi in runs:
-        inside = inside | ((F.col("place") >= int(lo)) & (F.col("place") < int(hi)))
-    wanted = groups.where(inside)
+    wanted = None
+    for level in sorted({int(levels[i]) for i in marked}):
+        part = groups
+        if level < POSITION_BITS:
+            # as many rows as stretches, which are bounded
+            cells = [(int(edges[i]) >> level,) for i in marked if levels[i] == level]
+            known = groups.sparkSession.createDataFrame(cells, "cell long")
+            part = groups.withColumn("cell", F.shiftright("place", level)).join(F.broadcast(known), "cell", "left_semi").drop("cell")
+        wanted = part if wanted is None else wanted.unionByName(part)
     few = wanted.limit(STRETCHES + 1).count() <= STRETCHES
     # cells are powers of two wide and shrink, so no cell reaches over an earlier edge
-    widest = max(int(edges[i + 1] - edges[i]) for i in marked.tolist())
-    bits, most = 0, max(STRETCHES, 16 * len(marked))
-    while not few and len(marked) * (((widest - 1) >> bits) + 1) > most:
+    widest, most = max(int(levels[i]) for i in marked), max(STRETCHES, 16 * len(marked))
+    bits = 0
+    while not few and len(marked) << (widest - bits) > most:
         bits += 1
     cell = F.shiftleft(F.shiftright("place", bits), bits)
     parts = wanted.groupBy(cell.alias("first")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
     rows = sorted(tuple(r) for r in parts.select("first", "bytes", "n").collect())
-    first = [r[0] for r in rows]
-    new_edges, new_sums, new_solid = [], [], []
+    out: list[tuple[int, int, int, bool]] = []
     at = 0
     for i in range(len(sums)):
-        lo, hi = edges[i], edges[i + 1]
         if not split[i]:
-            new_edges.append(lo)
-            new_sums.append(int(sums[i]))
-            new_solid.append(bool(solid[i]))
+            out.append((edges[i], int(levels[i]), int(sums[i]), bool(solid[i])))
             continue
-        mine = []
-        while at < len(rows) and first[at] < hi:
-            mine.append(rows[at])
+        start = edges[i]
+        while at < len(rows) and rows[at][0] < edges[i + 1]:
+            first, size, n = rows[at]
+            out.append((int(first), min(bits, int(levels[i])), int(size), n == 1))
             at += 1
-        starts = [lo, *[r[0] for r in mine[1:]]]
-        for start, (_, size, n) in zip(starts, mine, strict=True):
-            new_edges.append(start)
-            new_sums.append(int(size))
-            new_solid.append(n == 1)
-    return (np.array([*new_edges, edges[-1]], dtype=object), np.array(new_sums, dtype=np.int64), np.array(new_solid))
+        if out[-1][0] < start:
+            raise AssertionError("a marked stretch holds no group")
+    new_edges, new_levels, new_sums, new_solid = zip(*out, strict=True)
+    return (np.array([*new_edges, edges[-1]], dtype=object), np.array(new_levels), np.array(new_sums, dtype=np.int64), np.array(new_solid))
 
 
 def plan(groups: DataFrame, shards: int) -> tuple[dict[int, int], list[int], int]:
@@ -178,6 +173,15 @@ def plan(groups: DataFrame, shards: int) -> tuple[dict[int, int], list[int], int
     return alone, cuts, len(alone)
 
 
+def _stretch(cuts: list[int], first: int, place: Column) -> Column:
+    """``first`` plus the number of cuts up to ``place``, by halving."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    below, above = _stretch(cuts[:half], first, place), _stretch(cuts[half + 1:], first + half + 1, place)
+    return F.when(place < cuts[half], below).otherwise(above)
+
+
 def assign(docs: DataFrame, shards: int = 40, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
@@ -196,10 +200,7 @@ def assign(docs: DataFrame, shards: int = 40, *, key: str = "doc_id", text: str
     groups = written(measured(plain, text=text).groupBy("place").agg(F.sum("size").alias("bytes")))
     alone, cuts, first = plan(groups, shards)
     place = F.col("place")
-    shard = F.lit(first)
-    if cuts:
-        # cuts are at most as many as shards
-        shard = shard + F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= place))
+    shard = _stretch(cuts, first, place)
     for where, number in alone.items():
         shard = F.when(place == where, number).otherwise(shard)
     dealt = measured(plain, text=text).withColumn("shard", shard.cast("int"))
@@ -209,7 +210,7 @@ def assign(docs: DataFrame, shards: int = 40, *, key: str = "doc_id", text: str
     numbered = blocked.withColumn("_in_block", F.row_number().over(inner) - 1)
     counts = blocked.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     outer = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
+    before = written(counts.select("shard", "_block", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before")))
     # at most shards * BLOCKS rows, so the size of this side has a proven bound
     known = F.broadcast(before) if shards * BLOCKS <= 1 << 20 else before
     joined = numbered.join(known, ["shard", "_block"])
