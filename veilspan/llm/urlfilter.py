@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspan.session import written
+
 #: Interval and capture times are cut into buckets of so many seconds, which the join takes as an equality.
 BUCKET_SECONDS = 30 * 86400
 #: Every (domain, bucket) of the captures is dealt to so many parts; list entries are repeated as often.
@@ -56,27 +58,30 @@ def judge(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched:
     its parents).  A capture without a host or fetch time is not blocked.  Repeated captures are
     judged each.  Input columns of the added names are replaced.
 
-    A capture and an interval meet on (domain, time bucket, part), so neither a common host nor a
-    common parent domain is one task; within that, intervals of a domain do not overlap, so a
-    capture meets at most one interval per domain.
+    Distinct pairs of host and time are judged once and joined back by value, so the result does
+    not depend on how the captures are read.  A pair and an interval meet on (domain, time bucket,
+    part), so neither a common host nor a common parent domain is one task; within that, intervals
+    of a domain do not overlap, so a pair meets at most one interval per domain.
     """
-    plain = captures.drop("blocked", "list_domain", "listed_since").withColumn("_row", F.monotonically_increasing_id())
-    at = F.col(fetched).cast("timestamp")
+    at, name = F.col(fetched).cast("timestamp"), host(F.col(url))
+    plain = captures.drop("blocked", "list_domain", "listed_since")
+    pairs = written(plain.select(name.alias("_url_host"), at.alias("_url_at")).where(
+        "_url_host is not null and _url_at is not null").distinct())
     bucket = lambda c: F.floor(F.unix_timestamp(c) / BUCKET_SECONDS)
-    asked = plain.where(at.isNotNull()).select(
-        "_row", at.alias("_at"), bucket(at).alias("bucket"), F.pmod(F.xxhash64("_row"), F.lit(PARTS)).cast("int").alias("part"),
-        F.explode(domains(host(F.col(url)))).alias("domain"))
-    listed = intervals(entries)
+    asked = pairs.select(
+        "*", bucket(F.col("_url_at")).alias("bucket"), F.pmod(F.xxhash64("_url_host", "_url_at"), F.lit(PARTS)).cast("int").alias("part"),
+        F.explode(domains(F.col("_url_host"))).alias("domain"))
     # intervals are followed from the first capture to the last: two numbers, which fit into the plan
-    first, last = asked.agg(F.min("bucket"), F.max("bucket")).first()
+    first, last = pairs.agg(F.min(bucket(F.col("_url_at"))), F.max(bucket(F.col("_url_at")))).first()
     begin = F.greatest(bucket(F.col("valid_from")), F.lit(first))
     end = F.least(F.coalesce(bucket(F.col("valid_to")), F.lit(last)), F.lit(last))
-    spread = listed.withColumns({"_begin": begin, "_end": end}).where("_begin <= _end").select(
+    spread = intervals(entries).withColumns({"_begin": begin, "_end": end}).where("_begin <= _end").select(
         "domain", "valid_from", "valid_to", F.explode(F.sequence("_begin", "_end")).alias("bucket")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     met = asked.join(spread, ["domain", "bucket", "part"]).where(
-        (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    best = met.groupBy("_row").agg(F.max_by(F.struct("domain", "valid_from"), F.length("domain")).alias("_hit"))
-    return plain.join(best, "_row", "left").select(
-        *[c for c in plain.columns if c != "_row"], F.col("_hit").isNotNull().alias("blocked"),
-        F.col("_hit.domain").alias("list_domain"), F.col("_hit.valid_from").alias("listed_since"))
+        (F.col("valid_from") <= F.col("_url_at")) & (F.col("valid_to").isNull() | (F.col("_url_at") < F.col("valid_to"))))
+    best = written(met.groupBy("_url_host", "_url_at").agg(
+        F.max_by(F.struct("domain", "valid_from"), F.length("domain")).alias("_url_hit")))
+    return plain.withColumns({"_url_host": name, "_url_at": at}).join(best, ["_url_host", "_url_at"], "left").select(
+        *plain.columns, F.col("_url_hit").isNotNull().alias("blocked"),
+        F.col("_url_hit.domain").alias("list_domain"), F.col("_url_hit.valid_from").alias("listed_since"))
