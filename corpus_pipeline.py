@@ -17,8 +17,9 @@ SHARDS = 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on their labels, does not reject."""
-    return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    """Documents that the toxicity model, fitted on labels that are not held out, does not reject."""
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return toxicity.reject(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

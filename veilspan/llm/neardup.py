@@ -119,10 +119,10 @@ _SKETCH = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fetch", pa.i
 SKETCH = "row long, doc_id long, fetch long, n_shingles long, node binary, signature binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: set size, digest of the set (null if empty), 16-bit signature, band keys.
 
-    ``fetch`` finds the text again: the id, or a hash of the text where the id is null.
+    ``row`` names a column that tells rows apart; ``fetch`` finds the text again: the id, or a hash of the text where the id is null.
     """
     def rows(columns: list) -> Iterator[tuple]:
         words = Words()
@@ -135,8 +135,8 @@ def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
             yield (row, doc, fetch, len(codes), hashlib.blake2b(codes.tobytes(), digest_size=16).digest(),
                    (sig & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), _bands(sig))
 
-    row = F.col("_row") if "_row" in docs.columns else F.lit(None).cast("long")
-    narrow = docs.select(row.alias("row"), F.col(key).cast("long").alias("doc_id"), _fetch(key, text), text_bytes(text).alias("text"))
+    number = F.lit(None).cast("long") if row is None else F.col(row)
+    narrow = docs.select(number.alias("row"), F.col(key).cast("long").alias("doc_id"), _fetch(key, text), text_bytes(text).alias("text"))
     return narrow.mapInArrow(batches(rows, _SKETCH), SKETCH)
 
 
@@ -349,9 +349,9 @@ def _verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
                 yield a, b
 
 
-def _rooted(docs: DataFrame, threshold: float, miss: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _rooted(docs: DataFrame, threshold: float, miss: float, key: str, text: str, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows, and ``(node, root, component_id)`` of their nodes, as written tables."""
-    known = written(sketches(docs, key=key, text=text))
+    known = written(sketches(docs, key=key, text=text, row=row))
     roots = written(components.labels(links(docs, known, threshold=threshold, miss=miss, key=key, text=text)))
     nodes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -376,13 +376,14 @@ def groups(docs: DataFrame, *, threshold: float = 0.85, miss: float = MISS, key:
 def keep_one(docs: DataFrame, *, threshold: float = 0.85, miss: float = MISS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each component: the one with the smallest id.
 
-    Of repeated rows with that id one stays; of rows without words all do.  ``docs`` must be a
-    table as read, so that its scan numbers the rows alike each time.
+    Of repeated rows with that id one stays; of rows without words all do.  Rows are told apart by
+    a number that is written with them, since a second scan after the loss of executors may deal
+    the rows differently.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    known, named = _rooted(numbered, threshold, miss, key, text)
+    numbered = written(docs.withColumn("_neardup_row", F.monotonically_increasing_id()))
+    known, named = _rooted(numbered, threshold, miss, key, text, "_neardup_row")
     rows = known.where("node is not null").select("row", "doc_id", "node").join(named.select("node", "root"), "node")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     kept = written(rows.groupBy("root").agg(first.alias("first")).select("first.row"))
     gone = written(rows.select("row").join(kept, "row", "left_anti"))
-    return numbered.join(known_small(gone.withColumnRenamed("row", "_row")), "_row", "left_anti").select(*docs.columns)
+    return numbered.join(known_small(gone.withColumnRenamed("row", "_neardup_row")), "_neardup_row", "left_anti").select(*docs.columns)

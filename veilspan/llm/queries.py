@@ -47,10 +47,9 @@ FROM counted, unnest(range(0, copies)) AS g(i)
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document scored by a model of the labelled documents that are not held out."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    model = toxicity.train(docs, labels.where(~held("doc_id")))
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          "n_sentences", F.size("offending").alias("n_offending"))
 
 

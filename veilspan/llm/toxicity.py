@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, text_bytes
@@ -158,6 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return fit(rows, max(share, 1e-6))
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """A fifth of the ids, by a checksum, whose labels are kept for testing; null ids are not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def scorer(model: Model, locate: float | None = None):
     """``text -> (score, sentences, [(start, end, score)])`` with a memory of word weights."""
     base = math.log1p(math.exp(model.bias))
