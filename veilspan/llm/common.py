@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,16 @@ def batches(rows: Callable[[list], Iterable[tuple]], schema: pa.Schema) -> Calla
     return run
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast of a value whose class travels with it, so executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(packed: bytes) -> object:
+    """The value of a ``shared`` broadcast, inside a task."""
+    return pickle.loads(packed)
+
+
 def known_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Hint a broadcast of ``keys`` only after its rows were counted and are few enough."""
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys

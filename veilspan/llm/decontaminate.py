@@ -10,13 +10,14 @@ Documents stay where they are: only the automaton travels, in blocks of bounded
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_bytes
+from .common import batches, shared, text_bytes, unpacked
 
 WINDOW = 10
 #: Benchmark text in one automaton; a larger benchmark is taken in several blocks.
@@ -155,20 +156,32 @@ def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text",
     rows = benchmark.select(F.col(item).cast("string").alias("item"), text_bytes(text).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
-    context = benchmark.sparkSession.sparkContext
     made = []
     for block in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         items = [(r["item"], words_of(bytes(r["text"]))) for r in part.toLocalIterator()]
-        made.append(context.broadcast(Automaton(items, window)))
+        made.append(shared(benchmark.sparkSession, Automaton(items, window)))
     return made
 
 
-def _find(bodies: list[bytes | None], blocks: list) -> list[tuple[list[bytes], list[list[int]], set]]:
+def _unpacker(blocks: int) -> Callable[[Broadcast], Automaton]:
+    """A task keeps a single automaton; of several it holds one at a time."""
+    kept: dict[int, Automaton] = {}
+
+    def unpack(block: Broadcast) -> Automaton:
+        if blocks > 1:
+            return unpacked(block.load_from_path(block._path))
+        if 0 not in kept:
+            kept[0] = unpacked(block.value)
+        return kept[0]
+
+    return unpack
+
+
+def _find(bodies: list[bytes | None], blocks: list, unpack: Callable[[Broadcast], Automaton]) -> list[tuple[list[bytes], list[list[int]], set]]:
     """Words, merged hit stretches and items of each text, over all blocks in turn."""
     found = [(words_of(b), [], set()) for b in bodies]
-    for shared in blocks:
-        automaton = shared.value if len(blocks) == 1 else shared.load_from_path(shared._path)
+    for automaton in map(unpack, blocks):
         for words, spans, items in found:
             more, named = automaton.spans(words)
             spans += more
@@ -201,9 +214,10 @@ def report(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     nothing is hit; other columns are ignored.
     """
     blocks = automata(benchmark, window=window, block_bytes=block_bytes)
+    unpack = _unpacker(len(blocks))
 
     def rows(columns: list) -> Iterator[tuple]:
-        for doc, (words, spans, items) in zip(columns[0], _find(columns[1], blocks), strict=True):
+        for doc, (words, spans, items) in zip(columns[0], _find(columns[1], blocks, unpack), strict=True):
             yield (doc, len(words), sum(b - a for a, b in spans), sorted(i for i in items if i is not None),
                    [{"first": a, "past": b} for a, b in spans])
 
@@ -236,6 +250,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window:
     treated each.  A column ``n_chars``, if there is one, follows the text.
     """
     blocks = automata(benchmark, window=window, block_bytes=block_bytes)
+    unpack = _unpacker(len(blocks))
     names = docs.columns
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +260,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window:
                 batch = whole.slice(start, 1024)
                 bodies = batch.column(at).cast(pa.binary()).to_pylist()
                 keep, texts = [], []
-                for body, (words, spans, _) in zip(bodies, _find(bodies, blocks), strict=True):
+                for body, (words, spans, _) in zip(bodies, _find(bodies, blocks, unpack), strict=True):
                     long = [s for s in spans if s[1] - s[0] >= min_span]
                     cut = sum(b - a for a, b in long)
                     keep.append(cut <= max_coverage * len(words))

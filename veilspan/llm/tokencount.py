@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_bytes
+from .common import batches, shared, text_bytes, unpacked
 
 #: A public byte-level vocabulary: pieces that begin with a blank begin a word.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -94,10 +94,10 @@ def token_counts(docs: DataFrame, pieces: list[bytes] | None = None, *, key: str
     have 0 words and 0 tokens.  Repeated rows are counted each; other columns are ignored.  The
     automaton is broadcast: its size is that of the vocabulary, a parameter, not of the data.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(read_vocabulary() if pieces is None else pieces))
+    packed = shared(docs.sparkSession, Automaton(read_vocabulary() if pieces is None else pieces))
 
     def rows(columns: list) -> Iterator[tuple]:
-        automaton = shared.value
+        automaton = unpacked(packed.value)
         known: dict[bytes, int] = {}
         for doc, body in zip(*columns, strict=True):
             words = body.split() if body else []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_bytes
+from .common import batches, shared, text_bytes, unpacked
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -213,10 +213,10 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     ``locate``.  Null, empty and wordless texts have no sentences and score 0.  Repeated rows are
     scored each; other columns are ignored.  The model has at most ``MAX_FEATURES`` weights.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    packed = shared(docs.sparkSession, model)
 
     def rows(columns: list) -> Iterator[tuple]:
-        judge = scorer(shared.value, locate)
+        judge = scorer(unpacked(packed.value), locate)
         for doc, body in zip(*columns, strict=True):
             value, n, found = judge(body.decode("utf-8", "replace") if body else None)
             yield doc, value, n, [{"start": a, "end": b, "score": p} for a, b, p in found]
@@ -227,11 +227,11 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, unchanged; null and empty texts stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    packed = shared(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = scorer(shared.value)
+        judge = scorer(unpacked(packed.value))
         for whole in stream:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
