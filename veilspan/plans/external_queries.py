@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import lexicon as L
 from ..functions.arrays import each, make_span
 from ..operators import corrections as K, detect as D, external as X
 from ..sources import responses as R
@@ -156,12 +157,21 @@ def lab9(spark, folder):
                     F.regexp_replace("context", r"[\p{L}\p{N}]", "X").alias("shape"))
 
 
+_LETTERS = "'[\\p{L}\\p{N}]', 'X', 'g'"
+_SURNAME = L.REDACTION_NAME.removesuffix("[가-힣]{1,2}")
+
+
+def _redacted(i: int) -> str:
+    """A span as a reviewer sees it: numbers and addresses blanked whole, names as far as the name pattern reaches."""
+    if i == 1:
+        return f"regexp_replace(regexp_replace(s{i}, '{_SURNAME}[가-힣]{{2}}', 'XXX', 'g'), '{_SURNAME}[가-힣]', 'XX', 'g')"
+    return f"s{i}" if _PIECES[i].label == "정신건강" else f"regexp_replace(s{i}, {_LETTERS})"
+
+
 @query("lab10_review_items", " UNION ALL ".join(
-    f"SELECT k AS doc_id, '{n}' AS id, {'regexp_replace' if _PIECES[i].label != '정신건강' else 'concat'}({f's{i}' if _PIECES[i].label == '정신건강' else f's{i}' + ', ' + chr(39) + '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]' + chr(39) + ', ' + chr(39) + 'X' + chr(39) + ', ' + chr(39) + 'g' + chr(39)}) AS span_text, '{_PIECES[i].label}' AS proposed_label FROM {_SRC} WHERE {i} <> 1"
-    for n, i in enumerate(_SPANS)))
+    f"SELECT k AS doc_id, '{n}' AS id, {_redacted(i)} AS span_text, '{_PIECES[i].label}' AS proposed_label FROM {_SRC}" for n, i in enumerate(_SPANS)))
 def lab10(spark, folder):
-    items = X.review_items(docs_with_spans(spark, folder), "doc_id").where("id <> '0'")
-    return items.select("doc_id", "id", "span_text", "proposed_label")
+    return X.review_items(docs_with_spans(spark, folder), "doc_id").select("doc_id", "id", "span_text", "proposed_label")
 
 
 # --- people's review --------------------------------------------------------------------------
