@@ -141,9 +141,14 @@ def val9(spark, folder):
 # --- review payloads --------------------------------------------------------------------------
 
 
-@query("lab8_coverage", f"SELECT k AS doc_id, round(({' + '.join(f'length(s{i})' for i in _SPANS)}) / CAST(length({' || '.join(f's{i}' for i in range(len(_PIECES)))}) AS DOUBLE), 6) AS covered, false AS windows FROM {_SRC}")
+# a tail without spans makes the coverage of two texts in three small
+_TAIL = "repeat('가', CAST(k % 3 * 500 AS INT))"
+_SHARE = f"({' + '.join(f'length(s{i})' for i in _SPANS)}) / CAST(length({' || '.join(f's{i}' for i in range(len(_PIECES)))} || {_TAIL}) AS DOUBLE)"
+
+
+@query("lab8_coverage", f"SELECT k AS doc_id, round({_SHARE}, 6) AS covered, {_SHARE} < {L.VERDICT_COVERAGE} AS windows FROM {_SRC}")
 def lab8(spark, folder):
-    rows = docs_with_spans(spark, folder)
+    rows = docs_with_spans(spark, folder).withColumn("text", F.concat("text", F.expr(_TAIL.replace("k %", "doc_id %"))))
     return rows.select("doc_id", F.round(X.coverage(F.col("text"), F.col("spans")), 6).alias("covered"), X.needs_windows(F.col("text"), F.col("spans")).alias("windows"))
 
 
@@ -218,10 +223,10 @@ def lab12(spark, folder):
     return Tables(spark, folder).documents.select("doc_id", K.substitute(F.col("text"), issues).alias("out_text"))
 
 
-@query("lab13_confidence_bands", "SELECT event_id, CASE WHEN value >= 70 THEN 'auto' WHEN value >= 30 THEN 'review' ELSE 'ignore' END AS band FROM events")
+@query("lab13_confidence_bands", "SELECT event_id, CASE WHEN value / 100.0::DOUBLE >= 0.7 THEN 'auto' WHEN value / 100.0::DOUBLE >= 0.3 THEN 'review' ELSE 'ignore' END AS band FROM events")
 def lab13(spark, folder):
     e = Tables(spark, folder).events
-    return e.select("event_id", F.when(F.col("value") >= 70, K.confidence_band(F.lit(0.7))).when(F.col("value") >= 30, K.confidence_band(F.lit(0.3))).otherwise(K.confidence_band(F.col("value") / 101)).alias("band"))
+    return e.select("event_id", K.confidence_band(F.col("value") / 100.0).alias("band"))
 
 
 _HEARD = "CASE k % 4 WHEN 0 THEN '보드게임 하다가 제가 잤' WHEN 1 THEN '제가 잤' WHEN 2 THEN '초아 친구는' ELSE '한이 없어요' END || CAST(k AS STRING)"

@@ -84,9 +84,9 @@ _JOINED = f"""WITH RECURSIVE {PIECES_SQL},
         CASE WHEN {_FITS} THEN w.c + r.c ELSE r.c END, CASE WHEN {_FITS} THEN true ELSE r.duration_ms < 3000 AND r.pos < r.n - 1 END,
         CASE WHEN {_FITS} THEN true ELSE r.duration_ms < 3000 AND r.pos < r.n - 1 END
       FROM walk w JOIN chars r ON r.rec_id = w.rec_id AND r.pos = w.pos + 1),
-    grp AS (SELECT rec_id, head, any_value(gs) AS gs, max(ge) AS ge, arg_max(c, pos) AS c, bool_or(merged) AS merged FROM walk GROUP BY rec_id, head)
-    SELECT rec_id, CAST(head AS DOUBLE) AS chunk_index, gs AS start_ms, ge AS end_ms, c AS text_length, merged AS is_merged FROM grp WHERE merged OR ge - gs <= 15000
-    UNION ALL SELECT rec_id, head + h * 0.5, CASE WHEN h = 0 THEN gs ELSE gs + (ge - gs) // 2 END, CASE WHEN h = 0 THEN gs + (ge - gs) // 2 ELSE ge END, c // 2, false
+    grp AS (SELECT rec_id, head, any_value(gs) AS gs, max(ge) AS ge, arg_max(c, pos) AS c, bool_or(merged) AS merged, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS members FROM walk GROUP BY rec_id, head)
+    SELECT rec_id, CAST(head AS DOUBLE) AS chunk_index, gs AS start_ms, ge AS end_ms, c AS text_length, merged AS is_merged, CASE WHEN merged THEN members END AS merged_indices FROM grp WHERE merged OR ge - gs <= 15000
+    UNION ALL SELECT rec_id, head + h * 0.5, CASE WHEN h = 0 THEN gs ELSE gs + (ge - gs) // 2 END, CASE WHEN h = 0 THEN gs + (ge - gs) // 2 ELSE ge END, c // 2, false, NULL
     FROM grp, (VALUES (0), (1)) v(h) WHERE NOT merged AND ge - gs > 15000"""
 
 
@@ -94,7 +94,7 @@ _JOINED = f"""WITH RECURSIVE {PIECES_SQL},
 def seg3(spark, folder):
     from ..functions.text import estimated_length
     p = pieces(spark, folder).withColumn("text_length", estimated_length(F.col("duration_ms")))
-    return G.join_pieces(p).drop("merged_indices")
+    return G.join_pieces(p).withColumn("merged_indices", F.array_join("merged_indices", ","))
 
 
 _CHUNKS = f"""WITH RECURSIVE {UTT_SQL}, {REC_SQL},
