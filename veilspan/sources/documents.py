@@ -12,7 +12,7 @@ STAGES = ["original", "corrected", "masked"]
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; files are documents, so each is bounded by its own size."""
+    """One row per file that is not empty; files are documents, so each is bounded by its own size."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
