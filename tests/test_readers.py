@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspan import lexicon as L
 from veilspan import streaming
 from veilspan.operators import endtoend, masking
+from veilspan import session
 from veilspan.session import choose_folder
 from veilspan.sources import documents, tokens, transcripts, vault
 
@@ -114,3 +115,10 @@ def test_stage_tables(spark, tmp_path):
     documents.write_stages(df, str(tmp_path / "s"), original="text", masked="masked_text")
     assert documents.read_stage(spark, str(tmp_path / "s"), "masked").select("doc_id", "text").collect() == [(1, "b")]
     assert documents.read_stage(spark, str(tmp_path / "s")).where(F.col("stage") == "original").count() == 2
+
+
+def test_written_tables_are_cleaned_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark, "_veilspan_folder", str(tmp_path), raising=False)
+    monkeypatch.setattr(spark, "_veilspan_tables", [], raising=False)
+    assert session.written(spark.range(3)).count() == 3
+    assert len(list(tmp_path.iterdir())) == 1 and session.clean_up(spark) == 1 and list(tmp_path.iterdir()) == []

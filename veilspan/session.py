@@ -5,7 +5,9 @@ Library code never builds a session; it works with the one it is given.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,7 +47,9 @@ def choose_folder(master: str, configured: str | None) -> str:
         return configured
     if not _single_machine(master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="veilspan-")
+    folder = tempfile.mkdtemp(prefix="veilspan-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,4 +75,21 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veilspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    if not hasattr(spark, "_veilspan_tables"):
+        spark._veilspan_tables = []
+    return spark._veilspan_tables
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` made in this session; frames that read them are then of no use."""
+    paths = _tables(spark)
+    done = len(paths)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return done
