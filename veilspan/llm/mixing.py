@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspan.session import written
+
 from .common import fraction, known_small
 
 #: A larger mean is drawn as a sum of independent draws of at most this mean.
@@ -64,8 +66,9 @@ def replicate(docs: DataFrame, rates: DataFrame, *, seed: int = 0, key: str = "d
     get equal draws.  Null and empty texts are replicated like any other.
     """
     draws = F.greatest(F.ceil(F.col("rate") / MEAN_PER_DRAW), F.lit(1)).cast("int")
-    table = rates.select(F.col("source").alias("_source"), "rate", draws.alias("_draws"),
-                         distribution(F.col("rate") / draws).alias("_cdf"))
+    # written, so that counting its rows and joining them do not measure the documents twice
+    table = written(rates.select(F.col("source").alias("_source"), "rate", draws.alias("_draws"),
+                                 distribution(F.col("rate") / draws).alias("_cdf")))
     plain = docs.drop("copy", "copies", "rate", "order_key")
     # at most one row per source; a large side of sources is joined by a shuffle, with skew handled there
     joined = plain.join(known_small(table, 10_000), F.col(source).eqNullSafe(F.col("_source")))
