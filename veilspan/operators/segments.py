@@ -87,6 +87,7 @@ def merge_short(utterances: DataFrame, short: int = L.MERGE_SHORT, gap: int = L.
     """Short utterances absorb the next ones; overlong ones are cut into ``step`` pieces.
 
     Absorbing stops at a pause of ``gap``, before ``limit``, or once ``enough`` is reached.
+    ``original_ranges`` holds the utterances a chunk was made from, also where it is one or a piece of one.
     """
     numbered = _followers(_number(utterances.select(*KEY, "start_ms", "end_ms")), limit)
     start = F.struct(F.col("end_ms").alias("e"), F.lit(0).alias("n"), F.lit(True).alias("open"))
@@ -107,10 +108,12 @@ def merge_short(utterances: DataFrame, short: int = L.MERGE_SHORT, gap: int = L.
         F.sequence(F.col("start_ms"), F.col("end_ms") - 1, F.lit(step).cast("long")),
         lambda s: F.struct(s.alias("start_ms"), F.least(s + step, F.col("end_ms")).alias("end_ms")))).otherwise(
         F.array(F.struct(F.col("start_ms").alias("start_ms"), F.col("g.e").alias("end_ms"))))
+    ranges = F.concat(F.array(F.struct("start_ms", "end_ms")), F.transform(
+        F.slice("_near", F.lit(1), F.col("g.n")), lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))))
     out = chosen.select(
         *KEY, F.explode(pieces).alias("p"), merged.alias("is_merged"),
-        F.when(merged, F.sequence("pos", F.col("pos") + F.col("g.n"))).alias("merged_indices"))
-    flat = out.select(*KEY, "p.start_ms", "p.end_ms", "is_merged", "merged_indices")
+        F.when(merged, F.sequence("pos", F.col("pos") + F.col("g.n"))).alias("merged_indices"), ranges.alias("original_ranges"))
+    flat = out.select(*KEY, "p.start_ms", "p.end_ms", "is_merged", "merged_indices", "original_ranges")
     return positions(flat, KEY, ["start_ms", "end_ms"], "chunk_index", TIME_BLOCK)
 
 

@@ -48,11 +48,13 @@ _MERGE = _MERGE.replace("CASE WHEN cnt = 1 AND ge - gs > 20000 THEN unnest(range
 
 
 @query("seg2_merge_short", _MERGE + """ SELECT rec_id, s AS start_ms, CASE WHEN cnt = 1 AND ge - gs > 20000 THEN least(s + 15000, ge) ELSE ge END AS end_ms,
-    cnt > 1 AS is_merged, CASE WHEN cnt > 1 THEN cnt ELSE 0 END AS members, CASE WHEN cnt > 1 THEN head ELSE -1 END AS first_member FROM cut""")
+    cnt > 1 AS is_merged, CASE WHEN cnt > 1 THEN cnt ELSE 0 END AS members, CASE WHEN cnt > 1 THEN head ELSE -1 END AS first_member, ranges
+    FROM cut JOIN (SELECT w.rec_id, w.head, string_agg(r.start_ms || '-' || r.end_ms, ',' ORDER BY r.pos) AS ranges FROM walk w JOIN num r ON r.rec_id = w.rec_id AND r.pos = w.pos GROUP BY w.rec_id, w.head) USING (rec_id, head)""")
 def seg2(spark, folder):
     out = G.merge_short(utterances(spark, folder))
     return out.select("rec_id", "start_ms", "end_ms", "is_merged", F.coalesce(F.size("merged_indices"), F.lit(0)).cast("long").alias("members"),
-                      F.coalesce(F.get("merged_indices", F.lit(0)), F.lit(-1)).cast("long").alias("first_member"))
+                      F.coalesce(F.get("merged_indices", F.lit(0)), F.lit(-1)).cast("long").alias("first_member"),
+                      F.array_join(F.transform("original_ranges", lambda x: F.concat_ws("-", x["start_ms"], x["end_ms"])), ",").alias("ranges"))
 
 
 # --- back-to-back pieces ----------------------------------------------------------------------
