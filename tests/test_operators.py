@@ -213,10 +213,10 @@ def test_running_aggregates_cross_blocks(spark):
         assert (r.s, r.m) == (sum(seen), max(seen))
 
 
-def test_documents_are_split_into_parts_without_loss(spark):
-    df = spark.createDataFrame([(1, f"문장{i}.", float(i)) for i in range(25)], "rec_id long, text string, start_time double")
-    parts = [r.text for r in transcripts.plain_text(df, per_part=4).orderBy("part").collect()]
-    assert len(parts) == 7 and "".join(parts) == " ".join(f"문장{i}." for i in range(25))
+def test_a_recording_of_any_length_is_one_text(spark):
+    df = spark.createDataFrame([(1, f"문장{i}.", float(i)) for i in range(12_000)], "rec_id long, text string, start_time double")
+    rows = transcripts.plain_text(df.repartition(5)).collect()
+    assert [r.text for r in rows] == [" ".join(f"문장{i}." for i in range(12_000))]
 
 
 def test_stamps_and_subtitles(spark):
