@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import checks
-from ..functions.arrays import each, lookup
+from ..functions.arrays import each, lookup, make_span
 from ..operators import detect as D, external as X
 from . import corpus as C
 from . import sqltext as S
@@ -422,3 +422,19 @@ def lab6(spark, folder):
 @query("lab6_all_detectors_documents")
 def lab6_documents(spark, folder):
     return flat(D.detect_all(Tables(spark, folder).documents.select("doc_id", "text")), "spans", "doc_id", extra=("label_adjusted", "score", "source"))
+
+
+# the model names an organisation, a group without a name and an address that the bank knows better; a reviewer adds one span
+_MODEL = [Piece("'저기 '"), Piece("'한빛복지관'", "소속"), Piece("' 메일 '"), Piece(C.EMAIL, "계정", "이메일"), Piece("' 글 '"), Piece("'비밀일기'", "상담이력"), Piece("' 끝'")]
+
+
+@query("lab6_with_model_and_verdicts", C.expected_sql(_MODEL))
+def lab6_model(spark, folder):
+    docs = C.sentences(Tables(spark, folder).orders, _MODEL)
+    org, word = F.position(F.lit("한빛복지관"), F.col("text")) - 1, F.position(F.lit("비밀일기"), F.col("text")) - 1
+    mail = F.position(F.lit("user"), F.col("text")) - 1
+    guess = lambda label, start, size, score: F.struct(F.lit(label).alias("label"), start.alias("start"), (start + size).alias("end"), F.lit(score).alias("score"))
+    rows = docs.withColumns({
+        "model": F.array(guess("소속", org, 5, 0.8), guess("LABEL_3", org, 2, 0.99), guess("이름", mail, 6, 0.99)),
+        "review": F.array(make_span(start=word, end=word + 4, text=F.lit("비밀일기"), label=F.lit("상담이력"), label_adjusted=F.lit("상담이력"), score=F.lit(0.7), source=F.lit("regex+gpt")))})
+    return flat(D.detect_all(rows, predictions="model", verdicts="review"), "spans", "doc_id")

@@ -152,6 +152,18 @@ def lab8(spark, folder):
     return rows.select("doc_id", F.round(X.coverage(F.col("text"), F.col("spans")), 6).alias("covered"), X.needs_windows(F.col("text"), F.col("spans")).alias("windows"))
 
 
+# without decisions an addition counts where little is covered; elsewhere the spans stay as they are
+_ADDED = '{"decisions":[],"additions":[{"win_id":"win-0","start_rel":0,"end_rel":2,"label":"이름"}]}'
+
+
+@query("lab11_additions_where_uncovered", f"SELECT k AS doc_id, CAST(0 AS BIGINT) AS span_start, '담당' AS span_text, '이름' AS label_adjusted FROM {_SRC} WHERE {_SHARE} < {L.VERDICT_COVERAGE} UNION ALL "
+       + " UNION ALL ".join(f"SELECT k, CAST({_start(i)} AS BIGINT), s{i}, '{_PIECES[i].label}' FROM {_SRC} WHERE {_SHARE} >= {L.VERDICT_COVERAGE}" for i in _SPANS))
+def lab11_additions(spark, folder):
+    rows = docs_with_spans(spark, folder).withColumn("text", F.concat("text", F.expr(_TAIL.replace("k %", "doc_id %")))).withColumn("r", R.parse_verdicts(F.lit(_ADDED)))
+    out = each(rows.withColumn("after", X.apply_verdicts(F.col("text"), F.col("spans"), F.col("r"))), "after", "doc_id")
+    return out.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.text").alias("span_text"), F.coalesce("s.label_adjusted", "s.label").alias("label_adjusted"))
+
+
 _LEN_ONLY = "SELECT doc_id, 'win-' || CAST(o AS VARCHAR) AS win_id, CAST(o AS BIGINT) AS at_char, CAST(least(600, length(text) - o) AS BIGINT) AS size, regexp_replace(substr(text, o + 1, 600), '[\\p{L}\\p{N}]', 'X', 'g') AS shape FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS o FROM documents)"
 
 
