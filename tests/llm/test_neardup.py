@@ -120,3 +120,25 @@ def test_keep_one(odd, spark, tmp_path):
     assert kept.columns == odd.columns
     # 5 and its repeat are copies of 4, 7 of 6, the row without an id of 8; rows without words stay
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8, 9]
+
+
+def test_pipeline_stage_links_from_four_fifths(docs_of, spark, folder):
+    import corpus_pipeline
+
+    texts = [t for s in range(50, 110) for t in family(s, 3, 4)]
+    # four new words change 20 shingles: 180 of 220 and 160 of 200 are shared, 0.82 and exactly 0.8
+    for size in (204, 184):
+        pair = [[f"b{size}x{i}" for i in range(size)] for _ in range(2)]
+        pair[1][20:160:40] = ["new", "other", "third", "last"]
+        texts += [" ".join(p) for p in pair]
+    rows = list(enumerate(texts))
+    at = {percent: {d for d, (_, least) in brute(rows, percent).items() if d == least} for percent in (80, 85)}
+    assert at[80] < at[85]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), folder).collect()} == at[80]
+
+
+def test_layouts():
+    assert neardup.layout(0.85) == (24, 6) and neardup.layout(0.8) == (32, 5)
+    assert neardup.band_miss(0.8, *neardup.layout(0.8)) < 1e-5 < 6e-4 < neardup.band_miss(0.8)
+    needed = neardup.least_matches(0.8, 1e-6, total=160)
+    assert len(needed) == 7 and needed == sorted(needed)

@@ -17,6 +17,7 @@ Memory: a task holds one unit.  Misses: only by banding (see ``band_miss``) and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -33,6 +34,12 @@ from .common import batches, known_small, text_bytes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
+#: Bands and rows for lower and lower thresholds; the first that misses few enough pairs is taken.
+LAYOUTS = ((BANDS, ROWS), (32, 5), (48, 4))
+#: Chance of a pair at the threshold to share no band, at most, while a layout has it.
+BAND_MISS = 2e-5
+#: Similarity from which documents are near-duplicates where nothing else is asked for.
+NEAR = 0.8
 #: Signature positions compared at a time.
 BATCH = 24
 #: Chance of dropping a pair at the threshold after a batch.
@@ -44,9 +51,6 @@ CHUNK_SHINGLES = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
-_RNG = np.random.default_rng(20240229)
-_MULTIPLY = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
 def band_miss(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -54,6 +58,18 @@ def band_miss(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return (1 - similarity**rows) ** bands
 
 
+def layout(threshold: float) -> tuple[int, int]:
+    """Bands and rows of the signatures for a threshold; below all layouts the last, with what ``band_miss`` says of it."""
+    return next((x for x in LAYOUTS if band_miss(threshold, *x) <= BAND_MISS), LAYOUTS[-1])
+
+
+@functools.cache
+def _hashes(total: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    multiply = rng.integers(0, 1 << 32, total, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    return multiply, rng.integers(0, 1 << 32, total, dtype=np.uint64).astype(np.uint32)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX2
     return h ^ (h >> np.uint64(31))
@@ -97,19 +113,20 @@ def shingles(body: bytes | None, words: Words) -> np.ndarray:
     return np.unique(code)
 
 
-def signature(codes: np.ndarray) -> np.ndarray:
+def signature(codes: np.ndarray, total: int = BANDS * ROWS) -> np.ndarray:
     """MinHash values, 32 bits each, of a set of shingle numbers."""
+    multiply, add = _hashes(total)
     low = (codes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(total, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 1024):
         part = low[at:at + 1024]
-        np.minimum(least, (_MULTIPLY[:, None] * part[None, :] + _ADD[:, None]).min(axis=1), out=least)
+        np.minimum(least, (multiply[:, None] * part[None, :] + add[:, None]).min(axis=1), out=least)
     return least
 
 
-def _bands(sig: np.ndarray) -> list[int]:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in sig.astype(np.uint64).reshape(BANDS, ROWS).T:
+def _bands(sig: np.ndarray, bands: int, rows: int) -> list[int]:
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in sig.astype(np.uint64).reshape(bands, rows).T:
         h = _mixed(h * _MIX + column)
     return h.view(np.int64).tolist()
 
@@ -119,11 +136,14 @@ _SKETCH = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fetch", pa.i
 SKETCH = "row long, doc_id long, fetch long, n_shingles long, node binary, signature binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def sketches(docs: DataFrame, *, threshold: float = 0.85, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: set size, digest of the set (null if empty), 16-bit signature, band keys.
 
+    ``threshold`` decides the layout of signatures and bands.
     ``row`` names a column that tells rows apart; ``fetch`` finds the text again: the id, or a hash of the text where the id is null.
     """
+    n_bands, n_rows = layout(threshold)
+
     def rows(columns: list) -> Iterator[tuple]:
         words = Words()
         for row, doc, fetch, body in zip(*columns, strict=True):
@@ -131,9 +151,9 @@ def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", row: s
             if not len(codes):
                 yield row, doc, fetch, 0, None, None, None
                 continue
-            sig = signature(codes)
+            sig = signature(codes, n_bands * n_rows)
             yield (row, doc, fetch, len(codes), hashlib.blake2b(codes.tobytes(), digest_size=16).digest(),
-                   (sig & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), _bands(sig))
+                   (sig & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), _bands(sig, n_bands, n_rows))
 
     number = F.lit(None).cast("long") if row is None else F.col(row)
     narrow = docs.select(number.alias("row"), F.col(key).cast("long").alias("doc_id"), _fetch(key, text), text_bytes(text).alias("text"))
@@ -151,7 +171,7 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
     Signatures are compared by 16 bits, which can only add agreements.
     """
     out = []
-    for n in range(batch, total + 1, batch):
+    for n in [*range(batch, total, batch), total]:
         below, m = 0.0, -1
         while below < miss:
             m += 1
@@ -173,7 +193,7 @@ def _candidates(sides: list[int], band: int, sizes: list[int], bands: list[list[
                 needed: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a unit that meet here first and survive the sequential comparison of signatures."""
     size, keys = np.array(sizes), np.array(bands)
-    sig = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(len(sizes), BANDS * ROWS)
+    sig = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(len(sizes), -1)
     kept_i, kept_j = [], []
     i, j = _pairs(len(sizes), np.array(sides))
     for at in range(0, len(i), 1 << 17):
@@ -270,13 +290,13 @@ def links(docs: DataFrame, known: DataFrame, *, threshold: float = 0.85, miss: f
           text: str = "text") -> DataFrame:
     """``(a, b)``: a spanning forest of the verified links between the nodes of ``known``.
 
-    ``known``: ``sketches(docs)`` as a written table.
+    ``known``: ``sketches(docs)`` for this threshold as a written table.
     """
     # of equal sets, the smallest row stands for all; equal digests come with equal signatures
     nodes = written(known.where("node is not null").groupBy("node").agg(
         F.min("fetch").alias("fetch"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"),
         F.max("bands").alias("bands")))
-    needed = least_matches(threshold, miss)
+    needed = least_matches(threshold, miss, total=math.prod(layout(threshold)))
     place = ["key", "x", "y", "side", "band", "node"]
 
     def compare(rows: list[tuple]) -> Iterator[tuple]:
@@ -351,7 +371,7 @@ def _verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
 
 def _rooted(docs: DataFrame, threshold: float, miss: float, key: str, text: str, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows, and ``(node, root, component_id)`` of their nodes, as written tables."""
-    known = written(sketches(docs, key=key, text=text, row=row))
+    known = written(sketches(docs, threshold=threshold, key=key, text=text, row=row))
     roots = written(components.labels(links(docs, known, threshold=threshold, miss=miss, key=key, text=text)))
     nodes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -373,7 +393,7 @@ def groups(docs: DataFrame, *, threshold: float = 0.85, miss: float = MISS, key:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, *, threshold: float = 0.85, miss: float = MISS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, threshold: float = NEAR, miss: float = MISS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each component: the one with the smallest id.
 
     Of repeated rows with that id one stays; of rows without words all do.  Rows are told apart by
