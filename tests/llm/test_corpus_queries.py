@@ -1,13 +1,15 @@
 """Registered corpus queries: against their SQL, or for whole results; and the pipeline."""
 
+import math
 import re
 import zlib
 
 import oracle
 import pytest
+from test_neardup import brute
 
 import corpus_pipeline
-from veilspan.llm import queries
+from veilspan.llm import queries, toxicity
 
 SMALL = ["documents", "pages"]
 
@@ -70,3 +72,40 @@ def test_pipeline_stage_by_stage(spark, folder):
     for r in seen["sharding"]:
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def plain_toxicity(model, text):
+    """One minus the chance that no sentence is toxic, from the weights alone."""
+    none = 1.0
+    for part in re.split(r"[.!?\n]+", (text or "").lower()):
+        found = set(re.findall(r"[^\W\d_]+", part))
+        if found:
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in found for f in [w, *[w[:k] + "*" for k in (3, 4, 5, 6) if k < len(w)]])
+            none *= 1 / (1 + math.exp(z))
+    return 1 - none
+
+
+def test_first_pipeline_stages_against_brute_force(spark, folder):
+    from veilspan.session import written
+
+    folder = folder.replace("sf0.001", "sf0.01")
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    first = max(r["doc_id"] for r in given.select("doc_id").collect()) + 1
+    # a near copy with 180 of 220 shingles, between op6's threshold and the pipeline's
+    pair = [[f"zq{i}" for i in range(204)] for _ in range(2)]
+    pair[1][20:160:40] = ["zz1", "zz2", "zz3", "zz4"]
+    planted = [{"doc_id": first + i, "text": " ".join(p), "lang": "en", "source": "src0", "n_chars": len(" ".join(p))} for i, p in enumerate(pair)]
+    docs = written(given.unionByName(spark.createDataFrame([tuple(p[c] for c in given.columns) for p in planted], given.schema)))
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    mild = written(corpus_pipeline.drop_toxic(spark, docs, folder))
+    rows = [(r["doc_id"], r["text"]) for r in mild.collect()]
+    kept = {d for d, _ in rows}
+    assert len(rows) == len(kept) and kept == {r["doc_id"] for r in docs.collect() if plain_toxicity(model, r["text"]) < 0.5}
+    tested = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert sum((r["doc_id"] not in kept) == r["toxic"] for r in tested) / len(tested) > 0.93
+
+    single = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, mild, folder).collect()]
+    assert sorted(single) == sorted(d for d, (_, least) in brute(rows, 80).items() if d == least)
+    assert first in single and first + 1 not in single and len(set(single)) < sum(d == least for d, (_, least) in brute(rows, 85).items())
