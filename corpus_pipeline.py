@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages; those that are mostly benchmark go."""
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without benchmark passages, whole short items included; those that are mostly benchmark go."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), min_span=1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

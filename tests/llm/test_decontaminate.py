@@ -58,6 +58,20 @@ def test_removal(spark, docs_of):
     assert 2 not in out and out[3]["text"] == filler and out[4]["text"] is None and out[5]["text"] == "" and out[6]["text"] == "short one here"
 
 
+def test_pipeline_stage_removes_short_items(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"q{i}" for i in range(12))
+    short, filler = "What is the capital of Peru", " ".join(f"f{i}" for i in range(40))
+    spark.createDataFrame([(1, short), (2, long)], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = docs_of([(1, short), (2, f"{filler}. {short}? {filler}"), (3, f"{filler} the capital of Peru {filler}"), (4, f"{long}\n{short.upper()}! {filler}"),
+                    (5, f"{short}; {short}, {' '.join(filler.split()[:6])}"), (6, None), (7, "")])
+    out = {r["doc_id"]: r for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()}
+    assert {d: r["text"] for d, r in out.items()} == {
+        2: f"{filler}. ? {filler}", 3: f"{filler} the capital of Peru {filler}", 4: f"! {filler}", 6: None, 7: ""}
+    assert out[2]["n_chars"] == len(out[2]["text"])
+
+
 def test_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four five six"), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], ITEMS)
     out = decontaminate.report(odd.withColumn("items", F.lit("z")), bench).collect()
