@@ -356,6 +356,25 @@ def join11(spark, folder):
     return ctx.select("doc_id", F.contains("ctx", F.lit("계좌")).alias("bank_near"), F.contains("ctx", F.lit("여권")).alias("passport_near"))
 
 
+_NEAR = [Piece("'은행 계좌' || repeat('.', CAST(k % 30 AS INT))"), Piece(C.business("''"), "번호", "x"), Piece("repeat('-', CAST(k % 31 AS INT)) || '여권 전화 문자 콜'")]
+
+
+@query("join11_votes_near_spans", f"""
+    WITH t AS (SELECT k AS doc_id, {C.text_sql(_NEAR)} AS text, CAST(5 + k % 30 AS BIGINT) AS s FROM (SELECT o_orderkey AS k FROM orders)),
+    c AS (SELECT doc_id, substr(text, greatest(s - {L.CONTEXT_REACH}, 0) + 1, s + 10 + {L.CONTEXT_REACH} - greatest(s - {L.CONTEXT_REACH}, 0)) AS ctx FROM t),
+    hits AS (SELECT doc_id, r, i, sub, w FROM c, (VALUES {_KW}) v(r, i, sub, w) WHERE contains(ctx, w)),
+    votes AS (SELECT doc_id, r, sub, count(*) AS n FROM hits GROUP BY ALL),
+    best AS (SELECT doc_id, arg_max(sub, n * 100 - r) AS subtype, max(n) AS n FROM votes GROUP BY doc_id),
+    word AS (SELECT doc_id, arg_min(w, r * 100 + i) AS keyword FROM hits GROUP BY doc_id)
+    SELECT doc_id, subtype, CASE WHEN n > 0 THEN round(CAST(least(1.0, 0.6 + 0.1 * n) AS DOUBLE), 6) END AS score, keyword FROM c LEFT JOIN best USING (doc_id) LEFT JOIN word USING (doc_id)""")
+def join11_votes(spark, folder):
+    docs = C.sentences(Tables(spark, folder).orders, _NEAR)
+    start = (F.lit(5) + F.col("doc_id") % 30).cast("int")
+    span = F.struct(start.alias("start"), (start + 10).alias("end"))
+    rows = docs.select("doc_id", D.keyword_vote(D.span_context(F.col("text"), span)).alias("v"))
+    return rows.select("doc_id", "v.subtype", F.round("v.score", 6).alias("score"), "v.keyword")
+
+
 # --- whole detectors ----------------------------------------------------------------------
 
 # The name rule also takes 전화, 주민 and 주소 for names.  A separated business number with a right

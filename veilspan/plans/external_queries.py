@@ -96,6 +96,14 @@ def src10(spark, folder):
     return r.where("r.decisions IS NOT NULL").select("k", F.size("r.decisions").cast("long").alias("decisions"))
 
 
+@query("src10_parsed_decisions", f"""SELECT k, CAST(0 AS BIGINT) AS ord, ' 0 ' AS id, 'true' AS keep, '조직' AS label, ' r ' AS reason, '1.7' AS confidence FROM {_K} WHERE k % 5 = 0
+    UNION ALL SELECT k, 1, '1', 'false', '번호', NULL, NULL FROM {_K} WHERE k % 5 = 0 UNION ALL SELECT k, 0, '2', 'true', NULL, NULL, '0.4' FROM {_K} WHERE k % 5 = 1
+    UNION ALL SELECT k, 0, '9', 'true', '번호', NULL, NULL FROM {_K} WHERE k % 5 = 2 UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL FROM {_K} WHERE k % 5 > 2""")
+def src10_parsed(spark, folder):
+    r = _keys(spark, folder).select("k", R.parse_verdicts(F.expr(_VERDICT)).alias("r")).select("k", F.posexplode_outer("r.decisions").alias("ord", "d"))
+    return r.select("k", F.col("ord").cast("long").alias("ord"), "d.id", "d.keep", "d.label", "d.reason", "d.confidence")
+
+
 @query("val8_decisions", f"""SELECT k, '0' AS id, true AS keep, '소속' AS label, 'r' AS reason, 1.0::DOUBLE AS confidence FROM {_K} WHERE k % 5 = 0
     UNION ALL SELECT k, '1', false, '번호', NULL, NULL FROM {_K} WHERE k % 5 = 0 UNION ALL SELECT k, '2', true, NULL, NULL, 0.4 FROM {_K} WHERE k % 5 = 1
     UNION ALL SELECT k, '9', true, '번호', NULL, NULL FROM {_K} WHERE k % 5 = 2""")
@@ -191,6 +199,24 @@ def lab10(spark, folder):
     return X.review_items(docs_with_spans(spark, folder), "doc_id").select("doc_id", "id", "span_text", "proposed_label")
 
 
+# the whole text as a reviewer sees it: the name pattern may reach over the particle after a short name; the tail is
+# plain and cuts the contexts of two texts in three
+_SEEN = " || ".join(["s0", _redacted(1).replace("s1", "(s1 || s2)"), *[_redacted(i) if i in _SPANS else f"s{i}" for i in range(3, len(_PIECES))], _TAIL])
+
+
+def _context(i: int) -> str:
+    """The text up to the context's reach after a span; before it there is less than that."""
+    return f"substr({_SEEN}, 1, CAST({_start(i)} + length(s{i}) + {L.CONTEXT_SLICE} AS BIGINT))"
+
+
+@query("lab10_review_contexts", " UNION ALL ".join(
+    f"SELECT k AS doc_id, '{n}' AS id, {_redacted(i)} AS span_text, '{_PIECES[i].label}' AS proposed_label, CAST(NULL AS VARCHAR) AS proposed_subtype, "
+    f"{_context(i)} AS context FROM {_SRC}" for n, i in enumerate(_SPANS)))
+def lab10_contexts(spark, folder):
+    rows = docs_with_spans(spark, folder).withColumn("text", F.concat("text", F.expr(_TAIL.replace("k %", "doc_id %"))))
+    return X.review_items(rows, "doc_id")
+
+
 # --- people's review --------------------------------------------------------------------------
 
 _ROWS = " UNION ALL ".join(f"SELECT k AS doc_id, {n} AS ord, s{i} AS t, '{_PIECES[i].label}' AS label FROM {_SRC}" for n, i in enumerate(_SPANS))

@@ -105,6 +105,14 @@ def src13(spark, folder):
     return Docs.processing_estimate(Docs.input_inventory(spark, folder), parallel=True)
 
 
+@query("src13_rows_of_listed_files", "SELECT 'parquet' AS type, count(*) AS listed_rows, sum(length(text)) AS listed_chars FROM documents")
+def src13_rows(spark, folder):
+    files = Docs.input_inventory(spark, f"{folder}/documents.parquet").where("bytes > 0").select("name", "type")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return files.join(rows, "name").groupBy("type").agg(F.sum("n").alias("listed_rows"), F.sum("chars").alias("listed_chars"))
+
+
 @query("src14_isolated_failures", """SELECT k, CASE WHEN k % 3 = 0 THEN '가' END AS text, CASE k % 3 WHEN 1 THEN 'API Error Code: None' WHEN 2 THEN 'API Error Code: 5' END AS error FROM (SELECT o_orderkey AS k FROM orders)""")
 def src14(spark, folder):
     k = F.col("k")
