@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def batches(rows: Callable[[list], Iterable[tuple]], schema: pa.Schema) -> Calla
     return run
 
 
+def by_bytes(stream: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most ``rows`` rows and about ``most`` bytes in a column; a longer value is a part by itself."""
+    for batch in stream:
+        start = size = 0
+        values = batch.column(column)
+        width = 1 if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else 4
+        lengths = (pc.binary_length(values) if width == 1 else pc.list_value_length(values)).fill_null(0).to_pylist()
+        for at, length in enumerate(lengths):
+            if at > start and (at - start == rows or size + length * width > most):
+                yield batch.slice(start, at - start)
+                start, size = at, 0
+            size += length * width
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def shared(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast of a value whose class travels with it, so executors need no copy of this package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.session import shared_folder, written
 
-from . import (decontaminate, linedup, mixing, neardup, rules, sharding, tokencount, toxicity, urlfilter, warc)
+from . import (bytebpe, centroids, decontaminate, linedup, mixing, neardup, periodic, rules, sharding, tokencount, toxicity, urlfilter, warc)
 from .common import table
 
 SHARDS = 40
@@ -205,9 +205,78 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(w.n, 0)::BIGINT AS n_hit,
 FROM doc_words d LEFT JOIN words_hit w ON d.doc_id = w.doc_id LEFT JOIN items_hit t ON d.doc_id = t.doc_id
 """
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every whole text, and what they decode to, as digests."""
+    codec = bytebpe.codec()
+    back = bytebpe.decode(bytebpe.encode(table(spark, folder, "documents"), codec), codec)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("body", 256).alias("decoded_sha256"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector with its cluster after ten rounds around eight centroids."""
+    chunks, clusters = centroids.fit(table(spark, folder, "embeddings"), k=8, rounds=10, seed=3)
+    final = clusters.table(spark).select("cluster", "cluster_inertia", "inertia",
+                                         F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    return centroids.assign(chunks, clusters).join(F.broadcast(final), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _floor_div(a: str, b: str) -> str:
+    return f"(({a}) - ((({a}) % ({b})) + ({b})) % ({b})) // ({b})"
+
+
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out one after the other."""
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INT AS cluster, v AS c
+       FROM kept ORDER BY cluster LIMIT {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, vec_id, min(struct_pack(s := list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, g := cluster)) AS best
+  FROM kept, c{n} GROUP BY r, vec_id)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (
+  SELECT cluster, list(m ORDER BY d) AS c FROM (
+    SELECT best.g AS cluster, d, {_floor_div('sum(x)::BIGINT', 'count(*)')} AS m FROM a{n} JOIN parts USING (r) GROUP BY best.g, d) GROUP BY cluster),
+c{n + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.best.g AS cluster, a.best.s AS distance, (sum(a.best.s) OVER (PARTITION BY a.best.g))::BIGINT AS cluster_inertia,
+       (sum(a.best.s) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.best.g = c.cluster"""
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth repeat a stretch of their words to the end, at places that follow from the id."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(hashed % 10 == 0, F.lit(False))
+    words = F.when(chosen, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w")
+    held = docs.select("doc_id", "text", F.floor(hashed / 10).alias("g"), words).withColumn("n", F.size("w"))
+    sized = held.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = sized.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of at least four periods in every whole text, a tenth of them with planted repeats."""
+    found = periodic.runs(with_repeats(table(spark, folder, "documents")))
+    best = periodic.longest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_toxicity, op3_decontaminate, op4_token_counts, op5_warc, op6_near_duplicates, op7_shards,
-    op8_quality_rules, op9_line_dedup, op10_url_filter)}
+    op8_quality_rules, op9_line_dedup, op10_url_filter, op11_byte_bpe, op12_centroids, op13_periodic_runs)}
 OP5_SQL = f"""
 WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 sized AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
@@ -224,4 +293,5 @@ ORACLES = {
     "op5_warc": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
+    "op12_centroids": _op12_sql(),
 }
