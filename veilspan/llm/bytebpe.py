@@ -24,8 +24,10 @@ from .common import by_bytes, shared, text_bytes, unpacked
 
 #: File of the default vocabulary in the folder of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of distinct pre-tokens beyond which a task forgets them and begins anew.
+#: Characters of distinct words and pre-tokens beyond which a task forgets them and begins anew.
 REMEMBERED = 4_000_000
+#: Numbers of units that the memory does not hold.
+UNSEEN, IRREGULAR = -2, -1
 #: Piece of the unknown token that a model must have; no byte is written with this character.
 UNKNOWN = "⁇"
 
@@ -107,14 +109,14 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.model, self.pattern = serialise(tokens), pattern
         self.newer = newer_characters()
-        # a pre-token that is a token is that token, also where its merges would end elsewhere
+        self.by_words = pattern == default_pattern()
         self.whole = {token: rank for rank, token in enumerate(tokens)}
         self.pieces = None
         self._forget()
 
     def _forget(self) -> None:
-        """Empty the memory: pre-token to number, and by number its ids in ``flat``."""
-        self.known: dict[str, int] = {}
+        """Empty the memory: unit to number, and by number its ids in ``flat``."""
+        self.known: dict[str | bytes, int] = {}
         self.first = self.count = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
         self.size = 0
@@ -141,43 +143,93 @@ class Codec:
             return self.plain.findall(text)
         return self.careful.findall(text)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode pre-tokens that are not remembered and append them to the memory."""
-        raw = [p.encode() for p in fresh]
-        letters, lengths = to_letters(b"".join(raw)), np.array([len(b) for b in raw])
+    def _units(self, text: str, by_words: bool) -> list[str | bytes]:
+        """Parts of a text that are encoded by themselves: pre-tokens (as bytes), and words (as text) that one blank leads.
+
+        Under the public pattern a blank between two characters that are no white space begins a
+        pre-token, whatever stands around it, so a word with its blank need not be cut again.
+        """
+        if not by_words:
+            return [p.encode() for p in self.cut(text)]
+        first, *words = text.split(" ")
+        return [*(p.encode() for p in self.cut(first)), *words] if first == first.rstrip() else [*words, ""]
+
+    def _tokens(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pre-tokens in a row, and how many each has."""
+        letters, lengths = to_letters(b"".join(distinct)), np.array([len(p) for p in distinct], dtype=np.int64)
         ends = np.cumsum(lengths)
-        cut = [letters[s:e] for s, e in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-        ask = [i for i, b in enumerate(raw) if b not in self.whole]
-        found = dict(zip(ask, self.pieces.encode([cut[i] for i in ask], num_threads=1) if ask else [], strict=True))
-        ids = [found[i] if i in found else (self.whole[b],) for i, b in enumerate(raw)]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        counts = np.array([len(x) for x in ids])
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32)])
-        self.size += len(letters)
+        ids: list = [self.whole.get(p) for p in distinct]
+        ask = [i for i, token in enumerate(ids) if token is None]
+        ends, starts = ends.tolist(), (ends - lengths).tolist()
+        made = self.pieces.encode([letters[starts[i]:ends[i]] for i in ask], num_threads=1) if ask else []
+        for i, pieces in zip(ask, made, strict=True):
+            ids[i] = pieces
+        # a pre-token that is a token is that token, also where its merges would end elsewhere
+        lists = [x if isinstance(x, list) else (x,) for x in ids]
+        return np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32), np.array([len(x) for x in lists], dtype=np.int64)
+
+    def _learn(self, fresh: list[str | bytes]) -> None:
+        """Encode units that are not remembered and append them to the memory."""
+        alone = [u for u in fresh if isinstance(u, bytes)]
+        words = [u for u in fresh if isinstance(u, str)]
+        # the blank before or after such a word stands next to other white space: its text is cut as a whole
+        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        if odd:
+            self.known.update(dict.fromkeys(odd, IRREGULAR))
+            words = [w for w in words if w not in self.known]
+        cuts = self.cut(" " + " ".join(words)) if words else []
+        number = {p: i for i, p in enumerate(dict.fromkeys([*alone, *(p.encode() for p in cuts)]))}
+        ids, counts = self._tokens(list(number))
+        firsts = np.cumsum(counts) - counts
+        at = np.array([number[p] for p in alone] + [number[p.encode()] for p in cuts], dtype=np.int64)
+        # of the pre-tokens of a word the first one begins with the blank
+        owner = np.cumsum([1] * len(alone) + [p[0] == " " for p in cuts], dtype=np.int64) - 1
+        sizes = np.bincount(owner, weights=counts[at], minlength=len(alone) + len(words)).astype(np.int64)
+        learned = len(self.count)
+        self.known.update(zip([*alone, *words], range(learned, learned + len(sizes)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.count = np.concatenate([self.count, sizes])
+        self.flat = np.concatenate([self.flat, ids[_places(firsts[at], counts[at])]])
+        self.size += sum(map(len, fresh))
+
+    def _codes(self, units: list[list[str | bytes]]) -> np.ndarray:
+        """Numbers of the units in the memory; ``IRREGULAR`` where there is none."""
+        every = list(itertools.chain.from_iterable(units))
+        codes = np.fromiter(map(self.known.get, every, itertools.repeat(UNSEEN)), dtype=np.int64, count=len(every))
+        unseen = np.flatnonzero(codes == UNSEEN).tolist()
+        if unseen:
+            self._learn(list(dict.fromkeys(every[i] for i in unseen)))
+            codes[unseen] = [self.known[every[i]] for i in unseen]
+        return codes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in a row, and where each text's begin (one more place for the end)."""
         if self.size > REMEMBERED:
             self._forget()
-        cuts = [self.cut(t) for t in texts]
-        every = list(itertools.chain.from_iterable(cuts))
-        codes = list(map(self.known.get, every))
-        if None in codes:
-            self._learn(list({p for p, code in zip(every, codes, strict=True) if code is None}))
-            codes = list(map(self.known.__getitem__, every))
-        at = np.array(codes, dtype=np.int64)
-        counts = self.count[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.repeat(self.first[at] - ends[:-1], counts) + np.arange(ends[-1])]
-        return ids, ends[np.cumsum([0, *map(len, cuts)])]
+        units = [self._units(t, self.by_words) for t in texts]
+        codes = self._codes(units)
+        ends = np.cumsum([0, *map(len, units)])
+        irregular = np.unique(np.searchsorted(ends, np.flatnonzero(codes == IRREGULAR), side="right") - 1).tolist()
+        if irregular:
+            again = [self._units(texts[i], False) for i in irregular]
+            cut = np.split(codes, ends[1:-1])
+            for i, part in zip(irregular, np.split(self._codes(again), np.cumsum([len(u) for u in again])[:-1]), strict=True):
+                cut[i] = part
+            codes, ends = np.concatenate(cut), np.cumsum([0, *map(len, cut)])
+        counts = self.count[codes]
+        return self.flat[_places(self.first[codes], counts)], np.concatenate([[0], np.cumsum(counts)])[ends]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of token ids, in order."""
         return to_bytes(self.pieces.decode(ids)) if ids else b""
 
 
+def _places(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of stretches that begin at ``firsts`` and hold ``counts`` places, in a row."""
+    ends = np.cumsum(counts)
+    return np.repeat(firsts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return Codec(read_ranks(path or default_path()), pattern or default_pattern())
 
