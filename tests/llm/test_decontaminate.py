@@ -53,7 +53,9 @@ def test_removal(spark, docs_of):
     filler = " ".join(f"f{i}" for i in range(40))
     docs = docs_of([(1, f"{filler}. {item.upper()}! {filler}"), (2, item), (3, filler), (4, None), (5, ""), (6, "short one here")])
     bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "...")], ITEMS)
-    out = {r["doc_id"]: r for r in decontaminate.remove(docs, bench).collect()}
+    # a hit on a short item counts by default
+    assert 6 not in {r["doc_id"] for r in decontaminate.remove(docs, bench).collect()}
+    out = {r["doc_id"]: r for r in decontaminate.remove(docs, bench, min_span=10).collect()}
     assert out[1]["text"] == f"{filler}. ! {filler}" and out[1]["n_chars"] == len(out[1]["text"])
     assert 2 not in out and out[3]["text"] == filler and out[4]["text"] is None and out[5]["text"] == "" and out[6]["text"] == "short one here"
 

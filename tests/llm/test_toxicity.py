@@ -61,3 +61,21 @@ def test_odd_rows(odd):
     assert by[1] == by[2] == by[3] == 0.0 and by[4] > 0.9 and by[8] > 0.9 and by[9] < 0.5
     assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.reject(odd.limit(0), model).count() == 0
     assert {r["doc_id"] for r in toxicity.reject(odd, model).collect()} == {1, 2, 3, 6, 7, 9, None}
+
+
+def test_long_texts_leave_their_place_in_the_sample_to_others(spark, docs_of, monkeypatch):
+    rows = corpus(300)
+    long = " calm" * 5000
+    docs = docs_of([(i, long if i % 3 == 0 else t) for i, t, _ in rows] + [(1, "zz")])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", {1: 20, 0: 50})
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, weight: seen.append(rows))
+    toxicity.train(docs, labels)
+    assert sum(y for _, y in seen[0]) == 20 and len(seen[0]) == 70 and all(len(t) <= toxicity.SAMPLE_TEXT_BYTES for t, _ in seen[0])
+
+
+def test_extra_columns_stay(odd):
+    model = toxicity.Model(-3.0, {"one": 9.0})
+    clashing = odd.withColumn("score", F.lit("z")).withColumn("offending", F.lit(1))
+    assert toxicity.reject(clashing, model).columns == clashing.columns

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspan.llm import urlfilter
@@ -32,7 +33,9 @@ def brute(captures, entries):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [urlfilter.HOT_ROWS, 3])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(urlfilter, "HOT_ROWS", hot)
     rng = random.Random(5)
     hosts = ["a.com", "x.a.com", "y.x.a.com", "b.org", "w.b.org", "local"]
     for _ in range(3):

@@ -74,6 +74,43 @@ def test_lost_segments_and_wrong_lengths_are_errors(spark):
             read(parts, name)
 
 
+def test_a_file_that_ends_inside_a_record_is_an_error(spark):
+    folder = tempfile.mkdtemp()
+    pages = [(i, "u", f"{i}" * size) for i, size in enumerate((50, 500, 5000, 40_000, 700))]
+    warc.write(frame(spark, pages).coalesce(1), folder + "/w")
+    raw = b"".join(gzip.open(p).read() for p in glob.glob(folder + "/w/*.gz"))
+
+    def read(part, name):
+        os.makedirs(f"{folder}/{name}")
+        # a whole file before and after, so that the end of a file is also met between files
+        for at, body in (("a", part), ("b", raw.replace(b"WARC-Page-ID: ", b"WARC-Page-ID: 9"))):
+            with gzip.open(f"{folder}/{name}/{at}.warc.gz", "wb") as f:
+                f.write(body)
+        return warc.read_pages(spark, f"{folder}/{name}").count()
+
+    assert read(raw, "whole") == 10 and read(raw[:-2], "last_line_end") == 10
+    heads = raw.rindex(b"WARC/1.1")
+    for name, size in (("in_content", len(raw) - 150), ("last_byte", len(raw) - 5), ("line_ends", len(raw) - 4), ("in_head", heads + 40), ("in_segments", raw.index(b"continuation") + 3000)):
+        with pytest.raises(Exception, match="ends inside a record|whole record"):
+            read(raw[:size], name)
+
+
+def test_identifiers_follow_from_the_page(spark):
+    big = "".join(f"<p>{i}</p>" for i in range(4000))
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (2, "http://b/", big), (2, None, big), (3, "http://c/", big + "x"), (3, "http://c/", big + "x"), (3, "http://c/", big + "y")]
+    folder = tempfile.mkdtemp()
+    ids = []
+    for name, parts in (("one", 1), ("four", 4)):
+        warc.write(frame(spark, rows).repartition(parts), f"{folder}/{name}")
+        records = warc.read_records(spark, f"{folder}/{name}").collect()
+        ids.append(sorted(r["record_id"] for r in records))
+        assert sorted((r["page_id"], r["record_type"], bytes(r["payload"] or b"")) for r in warc.read_pages(spark, f"{folder}/{name}").collect()) == sorted(
+            (i, "revisit" if i == 1 else "response", b"" if i == 1 else b.encode()) for i, _, b in rows)
+    assert ids[0] == ids[1]
+    raw = b"".join(gzip.open(p).read() for p in glob.glob(f"{folder}/one/*.gz"))
+    assert raw.count(b"WARC-Refers-To: ") == 1 and raw.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0].decode() in ids[0]
+
+
 def test_empty_table(spark):
     folder = tempfile.mkdtemp() + "/w"
     warc.write(frame(spark, [(1, "u", "z")]).limit(0), folder)

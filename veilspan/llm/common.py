@@ -70,6 +70,18 @@ def known_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+def once(packed: Broadcast, use: Callable = lambda value: value) -> Callable[[], object]:
+    """A function that gives ``use(value of a shared broadcast)``; a task makes it at the first call and keeps it."""
+    kept: list = []
+
+    def get() -> object:
+        if not kept:
+            kept.append(use(unpacked(packed.value)))
+        return kept[0]
+
+    return get
+
+
 def fraction(*parts: Column | str, seed: int) -> Column:
     """A hash of ``parts`` as a number in [0, 1): 52 bits of MD5, the same in every engine."""
     values = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]

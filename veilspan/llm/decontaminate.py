@@ -240,12 +240,13 @@ def _cut(body: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*kept, body[at:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, min_span: int = WINDOW,
+def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, min_span: int = 1,
            max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without benchmark passages, in the columns of ``docs``.
 
-    A hit stretch of at least ``min_span`` words is cut out of the text (shorter ones, of short
-    items, stay; with 1 none do, since a hit is a window of an item or the whole of a shorter one).  A row goes altogether when more than ``max_coverage`` of its words are in such
+    A hit stretch of at least ``min_span`` words is cut out of the text.  A hit is a window of an
+    item or the whole of a shorter item, so by default every one goes; a larger ``min_span`` leaves
+    short items.  A row goes altogether when more than ``max_coverage`` of its words are in such
     stretches.  Rows without them pass unchanged, null and empty texts included; repeated rows are
     treated each.  A column ``n_chars``, if there is one, follows the text.
     """

@@ -56,7 +56,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, *, text: str = "tex
 
     Lines are the parts between ``\\n``; a removed line goes with one line break.  Blank lines are
     kept.  A null text stays null with 0 lines; an empty one has one (blank) line.  Repeated rows
-    are cleaned each.  Input columns of the added names are replaced.
+    are cleaned each.  Input columns of the added names are replaced; an empty table
+    stays empty.
 
     Which lines of a text go depends on the text alone, so the removal is found once per distinct
     text and joined back by a 128-bit hash of it.

@@ -63,7 +63,8 @@ def replicate(docs: DataFrame, rates: DataFrame, *, seed: int = 0, key: str = "d
     Adds ``copy`` (0, 1, ...), ``copies``, ``rate`` and ``order_key`` (sorting by it gives the
     shuffled order) to the columns of ``docs``; input columns of these names are replaced.
     Documents of a source that ``rates`` lacks have rate 0.  Rows with equal ids (null is an id)
-    get equal draws.  Null and empty texts are replicated like any other.
+    get equal draws.  Null and empty texts are replicated like any other; an empty
+    table gives an empty result.
     """
     draws = F.greatest(F.ceil(F.col("rate") / MEAN_PER_DRAW), F.lit(1)).cast("int")
     # written, so that counting its rows and joining them do not measure the documents twice

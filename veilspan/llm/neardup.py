@@ -17,7 +17,6 @@ Memory: a task holds one unit.  Misses: only by banding (see ``band_miss``) and
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -47,6 +46,8 @@ MISS = 1e-6
 #: Nodes and shingles in one chunk of a bucket, on average.
 CHUNK_NODES = 256
 CHUNK_SHINGLES = 1 << 20
+#: Bytes of distinct words beyond which a task forgets their numbers.
+REMEMBERED = 2_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,12 +60,15 @@ def band_miss(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
 
 
 def layout(threshold: float) -> tuple[int, int]:
-    """Bands and rows of the signatures for a threshold; below all layouts the last, with what ``band_miss`` says of it."""
-    return next((x for x in LAYOUTS if band_miss(threshold, *x) <= BAND_MISS), LAYOUTS[-1])
+    """Bands and rows of the signatures for a threshold; an error where every layout would miss more than ``BAND_MISS``."""
+    for bands, rows in LAYOUTS:
+        if band_miss(threshold, bands, rows) <= BAND_MISS:
+            return bands, rows
+    raise ValueError(f"no layout finds pairs of similarity {threshold}: {LAYOUTS[-1]} misses {band_miss(threshold, *LAYOUTS[-1]):.1%}")
 
 
-@functools.cache
-def _hashes(total: int) -> tuple[np.ndarray, np.ndarray]:
+def hashes(total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of so many hash functions; the same everywhere."""
     rng = np.random.default_rng(20240229)
     multiply = rng.integers(0, 1 << 32, total, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     return multiply, rng.integers(0, 1 << 32, total, dtype=np.uint64).astype(np.uint32)
@@ -76,21 +80,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """64-bit numbers of words, remembered within a task."""
+    """64-bit numbers of words; a task remembers words of up to ``REMEMBERED`` bytes in all."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.size = 0
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         try:
             return np.array([known[w] for w in words], dtype=np.uint64)
         except KeyError:
-            if len(known) > 500_000:
+            if self.size > REMEMBERED:
                 known.clear()
+                self.size = 0
             for w in words:
                 if w not in known:
                     known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+                    self.size += len(w)
             return np.array([known[w] for w in words], dtype=np.uint64)
 
 
@@ -113,11 +120,11 @@ def shingles(body: bytes | None, words: Words) -> np.ndarray:
     return np.unique(code)
 
 
-def signature(codes: np.ndarray, total: int = BANDS * ROWS) -> np.ndarray:
-    """MinHash values, 32 bits each, of a set of shingle numbers."""
-    multiply, add = _hashes(total)
+def signature(codes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """MinHash values, 32 bits each, of a set of shingle numbers, one for each of the hash ``functions``."""
+    multiply, add = functions
     low = (codes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(total, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(len(add), 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 1024):
         part = low[at:at + 1024]
         np.minimum(least, (multiply[:, None] * part[None, :] + add[:, None]).min(axis=1), out=least)
@@ -143,15 +150,15 @@ def sketches(docs: DataFrame, *, threshold: float = 0.85, key: str = "doc_id", t
     ``row`` names a column that tells rows apart; ``fetch`` finds the text again: the id, or a hash of the text where the id is null.
     """
     n_bands, n_rows = layout(threshold)
+    functions, words = hashes(n_bands * n_rows), Words()
 
     def rows(columns: list) -> Iterator[tuple]:
-        words = Words()
         for row, doc, fetch, body in zip(*columns, strict=True):
             codes = shingles(body, words)
             if not len(codes):
                 yield row, doc, fetch, 0, None, None, None
                 continue
-            sig = signature(codes, n_bands * n_rows)
+            sig = signature(codes, functions)
             yield (row, doc, fetch, len(codes), hashlib.blake2b(codes.tobytes(), digest_size=16).digest(),
                    (sig & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), _bands(sig, n_bands, n_rows))
 
@@ -273,9 +280,10 @@ def _units(nodes: DataFrame) -> DataFrame:
     A bucket is cut by a hash into as many chunks as its nodes and shingles ask for; the number of
     rows of a bucket of ``m`` chunks grows with ``m`` times its nodes, not with their square.
     """
-    met = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).repartition("key")
+    met = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     weight = F.ceil(F.greatest(F.count("*") / CHUNK_NODES, F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int")
-    buckets = met.groupBy("key").agg(F.count("*").alias("_n"), weight.alias("chunks")).where("_n > 1").drop("_n")
+    # written, so that the join's two sides are dealt alike and Spark can split a bucket with many nodes
+    buckets = written(met.groupBy("key").agg(F.count("*").alias("_n"), weight.alias("chunks")).where("_n > 1").drop("_n"))
     joined = met.join(buckets, "key").select(
         "node", "band", "key", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
@@ -315,9 +323,9 @@ def links(docs: DataFrame, known: DataFrame, *, threshold: float = 0.85, miss: f
     ids = written(survivors.select("node").distinct().join(nodes.select("node", "fetch"), "node").select("fetch").distinct())
     texts = docs.select(_fetch(key, text), text_bytes(text).alias("text")).join(known_small(ids), "fetch", "left_semi")
     schema = pa.schema([("node", pa.binary()), ("codes", pa.binary())])
+    words = Words()
 
     def sets(columns: list) -> Iterator[tuple]:
-        words = Words()
         for _, body in zip(*columns, strict=True):
             codes = shingles(body, words)
             if len(codes):
@@ -374,8 +382,9 @@ def _rooted(docs: DataFrame, threshold: float, miss: float, key: str, text: str,
     known = written(sketches(docs, threshold=threshold, key=key, text=text, row=row))
     roots = written(components.labels(links(docs, known, threshold=threshold, miss=miss, key=key, text=text)))
     nodes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    # written, so that the join's two sides are dealt alike and Spark can split a large component
+    smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return known, written(rooted.join(smallest, "root").select("node", "root", "component_id"))
 
 
@@ -386,6 +395,7 @@ def groups(docs: DataFrame, *, threshold: float = 0.85, miss: float = MISS, key:
     or more; ``component_id`` is the smallest id that links reach.  A row without words is linked
     with nothing and is its own component.  Rows with a null id take part, but give a component
     no id unless all its ids are null.  Repeated rows have equal sets and so one component; other columns are ignored.
+    An empty table gives an empty result.
     """
     known, named = _rooted(docs, threshold, miss, key, text)
     rows = known.select("doc_id", "n_shingles", "node").join(named.drop("root"), "node", "left")
@@ -398,7 +408,7 @@ def keep_one(docs: DataFrame, *, threshold: float = NEAR, miss: float = MISS, ke
 
     Of repeated rows with that id one stays; of rows without words all do.  Rows are told apart by
     a number that is written with them, since a second scan after the loss of executors may deal
-    the rows differently.
+    the rows differently.  Extra columns stay as they are; an empty table gives an empty one.
     """
     numbered = written(docs.withColumn("_neardup_row", F.monotonically_increasing_id()))
     known, named = _rooted(numbered, threshold, miss, key, text, "_neardup_row")

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, shared, text_bytes, unpacked
+from .common import batches, once, shared, text_bytes
 
-#: A public byte-level vocabulary: pieces that begin with a blank begin a word.
+#: A public byte-level vocabulary: pieces that begin with a blank begin a word.  A parameter: where
+#: the file is absent, ``read_vocabulary`` raises ``FileNotFoundError`` unless another path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words whose counts a task remembers.
 REMEMBERED = 200_000
@@ -91,14 +92,14 @@ def token_counts(docs: DataFrame, pieces: list[bytes] | None = None, *, key: str
 
     Words are runs of bytes other than ASCII white space; each is preceded by one blank, which
     marks the start of a word in the vocabulary, and cut greedily.  Null, empty and blank texts
-    have 0 words and 0 tokens.  Repeated rows are counted each; other columns are ignored.  The
-    automaton is broadcast: its size is that of the vocabulary, a parameter, not of the data.
+    have 0 words and 0 tokens.  Repeated rows are counted each; other columns are ignored; an empty
+    table gives an empty result.  The automaton is broadcast: its size is that of the vocabulary, a parameter, not of the data.
     """
-    packed = shared(docs.sparkSession, Automaton(read_vocabulary() if pieces is None else pieces))
+    opened = once(shared(docs.sparkSession, Automaton(read_vocabulary() if pieces is None else pieces)))
+    known: dict[bytes, int] = {}
 
     def rows(columns: list) -> Iterator[tuple]:
-        automaton = unpacked(packed.value)
-        known: dict[bytes, int] = {}
+        automaton = opened()
         for doc, body in zip(*columns, strict=True):
             words = body.split() if body else []
             total = 0

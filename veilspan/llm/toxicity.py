@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, shared, text_bytes, unpacked
+from veilspan.session import written
+
+from .common import batches, once, shared, text_bytes
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -138,21 +140,24 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
           seed: int = 0) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``.
 
-    The sample is the first ``SAMPLE_ROWS`` ids of each label in the order of a hash, without
-    texts of more than ``SAMPLE_TEXT_BYTES``; the other label counts by its share of all labels.
-    Null ids and labels are left out; of contradicting labels of an id the toxic one holds.
+    The sample is the first ``SAMPLE_ROWS`` ids of each label in the order of a hash; ids without
+    a text of 1 to ``SAMPLE_TEXT_BYTES`` bytes are passed over and the next ones take their place.
+    The other label counts by its share of all labels.  Null ids and labels are left out; of
+    contradicting labels of an id the toxic one holds; of repeated rows of an id the smallest text.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    body = F.col(text).cast("string")
+    fitting = docs.where(F.octet_length(body).between(1, SAMPLE_TEXT_BYTES))
+    usable = written(known.join(fitting.select(F.col(key).alias("_id")), "_id", "left_semi"))
     order = F.xxhash64(F.lit(seed), "_id")
-    parts = [known.where(F.col("_y") == y).orderBy(order, "_id").limit(n) for y, n in SAMPLE_ROWS.items()]
+    parts = [usable.where(F.col("_y") == y).orderBy(order, "_id").limit(n) for y, n in SAMPLE_ROWS.items()]
     # at most the sum of SAMPLE_ROWS ids: a proven bound
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    body = F.col(text).cast("string")
-    found = docs.select(F.col(key).alias("_id"), body.alias("_text")).where(
-        F.octet_length("_text").between(1, SAMPLE_TEXT_BYTES)).join(chosen, "_id")
-    rows = [(r["_text"], r["_y"]) for r in found.select("_id", "_text", "_y").dropDuplicates(["_id"]).orderBy("_id").collect()]
+    found = fitting.select(F.col(key).alias("_id"), body.alias("_text")).join(chosen, "_id").groupBy("_id").agg(
+        F.min("_text").alias("_text"), F.first("_y").alias("_y"))
+    rows = [(r["_text"], r["_y"]) for r in found.select("_id", "_text", "_y").orderBy("_id").collect()]
     in_sample = Counter(y for _, y in rows)
     share = (counts.get(0, 0) / max(1, in_sample[0])) / (counts.get(1, 0) / max(1, in_sample[1])) if counts.get(1) else 1.0
     return fit(rows, max(share, 1e-6))
@@ -211,12 +216,12 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     ``offending`` lists the bounds (code points) and scores of sentences that score at least
     ``locate``.  Null, empty and wordless texts have no sentences and score 0.  Repeated rows are
-    scored each; other columns are ignored.  The model has at most ``MAX_FEATURES`` weights.
+    scored each; other columns are ignored; an empty table gives an empty result.  The model has at most ``MAX_FEATURES`` weights.
     """
-    packed = shared(docs.sparkSession, model)
+    judging = once(shared(docs.sparkSession, model), lambda m: scorer(m, locate))
 
     def rows(columns: list) -> Iterator[tuple]:
-        judge = scorer(unpacked(packed.value), locate)
+        judge = judging()
         for doc, body in zip(*columns, strict=True):
             value, n, found = judge(body.decode("utf-8", "replace") if body else None)
             yield doc, value, n, [{"start": a, "end": b, "score": p} for a, b, p in found]
@@ -226,12 +231,15 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, unchanged; null and empty texts stay."""
-    packed = shared(docs.sparkSession, model)
+    """The rows of ``docs`` that score below ``threshold``, unchanged with all columns.
+
+    Null and empty texts score 0 and stay; repeated rows are judged each; an empty table stays empty.
+    """
+    judging = once(shared(docs.sparkSession, model), scorer)
     at = docs.columns.index(text)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = scorer(unpacked(packed.value))
+        judge = judging()
         for whole in stream:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from veilspan.session import written
 
+from .common import known_small
+
 #: Interval and capture times are cut into buckets of so many seconds, which the join takes as an equality.
 BUCKET_SECONDS = 30 * 86400
-#: Every (domain, bucket) of the captures is dealt to so many parts; list entries are repeated as often.
-PARTS = 16
+#: Captures of one (domain, bucket) beyond which it is dealt to several parts, and the most parts;
+#: only the list entries of such a domain are repeated, once for each part.
+HOT_ROWS, MOST_PARTS = 10_000, 4096
 
 
 def host(url: Column) -> Column:
@@ -56,28 +59,34 @@ def judge(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched:
 
     The most specific domain that was listed at the fetch time decides (the host itself before
     its parents).  A capture without a host or fetch time is not blocked.  Repeated captures are
-    judged each.  Input columns of the added names are replaced.
+    judged each, an empty table gives an empty result, an empty list blocks nothing.  Input columns
+    of the added names are replaced.
 
     Distinct pairs of host and time are judged once and joined back by value, so the result does
     not depend on how the captures are read.  A pair and an interval meet on (domain, time bucket,
-    part), so neither a common host nor a common parent domain is one task; within that, intervals
-    of a domain do not overlap, so a pair meets at most one interval per domain.
+    part), so neither a common host nor a common parent domain is one task; there are several parts
+    only where a domain has many pairs in a bucket.  Intervals of a domain do not overlap, so a pair
+    meets at most one interval per domain.
     """
     at, name = F.col(fetched).cast("timestamp"), host(F.col(url))
     plain = captures.drop("blocked", "list_domain", "listed_since")
     pairs = written(plain.select(name.alias("_url_host"), at.alias("_url_at")).where(
         "_url_host is not null and _url_at is not null").distinct())
     bucket = lambda c: F.floor(F.unix_timestamp(c) / BUCKET_SECONDS)
-    asked = pairs.select(
-        "*", bucket(F.col("_url_at")).alias("bucket"), F.pmod(F.xxhash64("_url_host", "_url_at"), F.lit(PARTS)).cast("int").alias("part"),
-        F.explode(domains(F.col("_url_host"))).alias("domain"))
+    asked = pairs.select("*", bucket(F.col("_url_at")).alias("bucket"), F.explode(domains(F.col("_url_host"))).alias("domain"))
+    # every hot key stands for HOT_ROWS captures, so there are few; they are counted before they are broadcast
+    parts = F.least(F.ceil(F.col("count") / HOT_ROWS), F.lit(MOST_PARTS)).cast("int")
+    hot = known_small(written(asked.groupBy("domain", "bucket").count().where(F.col("count") > HOT_ROWS).select("domain", "bucket", parts.alias("parts"))))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_url_host", "_url_at"), F.col("parts"))).cast("int")
+    asked = asked.join(hot, ["domain", "bucket"], "left").withColumn("part", part).drop("parts")
     # intervals are followed from the first capture to the last: two numbers, which fit into the plan
     first, last = pairs.agg(F.min(bucket(F.col("_url_at"))), F.max(bucket(F.col("_url_at")))).first()
     begin = F.greatest(bucket(F.col("valid_from")), F.lit(first))
     end = F.least(F.coalesce(bucket(F.col("valid_to")), F.lit(last)), F.lit(last))
     spread = intervals(entries).withColumns({"_begin": begin, "_end": end}).where("_begin <= _end").select(
-        "domain", "valid_from", "valid_to", F.explode(F.sequence("_begin", "_end")).alias("bucket")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        "domain", "valid_from", "valid_to", F.explode(F.sequence("_begin", "_end")).alias("bucket"))
+    spread = spread.join(hot, ["domain", "bucket"], "left").select(
+        "domain", "valid_from", "valid_to", "bucket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     met = asked.join(spread, ["domain", "bucket", "part"]).where(
         (F.col("valid_from") <= F.col("_url_at")) & (F.col("valid_to").isNull() | (F.col("_url_at") < F.col("valid_to"))))
     best = written(met.groupBy("_url_host", "_url_at").agg(

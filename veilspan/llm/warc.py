@@ -5,9 +5,14 @@ when an equal large payload is archived elsewhere, into a ``revisit`` record.  A
 than a segment is continued in ``continuation`` records.  The archives are ordinary
 gzip-compressed WARC files in a folder that all executors share, written and read by Spark.
 
+Record identifiers follow from what is archived (key, URL, payload), so a task that runs again
+writes the same ones, and a revisit names the record that it refers to in the standard header.
+Repeated rows give records of one identifier with equal segments.
+
 Reading takes the records of each file in turn, groups the continuations of a record by the
 identifier of its first segment, orders them by segment number, verifies that no segment is
-missing and that the total length is as stated, and decodes the chunked framing.
+missing and that the total length is as stated, and decodes the chunked framing.  A file that
+ends inside a record is an error.
 """
 
 from __future__ import annotations
@@ -42,22 +47,26 @@ PARSED = ("record_id string, record_type string, origin_id string, segment long,
           "refers_to long, url string, digest string, content binary")
 
 
-def revisits(pages: DataFrame, *, key: str = "page_id", payload: str = "html") -> DataFrame:
+def revisits(pages: DataFrame, *, key: str = "page_id", payload: str = "html", url: str | None = None) -> DataFrame:
     """``pages`` with ``refers_to``: the largest key with an equal payload of ``REVISIT_BYTES`` or more.
 
+    With ``url`` also ``refers_url``: the largest URL of the rows with that key and payload.
+
     Null where the page itself is archived in full: a smaller payload, or the largest key itself
     (each of its rows, if it is repeated).  A row without a key, equal to one with a key, refers to that one.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     large = F.octet_length(body) >= REVISIT_BYTES
     mark = F.when(large, F.unhex(F.sha2(body, 256)))
-    marked = pages.drop("refers_to", "_mark", "_largest").withColumn("_mark", mark)
+    marked = pages.drop("refers_to", "refers_url", "_mark", "_largest").withColumn("_mark", mark)
+    first = F.struct(F.col(key).alias("key"), (F.lit(None) if url is None else F.col(url)).cast("string").alias("url"))
     # written, so that the join's two sides are dealt alike and Spark can split a frequent payload
     groups = written(marked.where("_mark is not null").groupBy("_mark")
-                     .agg(F.max(key).alias("_largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+                     .agg(F.max(first).alias("_largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     joined = marked.join(groups, "_mark", "left")
-    other = F.when(~F.col(key).eqNullSafe(F.col("_largest")), F.col("_largest"))
-    return joined.withColumn("refers_to", other).drop("_mark", "_largest")
+    other = F.when(~F.col(key).eqNullSafe(F.col("_largest.key")), F.col("_largest"))
+    found = joined.withColumn("refers_to", other["key"])
+    return (found if url is None else found.withColumn("refers_url", other["url"])).drop("_mark", "_largest")
 
 
 def _chunked(body: bytes) -> bytes:
@@ -74,18 +83,24 @@ def _framed(fields: list[tuple[str, object]], content: bytes) -> bytes:
     return b"".join([b"WARC/1.1\r\n", head.encode(), b"Content-Length: %d" % len(content), CRLF, CRLF, content, b"\r\n\r"])
 
 
+def _identifier(*parts: object) -> str:
+    """A record identifier that follows from the parts."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr(parts))}>"
+
+
 def _records(columns: list) -> Iterator[tuple]:
-    for page_id, url, body, refers_to in zip(*columns, strict=True):
+    for page_id, url, body, refers_to, refers_url in zip(*columns, strict=True):
         body = body or b""
-        record_id = f"<urn:uuid:{uuid.uuid4()}>"
         digest = "sha1:" + hashlib.sha1(body).hexdigest()
+        record_id = _identifier(page_id, url, digest)
         # a target may not hold blanks or controls, which would end the header line
         target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}")
         common = [("WARC-Record-ID", record_id), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Page-ID", page_id),
                   ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
         if refers_to is not None:
-            extra = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To-Page-ID", refers_to)]
+            extra = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", _identifier(refers_to, refers_url, digest)),
+                     ("WARC-Refers-To-Date", DATE), ("WARC-Refers-To-Page-ID", refers_to)]
             yield (_framed([*extra, *common], head),)
             continue
         content = head + _chunked(body)
@@ -97,7 +112,7 @@ def _records(columns: list) -> Iterator[tuple]:
             if number == 1:
                 fields = [("WARC-Type", "response"), *common]
             else:
-                fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE),
+                fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", _identifier(record_id, number)), ("WARC-Date", DATE),
                           ("WARC-Segment-Origin-ID", record_id)]
             total = len(content) if at + SEGMENT_BYTES >= len(content) else None
             yield (_framed([*fields, ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], part),)
@@ -107,10 +122,11 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
     """Archive every row of ``pages`` in gzip WARC files under ``folder``.
 
     A null payload is an empty one, a null URL becomes ``urn:page:<key>``.  Repeated rows give a
-    record each.  Other columns are ignored.
+    record each.  Other columns are ignored; an empty table gives archives without records.
     """
     narrow = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).alias("html"))
-    marked = revisits(narrow).select("page_id", "url", F.col("html").cast("string").cast("binary").alias("html"), "refers_to")
+    marked = revisits(narrow, url="url").select(
+        "page_id", "url", F.col("html").cast("string").cast("binary").alias("html"), "refers_to", "refers_url")
     records = marked.mapInArrow(batches(_records, _RECORD), "record binary")
     # the text writer writes the bytes of a string as they are
     records.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").text(folder)
@@ -149,6 +165,11 @@ class _Parser:
             self.missing = int(self.fields["content-length"])
         return None
 
+    def close(self, path: str) -> None:
+        """The file has ended: an error if a record has not."""
+        if self.fields is not None:
+            raise ValueError(f"{path} ends inside a record")
+
     @staticmethod
     def _record(fields: dict[str, str], content: bytes) -> tuple:
         number = lambda k: int(fields[k]) if k in fields else None
@@ -165,6 +186,8 @@ def _parse(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, held = [], 0
         for path, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if path not in parsers:
+                for earlier, parser in parsers.items():
+                    parser.close(earlier)
                 parsers = {path: _Parser()}  # a file is read by one task from its start to its end
             made = parsers[path].feed(line)
             if made is not None:
@@ -175,6 +198,8 @@ def _parse(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done, held = [], 0
         if done:
             yield _batch(done)
+    for path, parser in parsers.items():
+        parser.close(path)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,16 +265,21 @@ def read_pages(spark, folder: str) -> DataFrame:
     records = read_records(spark, folder)
     fields = ["page_id", "url", "record_type", "refers_to", "digest"]
     whole = records.where("segment is null").select(*fields, "content")
-    # only the segments of one record meet; a record is a row and fits a task like any row
-    parts = records.where("segment is not null").groupBy("origin_id").agg(
+    # equal segments of repeated records are counted before the segments of one record meet;
+    # a record is a row and fits a task like any row
+    single = records.where("segment is not null").groupBy("origin_id", "segment", "content").agg(
+        F.max("total").alias("total"), F.max(F.struct(*fields)).alias("head"), F.count("*").alias("copies"))
+    parts = single.groupBy("origin_id").agg(
         F.sort_array(F.collect_list(F.struct("segment", "content"))).alias("parts"), F.max("total").alias("total"),
-        F.max("segment").alias("last"),
-        *[F.max_by(F.struct(*fields), F.col("segment") == 1).alias("first")])
+        F.max("segment").alias("last"), F.max_by("head", F.col("segment") == 1).alias("first"),
+        F.min("copies").alias("copies"), F.max("copies").alias("most"))
     joined = parts.withColumn("content", F.aggregate(
         "parts", F.unhex(F.lit("")), lambda a, p: F.concat(a, p["content"])))
     numbers = F.transform("parts", lambda p: p["segment"])
-    ok = (numbers == F.sequence(F.lit(1).cast("long"), F.col("last"))) & (F.octet_length("content") == F.col("total"))
-    checked = joined.select("first.*", _checked(F.coalesce(ok, F.lit(False)), F.col("content"), "segments do not make a whole record").alias("content"))
+    ok = ((numbers == F.sequence(F.lit(1).cast("long"), F.col("last"))) & (F.octet_length("content") == F.col("total"))
+          & (F.col("copies") == F.col("most")))
+    checked = joined.select("first.*", _checked(F.coalesce(ok, F.lit(False)), F.col("content"), "segments do not make a whole record").alias("content"),
+                            F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
     return whole.unionByName(checked).select("page_id", "url", "record_type", "refers_to", "digest", "content").mapInArrow(
         batches(_opened, _OPENED), OPENED)
 
