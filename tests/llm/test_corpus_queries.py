@@ -6,6 +6,7 @@ import zlib
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 from test_neardup import brute
 
 import corpus_pipeline
@@ -109,3 +110,52 @@ def test_first_pipeline_stages_against_brute_force(spark, folder):
     single = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, mild, folder).collect()]
     assert sorted(single) == sorted(d for d, (_, least) in brute(rows, 80).items() if d == least)
     assert first in single and first + 1 not in single and len(set(single)) < sum(d == least for d, (_, least) in brute(rows, 85).items())
+
+
+def test_pipeline_on_odd_rows_and_clashing_columns(spark, folder, odd, tmp_path):
+    given = [*corpus_pipeline.LAYOUT, "copy", "copies", "rate", "order_key", "_neardup_row", "place", "score", "node", "items", "_text", "_source", "given_size", "row"]
+    docs = odd
+    for name in given:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    renamed = {n: f"given_{n}" for n in corpus_pipeline.LAYOUT} | {"size": "given_given_size"}
+    assert out.columns == [renamed.get(c, c) for c in docs.columns] + list(corpus_pipeline.LAYOUT)
+    rows = out.collect()
+    for r in rows:
+        for name in given:
+            assert r[renamed.get(name, name)] == f"{name}:{'null' if r['doc_id'] is None else r['doc_id']}"
+    # one source but for one row: near-duplicates leave 1, 2, 3, two nulls, one of 4 and 5, of 6 and 7, of 8 and the null id, and 9
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in single.collect()) == ["1", "2", "3", "4", "6", "8", "9", "None"]
+    assert {r["doc_id"] for r in rows} <= {1, 2, 3, 4, 6, 8, 9, None}
+
+
+def test_pipeline_on_an_empty_table(spark, folder, odd, tmp_path):
+    odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == [*odd.columns, *corpus_pipeline.LAYOUT]
+
+
+def test_entry_point_survives_an_emptied_folder(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    shutil.copytree(f"{root}/veilspan", f"{tmp_path}/veilspan", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q) > 200, 'pipeline' in q, any(n.startswith('op6') for n in q))"
+    for step in ("gone", "emptied", "left_over_pipeline"):
+        if step == "emptied":
+            os.makedirs(f"{tmp_path}/veilspan/llm/__pycache__")
+        if step == "left_over_pipeline":
+            shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+        run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+        assert run.stdout.split()[-3:] == ["True", "False", "False"], run.stderr[-1000:]
