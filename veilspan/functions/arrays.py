@@ -29,6 +29,63 @@ def each(df: DataFrame, items: str | Column, *keep: str, name: str = "s", positi
     return df.select(*keep, spread).where(F.col(name).isNotNull())
 
 
+#: Elements that a scan handles before it starts a new part, and characters of a block of a cut text.
+PART, TEXT_BLOCK = 128, 1024
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], Column],
+         emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Left-to-right pass: ``emit(state before, x)`` for every element, nulls left out.
+
+    Appending copies an array, so elements are collected in parts of ``PART``: the time grows with
+    the elements (and the square of their parts only), not with the square of the elements.
+    """
+    empty, parts = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def within(part: Column, begin: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            made = emit(acc["state"], x)
+            return F.struct(step(acc["state"], x).alias("state"), F.array_append(acc["out"], made).alias("out"))
+        return F.aggregate(part, F.struct(begin.alias("state"), empty.alias("out")), one)
+
+    def across(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(PART))
+
+        def one(acc: Column, at: Column) -> Column:
+            return bind(within(F.slice(whole, at, F.lit(PART)), acc["state"]), lambda done: F.struct(
+                done["state"].alias("state"), F.array_append(acc["parts"], done["out"]).alias("parts")))
+        return F.aggregate(starts, F.struct(state.alias("state"), parts.alias("parts")), one, lambda acc: F.flatten(acc["parts"]))
+
+    made = bind(items, lambda whole: F.when(F.size(whole) <= PART, within(whole, state)["out"]).otherwise(across(whole)))
+    return F.filter(made, lambda x: x.isNotNull())
+
+
+def sliced(text: Column, bounds: Column) -> Column:
+    """``text[start:end]`` for every ``struct<start,end>`` of an array; empty where the end is not after the start.
+
+    A long text is first cut into blocks, so a slice touches only the blocks that it lies in.
+    """
+    def plain(b: Column) -> Column:
+        return F.substring(text, b["start"] + 1, F.greatest(b["end"] - b["start"], F.lit(0)))
+
+    def from_blocks(blocks: Column) -> Column:
+        def one(b: Column) -> Column:
+            first, last = F.floor(b["start"] / TEXT_BLOCK).cast("int"), F.floor((b["end"] - 1) / TEXT_BLOCK).cast("int")
+            into = b["start"] - first * TEXT_BLOCK
+            inside = F.substring(F.get(blocks, first), into + 1, b["end"] - b["start"])
+            ahead = F.substring(F.get(blocks, first), into + 1, F.lit(TEXT_BLOCK))
+            between = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            behind = F.coalesce(F.substring(F.get(blocks, last), F.lit(1), b["end"] - last * TEXT_BLOCK), F.lit(""))
+            piece = F.when(first == last, F.coalesce(inside, F.lit(""))).otherwise(F.concat(F.coalesce(ahead, F.lit("")), between, behind))
+            return F.when(b["end"] > b["start"], piece).otherwise("")
+        return F.transform(bounds, one)
+
+    starts = F.sequence(F.lit(0), F.length(text), F.lit(TEXT_BLOCK))
+    blocks = F.transform(starts, lambda at: F.substring(text, at + 1, F.lit(TEXT_BLOCK)))
+    many = (F.length(text) > 4 * TEXT_BLOCK) & (F.size(bounds) > 16)
+    return F.when(many, bind(blocks, from_blocks)).otherwise(F.transform(bounds, plain))
+
+
 def make_span(**values: Column) -> Column:
     """A span struct with every field of the span schema (missing ones null)."""
     return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in SPAN_FIELDS])

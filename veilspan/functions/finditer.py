@@ -1,8 +1,8 @@
 """Every match of a pattern with code-point offsets, as one native expression.
 
 ``regexp_replace`` fences each match with a private-use character in a single regex pass; a
-plain-character ``split`` then yields ``gap, match, gap, ..., gap`` and a fold over the pieces
-turns lengths into offsets.  Spark's ``length``/``substring`` count code points, so offsets do
+plain-character ``split`` then yields ``gap, match, gap, ..., gap`` and a scan of the pieces in
+parts turns lengths into offsets, in time linear in the matches.  Spark's ``length``/``substring`` count code points, so offsets do
 too.  The text is scanned by the regex once and by a byte search once.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bind, scan, sliced
+
 FENCE = "\ue000"
 STAND_IN = "\ue001"
 
@@ -74,23 +76,19 @@ def fenced(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.regexp_replace(fence_free(text), flags + unicode_regex(pattern), FENCE + "$0" + FENCE)
 
 
-def fenced_spans(marked: Column) -> Column:
-    """Offsets of the fenced parts of ``marked`` (null in, empty out)."""
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("hit"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("out"),
-    )
+def fenced_matches(marked: Column) -> Column:
+    """Offsets and texts of the fenced parts of ``marked`` (null in, empty out)."""
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"))
 
     def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"))
-        return F.struct(
-            end.alias("at"), (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
-        )
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), (~acc["hit"]).alias("hit"))
+
+    def emit(acc: Column, piece: Column) -> Column:
+        return F.when(acc["hit"], F.struct(
+            acc["at"].alias("start"), (acc["at"] + F.length(piece)).alias("end"), piece.alias("text")))
 
-    spans = F.aggregate(F.split(marked, FENCE, -1), start, step, lambda acc: acc["out"])
-    return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
+    found = scan(F.split(marked, FENCE, -1), state, step, emit, "struct<start:int,end:int,text:string>")
+    return F.coalesce(found, F.array().cast(MATCH))
 
 
 def find_all(text: Column, pattern: str, gate: Column | None = None, ignore_case: bool = False,
@@ -104,20 +102,22 @@ def find_all(text: Column, pattern: str, gate: Column | None = None, ignore_case
     marked = fenced(text, pattern if first is None else f"(?={first}){pattern}", ignore_case)
     if gate is not None:
         marked = F.when(gate, marked)
-    return with_text(text, fenced_spans(marked))
+    found = fenced_matches(marked)
+    # a fence character of the text itself was swapped before the scan: then the texts are taken from the text
+    return bind(found, lambda m: F.when(F.contains(text, F.lit(FENCE)), with_text(text, m)).otherwise(m))
 
 
 def with_text(text: Column, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+    """The spans with the text between their bounds."""
+    return F.zip_with(spans, sliced(text, spans), lambda s, t: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), t.alias("text")))
 
 
 def find_literal(text: Column, needle: Column) -> Column:
     """Like :func:`find_all` for a literal (possibly per-row) needle."""
     quoted = F.concat(F.lit("\\Q"), needle, F.lit("\\E"))
     marked = F.regexp_replace(fence_free(text), quoted, F.lit(FENCE + "$0" + FENCE))
-    return fenced_spans(marked)
+    return F.transform(fenced_matches(marked), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
 
 def char_slice(text: Column, start: Column, end: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions.arrays import bind, final_label, sort_stable
-from ..functions.finditer import char_slice
+from ..functions.arrays import bind, final_label, sliced, sort_stable
 from ..schemas import RECORD, RULES
 from . import overlap
 
@@ -47,10 +46,8 @@ def choose_mask(rules: Column, original: Column, label: Column) -> Column:
 
 def records(text: Column, spans: Column, rules: Column, session: Column) -> Column:
     """Replacement records in the order they are applied: by end, descending, stable."""
-    ordered = sort_stable(spans, lambda s: [-s["end"]])
-
-    def record(s: Column, i: Column) -> Column:
-        original = char_slice(text, s["start"], s["end"])
+    def record(item: Column, i: Column) -> Column:
+        s, original = item["s"], item["original"]
         label = span_label(s)
         return F.struct(
             F.concat(session, F.lit("_"), F.lpad(i.cast("string"), F.greatest(F.lit(4), F.length(i.cast("string"))), F.lit("0"))).alias("entity_id"),
@@ -59,16 +56,44 @@ def records(text: Column, spans: Column, rules: Column, session: Column) -> Colu
             F.struct(F.coalesce(s["source"], F.lit("unknown")).alias("source"),
                      F.coalesce(s["score"], F.lit(0.0)).alias("confidence")).alias("metadata"))
 
-    return F.transform(ordered, record).cast(f"array<{RECORD}>")
+    def numbered(ordered: Column) -> Column:
+        with_original = F.zip_with(ordered, sliced(text, ordered), lambda s, t: F.struct(s.alias("s"), t.alias("original")))
+        return F.transform(with_original, record)
 
+    return bind(sort_stable(spans, lambda s: [-s["end"]]), numbered).cast(f"array<{RECORD}>")
 
-def apply_records(text: Column, recs: Column) -> Column:
-    """Right-to-left replacement, so earlier offsets stay valid."""
+
+def _one_by_one(text: Column, recs: Column) -> Column:
+    """Right-to-left replacement, so earlier offsets stay valid; nested spans are replaced as given."""
     return F.aggregate(recs, text, lambda t, r: F.concat(
         F.substring(t, F.lit(1), r["start"]), r["masked_text"],
         F.substring(t, r["end"] + 1, F.length(t))))
 
 
+def apply_records(text: Column, recs: Column) -> Column:
+    """The text with every record's stretch replaced.
+
+    Records whose stretches do not overlap are gaps and masks in turn, cut out of the text once;
+    only nested or overlapping ones are replaced one after the other.
+    """
+    def pieces(ordered: Column) -> Column:
+        past = F.transform(ordered, lambda r, i: F.struct(
+            F.when(i == 0, 0).otherwise(F.get(ordered, i - 1)["end"]).alias("start"), r["start"].alias("end")))
+        gaps = F.concat(past, F.array(F.struct(F.element_at(ordered, -1)["end"].alias("start"), F.length(text).alias("end"))))
+        masks = F.concat(F.transform(ordered, lambda r: r["masked_text"]), F.array(F.lit("")))
+        return F.array_join(F.zip_with(sliced(text, gaps), masks, lambda g, m: F.concat(g, m)), "")
+
+    def apart(ordered: Column) -> Column:
+        # a mask that is null makes the whole text null, as replacing it does
+        return ~F.exists(F.transform(ordered, lambda r, i: r["masked_text"].isNull() | (r["start"] > r["end"]) | (
+            (i > 0) & (r["start"] < F.get(ordered, i - 1)["end"]))), lambda bad: bad)
+
+    def apply(given: Column) -> Column:
+        return bind(F.reverse(given), lambda ordered: F.when(apart(ordered), pieces(ordered)).otherwise(_one_by_one(text, given)))
+
+    return F.when(F.size(recs) == 0, text).when(recs.isNotNull(), bind(recs, apply))
+
+
 def label_counts(recs: Column) -> Column:
     return F.map_from_entries(bind(F.transform(recs, lambda r: r["label"]), lambda labels: F.transform(
         F.array_distinct(labels), lambda lab: F.struct(lab, F.size(F.filter(labels, lambda x: x == lab))))))
@@ -127,21 +152,26 @@ def highlight(text: Column, spans: Column, colours: dict[str, str] | None = None
     """
     palette = L.HIGHLIGHT_COLOURS if colours is None else colours
     colour_map = F.create_map(*[F.lit(x) for kv in palette.items() for x in kv])
-    ordered = sort_stable(spans, lambda s: [s["start"]])
-    begin = F.struct(F.lit(0).alias("last"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def opening(s: Column) -> Column:
         label = final_label(s)
         tip = F.concat(label, F.when(F.coalesce(s["subtype"], F.lit("")) != "", F.concat(F.lit(" / "), s["subtype"])).otherwise(""))
-        opened = F.concat(
+        return F.concat(
             F.lit('<span style="background:'), F.coalesce(F.element_at(colour_map, label), F.lit(L.HIGHLIGHT_OTHER)),
-            F.lit('33; padding:2px 2px; border-radius:3px;" title="'), tip, F.lit('">'),
-            char_slice(text, s["start"], s["end"]), F.lit("</span>"))
-        return F.struct(s["end"].alias("last"),
-                        F.concat(acc["out"], char_slice(text, acc["last"], s["start"]), opened).alias("out"))
+            F.lit('33; padding:2px 2px; border-radius:3px;" title="'), tip, F.lit('">'))
+
+    def pieces(ordered: Column) -> Column:
+        gaps = F.transform(ordered, lambda s, i: F.struct(
+            F.when(i == 0, 0).otherwise(F.get(ordered, i - 1)["end"]).alias("start"), s["start"].alias("end")))
+        inner = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        rest = F.substring(text, F.element_at(ordered, -1)["end"] + 1, F.length(text))
+        opened = F.zip_with(sliced(text, gaps), F.transform(ordered, opening), lambda g, o: F.concat(g, o))
+        wrapped = F.zip_with(opened, sliced(text, inner), lambda o, t: F.concat(o, t, F.lit("</span>")))
+        # a null part makes the whole null
+        return F.when(F.exists(wrapped, lambda w: w.isNull()), F.lit(None)).otherwise(F.concat(F.array_join(wrapped, ""), rest))
 
-    return F.aggregate(ordered, begin, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, acc["last"] + 1, F.length(text))))
+    ordered = sort_stable(spans, lambda s: [s["start"]])
+    return bind(ordered, lambda items: F.when(F.size(items) == 0, text).when(items.isNotNull(), pieces(items)))
 
 
 def rule_builder(spans: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:

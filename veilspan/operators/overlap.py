@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions.arrays import change, final_label, lookup, no_spans, overlaps, sort_stable
+from ..plans.ordered import running
 from ..schemas import SPAN
 
+#: Characters of a document whose spans one task sweeps together.
+POSITIONS_PER_BLOCK = 4096
 
 def _length(s: Column) -> Column:
     return s["end"] - s["start"]
@@ -176,8 +179,23 @@ def uncovered(spans: Column, cover: Column) -> Column:
 
 
 def uncovered_rows(spans: DataFrame, cover: DataFrame, *keys: str) -> DataFrame:
-    """Anti join on overlap over span tables: equality on the document first, range as residual."""
-    a, b = spans.alias("a"), cover.select(*keys, "start", "end").alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    on += [F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end")]
-    return a.join(b, on, "left_anti")
+    """Anti join on overlap over span tables, as a sweep over both sides together.
+
+    Bounds are integers.  A cover span overlaps a span exactly if, of the cover spans that start before the
+    span's end, one ends after its start.  So at the end of every span the furthest end of the
+    cover so far decides, which is one running maximum per document, in blocks of positions: no
+    pair is made, and no document is one task.  Spans without a length, on either side, overlap
+    what reaches over their place.  Rows with a null bound or key overlap nothing.
+    """
+    names = spans.columns
+    whole = F.lit(True)
+    for name in (*keys, "start", "end"):
+        whole = whole & F.col(name).isNotNull()
+    asked = spans.where(whole).withColumn("_span", F.struct(*names)).select(
+        *keys, F.col("end").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_far"), "_span")
+    given = cover.where(whole).select(*keys, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("end").cast("long").alias("_far"),
+                         F.lit(None).cast(asked.schema["_span"].dataType).alias("_span"))
+    # a cover span that starts at a span's end is not before it
+    swept = running(asked.unionByName(given), keys, ["_at", "_kind"], {"_reach": ("max", "_far")}, width=POSITIONS_PER_BLOCK)
+    free = swept.where((F.col("_kind") == 0) & F.coalesce(F.col("_reach") <= F.col("_span.start"), F.lit(True)))
+    return free.select("_span.*").unionByName(spans.where(~whole))

@@ -100,13 +100,34 @@ def repair_overlaps(rows: DataFrame, order: Sequence[str], seconds_per_block: fl
 
 
 def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_most: int) -> Column:
-    """``struct<k, at>``: the longest suffix of ``prev`` found in ``cur`` within the first positions."""
-    sizes = F.when(longest >= shortest, F.sequence(longest, F.lit(shortest), F.lit(-1)))
+    """``struct<k, at>``: the longest suffix of ``prev`` found in ``cur`` within the first positions.
+
+    The last ``shortest`` characters are looked for first; from every place where they stand the
+    match is extended to the left, by halving steps.  Of equally long ones the first place counts.
+    """
     head = F.substring(cur, F.lit(1), F.lit(at_most) + longest)
-    probe = F.right(prev, F.lit(shortest))
-    tried = F.transform(sizes, lambda k: F.struct(
-        k.alias("k"), F.position(F.right(prev, k), F.substring(cur, F.lit(1), k + at_most)).alias("at")))
-    return F.when(F.contains(head, probe), F.get(F.filter(tried, lambda t: t["at"] > 0), F.lit(0)))
+
+    def search(w: Column) -> Column:
+        tail, front, most = w["tail"], w["head"], w["most"]
+        probe = F.right(tail, F.lit(shortest))
+        spots = F.filter(F.sequence(F.lit(1), at_most + 1 + most - shortest), lambda p: F.substring(front, p, F.lit(shortest)) == probe)
+
+        def extended(p: Column) -> Column:
+            room = F.least(most - shortest, p - 1)
+
+            def step(done: Column, size: Column) -> Column:
+                more = done + size
+                same = F.substring(tail, most - shortest - more + 1, size) == F.substring(front, p - more, size)
+                return F.when((more <= room) & same, more).otherwise(done)
+
+            return F.aggregate(F.array(*[F.lit(1 << bit) for bit in range(6, -1, -1)]), F.lit(0), step)
+
+        found = F.transform(spots, lambda p: bind(extended(p), lambda e: F.struct(-(e + shortest), p - e)))
+        best = F.array_min(F.filter(found, lambda f: f["col2"] <= at_most + 1))
+        return bind(best, lambda f: F.when(f.isNotNull(), F.struct((-f["col1"]).alias("k"), f["col2"].alias("at"))))
+
+    asked = F.struct(F.right(prev, longest).alias("tail"), head.alias("head"), longest.alias("most"))
+    return F.when((longest >= shortest) & F.contains(head, F.right(prev, F.lit(shortest))), bind(asked, search))
 
 
 def cut_exact(prev: Column, cur: Column) -> Column:
@@ -169,36 +190,49 @@ def cut_prefix(prev: Column, cur: Column) -> Column:
     return bind(k, lambda n: F.when(n.isNotNull(), strip(F.substring(cur, n + 1, F.length(cur)))).otherwise(worded))
 
 
-def _run_ends(texts: DataFrame) -> DataFrame:
-    """``(rec_id, _at, _after)``: the position after the run of equal texts in which ``_at`` lies."""
+def _runs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of equal texts: ``(rec_id, pos, run)`` of every chunk and ``(rec_id, run, head, text)`` of every run."""
     before = neighbours(texts, KEY, "pos", ["text"], -1, "prev_")
-    marked = before.withColumn("_new", F.when(F.col("text") == F.col("prev_text"), 0).otherwise(1).cast("long"))
-    runs = running(marked.select(*KEY, "pos", "_new"), KEY, ["pos"], {"_run": ("sum", "_new")})
-    ends = runs.groupBy(*KEY, "_run").agg((F.max("pos") + 1).alias("_after"))
-    return cut_lineage(runs.join(ends, [*KEY, "_run"]).select(*KEY, F.col("pos").alias("_at"), "_after"))
+    marked = before.withColumn("_new", F.when((F.col("pos") > 0) & (F.col("text") != F.col("prev_text")), 1).otherwise(0).cast("long"))
+    runs = cut_lineage(running(marked.select(*KEY, "pos", "text", "_new"), KEY, ["pos"], {"run": ("sum", "_new")}))
+    heads = runs.groupBy(*KEY, "run").agg(F.min("pos").alias("head"), F.first("text").alias("text"))
+    return runs.select(*KEY, "pos", "run"), cut_lineage(heads)
+
+
+#: Followers that are tried at once after the next one was swallowed; twice as many in every further round.
+FOLLOWERS = 8
 
 
 def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column]) -> DataFrame:
     """``(rec_id, pos, added)`` for chunks that keep some text after their overlap with the last accepted one is cut.
 
     ``texts(rec_id, pos, text)`` with dense positions.  Each chunk's jump is its first follower
-    that is not swallowed whole; nearly always the next one, so later rounds see few rows.  A text
-    equal to a swallowed one before it is swallowed too, so a round passes a whole run of equal texts.
+    that is not swallowed whole; nearly always the next one.  The few chunks whose next one is
+    swallowed try the next 8, 16, 32, ... followers at once, so the rounds grow with the logarithm
+    of a run of swallowed chunks.  A text equal to a swallowed one before it is swallowed too, so
+    a run of equal texts counts as one follower.
     """
-    nxt = texts.select(*KEY, F.col("pos").alias("_at"), F.col("text").alias("_cur"))
-    still_open = texts.select(*KEY, "pos", "text", (F.col("pos") + 1).alias("_at"))
-    jumps = ends = None
-    while True:
-        tried = still_open.join(nxt, [*KEY, "_at"], "left")
-        state = cut_lineage(tried.withColumn("_cut", cut(F.col("text"), F.col("_cur"))).withColumn(
-            "_ok", F.col("_cur").isNull() | (F.col("_cut") != "")).drop("_cur"))
-        found = state.where("_ok").select(*KEY, "pos", F.col("_at").alias("nxt"), "_cut")
-        jumps = found if jumps is None else jumps.unionByName(found)
-        rest = state.where("NOT _ok")
-        if rest.isEmpty():
-            break
-        ends = _run_ends(texts) if ends is None else ends
-        still_open = rest.join(ends, [*KEY, "_at"]).select(*KEY, "pos", "text", F.col("_after").alias("_at"))
+    last = texts.groupBy(*KEY).agg(F.max("pos").alias("_last"))
+    nxt = texts.select(*KEY, (F.col("pos") - 1).alias("pos"), F.col("text").alias("_cur"))
+    tried = texts.join(nxt, [*KEY, "pos"], "left").withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
+    first = cut_lineage(tried.withColumn("_ok", F.col("_cur").isNull() | (F.col("_cut") != "")).drop("_cur"))
+    jumps = first.where("_ok").select(*KEY, "pos", (F.col("pos") + 1).alias("nxt"), "_cut")
+    still_open, width = first.where("NOT _ok").select(*KEY, "pos", "text"), FOLLOWERS
+    if not still_open.isEmpty():
+        runs, heads = _runs(texts)
+        followers = heads.select(*KEY, "run", F.col("head").alias("_at"), F.col("text").alias("_cur"))
+        # the run of the next chunk is swallowed; the search goes on after it
+        at_next = runs.select(*KEY, (F.col("pos") - 1).alias("pos"), (F.col("run") + 1).alias("run"))
+        still_open = still_open.join(at_next, [*KEY, "pos"]).join(last, KEY)
+    while not still_open.isEmpty():
+        asked = still_open.select(*KEY, "pos", "text", "_last", F.explode(F.sequence("run", F.col("run") + (width - 1))).alias("run"))
+        judged = asked.join(followers, [*KEY, "run"], "left").withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
+        # beyond the last run the chain ends
+        hit = F.when(F.col("_at").isNull() | (F.col("_cut") != ""), F.struct("run", F.coalesce("_at", F.col("_last") + 1).alias("nxt"), "_cut"))
+        state = cut_lineage(judged.groupBy(*KEY, "pos").agg(F.min(hit).alias("hit"), (F.max("run") + 1).alias("run"), F.max("_last").alias("_last")))
+        jumps = jumps.unionByName(state.where("hit IS NOT NULL").select(*KEY, "pos", "hit.nxt", "hit._cut"))
+        still_open = state.where("hit IS NULL").drop("hit").join(texts, [*KEY, "pos"])
+        width *= 2
     visited = landed(jumps.drop("_cut"), KEY)
     later = jumps.where("_cut IS NOT NULL").join(visited, [*KEY, "pos"]).select(*KEY, F.col("nxt").alias("pos"), F.col("_cut").alias("added"))
     return later.unionByName(texts.where("pos = 0").select(*KEY, "pos", F.col("text").alias("added")))
