@@ -42,22 +42,19 @@ def scan(items: Column, state: Column, step: Callable[[Column, Column], Column],
     """
     empty, parts = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
-    def within(part: Column, begin: Column) -> Column:
-        def one(acc: Column, x: Column) -> Column:
-            made = emit(acc["state"], x)
-            return F.struct(step(acc["state"], x).alias("state"), F.array_append(acc["out"], made).alias("out"))
-        return F.aggregate(part, F.struct(begin.alias("state"), empty.alias("out")), one)
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.array_append(acc["out"], emit(acc["state"], x)).alias("out"))
 
     def across(whole: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(whole), F.lit(PART))
-
-        def one(acc: Column, at: Column) -> Column:
-            return bind(within(F.slice(whole, at, F.lit(PART)), acc["state"]), lambda done: F.struct(
+        def part(acc: Column, at: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), empty.alias("out"))
+            return bind(F.aggregate(F.slice(whole, at, F.lit(PART)), begin, one), lambda done: F.struct(
                 done["state"].alias("state"), F.array_append(acc["parts"], done["out"]).alias("parts")))
-        return F.aggregate(starts, F.struct(state.alias("state"), parts.alias("parts")), one, lambda acc: F.flatten(acc["parts"]))
 
-    made = bind(items, lambda whole: F.when(F.size(whole) <= PART, within(whole, state)["out"]).otherwise(across(whole)))
-    return F.filter(made, lambda x: x.isNotNull())
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(PART))
+        return F.aggregate(starts, F.struct(state.alias("state"), parts.alias("parts")), part, lambda acc: F.flatten(acc["parts"]))
+
+    return F.filter(bind(items, lambda whole: F.when(F.size(whole) > 0, across(whole)).when(whole.isNotNull(), empty)), lambda x: x.isNotNull())
 
 
 def sliced(text: Column, bounds: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import bind, scan, sliced
+from .arrays import bind, scan
 
 FENCE = "\ue000"
 STAND_IN = "\ue001"
@@ -87,30 +87,43 @@ def fenced_matches(marked: Column) -> Column:
         return F.when(acc["hit"], F.struct(
             acc["at"].alias("start"), (acc["at"] + F.length(piece)).alias("end"), piece.alias("text")))
 
-    found = scan(F.split(marked, FENCE, -1), state, step, emit, "struct<start:int,end:int,text:string>")
-    return F.coalesce(found, F.array().cast(MATCH))
+    def found(m: Column) -> Column:
+        # most texts have no match: they are done with a byte search
+        return F.when(F.contains(m, F.lit(FENCE)), scan(F.split(m, FENCE, -1), state, step, emit, "struct<start:int,end:int,text:string>"))
 
+    return F.coalesce(bind(marked, found), F.array().cast(MATCH))
 
-def find_all(text: Column, pattern: str, gate: Column | None = None, ignore_case: bool = False,
-             first: str | None = None) -> Column:
-    """``array<struct<start,end,text>>`` of all leftmost non-overlapping matches.
+
+def marked_text(text: Column, pattern: str, gate: Column | None = None, ignore_case: bool = False,
+                first: str | None = None) -> Column:
+    """``text`` with its matches fenced.
 
     ``gate`` is a cheap necessary condition: rows where it is false skip the regex.  ``first`` is
     a class that every match starts with; testing it ahead of look-arounds makes the scan over
     ordinary prose several times faster.
     """
     marked = fenced(text, pattern if first is None else f"(?={first}){pattern}", ignore_case)
-    if gate is not None:
-        marked = F.when(gate, marked)
-    found = fenced_matches(marked)
+    return marked if gate is None else F.when(gate, marked)
+
+
+def matches_of(text: Column, marked: Column) -> Column:
+    """``array<struct<start,end,text>>`` of the matches fenced in ``marked``."""
     # a fence character of the text itself was swapped before the scan: then the texts are taken from the text
-    return bind(found, lambda m: F.when(F.contains(text, F.lit(FENCE)), with_text(text, m)).otherwise(m))
+    return bind(fenced_matches(marked), lambda m: F.when(
+        (F.size(m) > 0) & F.contains(text, F.lit(FENCE)), with_text(text, m)).otherwise(m))
+
+
+def find_all(text: Column, pattern: str, gate: Column | None = None, ignore_case: bool = False,
+             first: str | None = None) -> Column:
+    """``array<struct<start,end,text>>`` of all leftmost non-overlapping matches (see ``marked_text``)."""
+    return matches_of(text, marked_text(text, pattern, gate, ignore_case, first))
 
 
 def with_text(text: Column, spans: Column) -> Column:
     """The spans with the text between their bounds."""
-    return F.zip_with(spans, sliced(text, spans), lambda s, t: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), t.alias("text")))
+    return F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"),
+        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
 
 
 def find_literal(text: Column, needle: Column) -> Column:

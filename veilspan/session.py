@@ -28,6 +28,8 @@ def local_session(cores: int = 8, name: str = "veilspan", memory: str = "12g") -
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # call sites are captured for every column expression otherwise, which takes longer than short jobs
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
