@@ -30,7 +30,7 @@ def each(df: DataFrame, items: str | Column, *keep: str, name: str = "s", positi
 
 
 #: Elements that a scan handles before it starts a new part, and characters of a block of a cut text.
-PART, TEXT_BLOCK = 128, 1024
+PART, TEXT_BLOCK = 512, 1024
 
 
 def scan(items: Column, state: Column, step: Callable[[Column, Column], Column],

@@ -16,6 +16,7 @@ from ..functions import checks
 from ..functions.arrays import bind, change, each, lookup, make_span, no_spans
 from ..functions.finditer import (char_slice, contains_match, find_all, find_literal, full_match, marked_text, matches_of, unicode_regex)
 from ..functions.text import normalize_text
+from ..session import written
 from . import overlap
 
 # Cheap necessary conditions, one scan each, shared by several patterns.
@@ -104,6 +105,30 @@ def bank_spans(df: DataFrame, text: str = "text", out: str = "spans", *,
     return staged.withColumn(out, overlap.prune_contained(hits)).drop(*gates.values())
 
 
+def email_allowed_rows(spans: DataFrame, allow: DataFrame, deny: DataFrame, text: str = "text", out: str = "allowed") -> DataFrame:
+    """``checks.email_allowed`` with lists of any size as tables ``(suffix)``; adds ``out`` to every row.
+
+    A domain is looked up by its suffixes of the lengths that occur in the lists, by equality; deny
+    wins over allow, an empty table is no restriction, an address without a domain is not allowed.
+    Verdicts are found once per distinct domain.
+    """
+    domain = F.lower(F.regexp_extract(F.col(text), r"@([A-Za-z0-9.-]+)\z", 1))
+    lists = deny.select("suffix", F.lit(True).alias("bad")).unionByName(allow.select("suffix", F.lit(False).alias("bad"))).where(
+        "suffix IS NOT NULL").distinct()
+    # one row: the lengths of domain names, which the name system bounds, and whether there is a list of allowed ones
+    facts = lists.agg(F.collect_set(F.length("suffix")).alias("sizes"), F.coalesce(F.bool_or(~F.col("bad")), F.lit(False)).alias("strict")).first()
+    sizes = F.array(*[F.lit(n) for n in sorted(facts["sizes"])]).cast("array<int>")
+    marked = spans.withColumn("_domain", domain)
+    names = written(marked.where("_domain <> ''").select("_domain").distinct())
+    suffixes = F.transform(F.filter(sizes, lambda n: n <= F.length("_domain")), lambda n: F.when(n == 0, "").otherwise(F.right("_domain", n)))
+    hits = names.select("_domain", F.explode(suffixes).alias("suffix")).join(lists, "suffix").groupBy("_domain").agg(
+        F.bool_or("bad").alias("_bad"), F.bool_or(~F.col("bad")).alias("_good"))
+    verdict = (F.col("_domain") != "") & ~F.coalesce("_bad", F.lit(False))
+    if facts["strict"]:
+        verdict = verdict & F.coalesce("_good", F.lit(False))
+    return marked.join(written(hits), "_domain", "left").withColumn(out, verdict).drop("_domain", "_bad", "_good")
+
+
 # --- keyword context -------------------------------------------------------------------
 
 

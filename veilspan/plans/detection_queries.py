@@ -457,3 +457,16 @@ def lab6_model(spark, folder):
         "model": F.array(guess("소속", org, 5, 0.8), guess("LABEL_3", org, 2, 0.99), guess("이름", mail, 6, 0.99)),
         "review": F.array(make_span(start=word, end=word + 4, text=F.lit("비밀일기"), label=F.lit("상담이력"), label_adjusted=F.lit("상담이력"), score=F.lit(0.7), source=F.lit("regex+gpt")))})
     return flat(D.detect_all(rows, predictions="model", verdicts="review"), "spans", "doc_id")
+
+
+@query("val4_src15_domain_tables", """WITH mail AS (SELECT c_custkey, 'mail' || (c_custkey % 97) || '.example' || c_nationkey || '.org' AS d FROM customer),
+    allow AS (SELECT 'example' || n_nationkey || '.org' AS suffix FROM nation WHERE n_nationkey % 2 = 0),
+    deny AS (SELECT 'mail' || (s_suppkey % 97) || '.example' || s_nationkey || '.org' AS suffix FROM supplier)
+    SELECT c_custkey, EXISTS (SELECT 1 FROM allow WHERE ends_with(d, suffix)) AND NOT EXISTS (SELECT 1 FROM deny WHERE ends_with(d, suffix)) AS allowed FROM mail""")
+def val4_tables(spark, folder):
+    t = Tables(spark, folder)
+    host = lambda key, nation: F.concat(F.lit("mail"), (F.col(key) % 97).cast("string"), F.lit(".example"), F.col(nation).cast("string"), F.lit(".org"))
+    mails = t.customer.select("c_custkey", F.concat(F.lit("someone@"), F.upper(host("c_custkey", "c_nationkey"))).alias("text"))
+    allow = t.nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("example"), F.col("n_nationkey").cast("string"), F.lit(".org")).alias("suffix"))
+    deny = t.supplier.select(host("s_suppkey", "s_nationkey").alias("suffix"))
+    return D.email_allowed_rows(mails, allow, deny).select("c_custkey", "allowed")

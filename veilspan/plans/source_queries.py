@@ -127,3 +127,18 @@ def src15(spark, folder):
     k = F.col("k")
     mail = F.concat(F.lit("a@"), F.when(k % 3 == 0, "mail.BAD.kr").when(k % 3 == 1, "x.good.kr").otherwise("good.kr"))
     return Tables(spark, folder).orders.select(F.col("o_orderkey").alias("k")).select("k", email_allowed(mail, allow=["good.kr", "bad.kr"], deny=["bad.kr"]).alias("allowed"))
+
+
+# every seventh answer is cut off, every eleventh is blank, every thirteenth has a list where a number belongs
+_ANSWER = """CASE WHEN k % 7 = 0 THEN '{"result":0,"return_object":{"text":"가' WHEN k % 11 = 0 THEN ' ' WHEN k % 13 = 0 THEN '{"result":[1],"k":' || CAST(k AS STRING) || '}'
+    ELSE '{"result":0,"return_object":{"text":"t' || CAST(k AS STRING) || '"}}' END"""
+
+
+@query("src14_quarantine", f"""SELECT k, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 THEN 't' || CAST(k AS STRING) END AS text,
+    CASE WHEN k % 7 = 0 OR k % 13 = 0 AND k % 11 <> 0 THEN 'broken' WHEN k % 11 = 0 THEN 'missing' END AS problem,
+    CASE WHEN k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 THEN {_ANSWER} END AS corrupt FROM (SELECT o_orderkey AS k FROM orders)""")
+def src14_quarantine(spark, folder):
+    rows = Tables(spark, folder).orders.select(F.col("o_orderkey").alias("k")).select("k", F.expr(_ANSWER).alias("raw"))
+    good, bad = responses.quarantined(responses.parsed_or_raw(rows, "raw", responses.ASR_RESPONSE))
+    kept = good.select("k", F.col("parsed.return_object.text").alias("text"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("corrupt"))
+    return kept.unionByName(bad.select("k", F.lit(None).cast("string").alias("text"), "problem", "corrupt"))

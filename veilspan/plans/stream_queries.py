@@ -44,6 +44,14 @@ def stm1_masked(spark, folder):
     return run_to_end(St.masked_stream(docs).select("doc_id", "masked_text"))
 
 
+@query("stm1_vault_stream", "SELECT doc_id, text FROM documents")
+def stm1_vault(spark, folder):
+    docs = _stream(spark, folder, "documents").select("doc_id", "text")
+    base = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    St.write_with_vault(St.masked_stream(docs), f"{base}/out", f"{base}/state", "doc_id").trigger(availableNow=True).start().awaitTermination()
+    return St.restored(spark, f"{base}/out", "doc_id").select("doc_id", "text")
+
+
 def _timed(spark, folder):
     return _stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 

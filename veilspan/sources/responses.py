@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -15,6 +15,29 @@ def unfenced(raw: Column) -> Column:
     return strip(F.regexp_replace(opened, r"```\z", ""))
 
 
+def parsed_or_raw(answers: DataFrame, raw: str, schema: str, out: str = "parsed", fences: bool = False) -> DataFrame:
+    """``answers`` with the parsed answer, and what cannot be parsed kept as it is.
+
+    Adds ``out`` (null for a bad answer), ``corrupt`` (the raw text of a bad answer, else null) and
+    ``problem``: ``missing`` for null and blank answers, ``broken`` for text that is no JSON or does
+    not fit ``schema``, else null.  The raw column is replaced by these.
+    """
+    body = unfenced(F.col(raw)) if fences else strip(F.col(raw))
+    wide = f"struct<{schema.strip()[len('struct<'):-1]},_corrupt:string>"
+    read = answers.withColumn("_read", F.from_json(body, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    problem = F.when(F.coalesce(body, F.lit("")) == "", "missing").when(F.col("_read").isNull() | F.col("_read._corrupt").isNotNull(), "broken")
+    marked = read.withColumn("problem", problem)
+    return marked.withColumns({
+        out: F.when(F.col("problem").isNull(), F.col("_read").dropFields("_corrupt")),
+        "corrupt": F.when(F.col("problem").isNotNull(), F.col(raw))}).drop("_read", *([raw] if raw != out else []))
+
+
+def quarantined(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows and quarantined rows of ``parsed_or_raw``; together they are all rows."""
+    good = answers.where("problem IS NULL").drop("corrupt", "problem")
+    return good, answers.where("problem IS NOT NULL")
+
+
 def parse_ner(raw: Column) -> Column:
     return F.from_json(raw, NER_RESPONSE)
 
