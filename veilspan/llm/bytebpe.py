@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from .common import by_bytes, shared, text_bytes, unpacked
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of distinct words and pre-tokens beyond which a task forgets them and begins anew.
 REMEMBERED = 4_000_000
+TWO_BLANKS = re.compile(r"\s\s")
 #: Numbers of units that the memory does not hold.
 UNSEEN, IRREGULAR = -2, -1
 #: Piece of the unknown token that a model must have; no byte is written with this character.
@@ -130,7 +132,8 @@ class Codec:
             self.pieces = sentencepiece.SentencePieceProcessor(model_proto=self.model)
             letters, numbers = self.newer
             self.plain = regex.compile(self.pattern)
-            self.odd = regex.compile(f"[{letters}{numbers}]") if letters or numbers else None
+            places = [int(x, 16) for x in regex.findall(r"U([0-9a-f]{8})", letters + numbers)]
+            self.odd = {chr(c) for first, last in zip(places[::2], places[1::2], strict=True) for c in range(first, last + 1)}
             careful = self.pattern
             for kind, ranges in ((r"\p{L}", letters), (r"\p{N}", numbers)):
                 careful = careful.replace(kind, f"[{kind}--[{ranges}]]") if ranges else careful
@@ -139,7 +142,7 @@ class Codec:
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text; together they are the text."""
-        if text.isascii() or self.odd is None or not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(set(text)):
             return self.plain.findall(text)
         return self.careful.findall(text)
 
@@ -173,8 +176,8 @@ class Codec:
         alone = [u for u in fresh if isinstance(u, bytes)]
         words = [u for u in fresh if isinstance(u, str)]
         # the blank before or after such a word stands next to other white space: its text is cut as a whole
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        if odd:
+        if TWO_BLANKS.search(f" {' '.join(words)} "):
+            odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
             self.known.update(dict.fromkeys(odd, IRREGULAR))
             words = [w for w in words if w not in self.known]
         cuts = self.cut(" " + " ".join(words)) if words else []
