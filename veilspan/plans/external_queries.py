@@ -276,13 +276,15 @@ def lab14(spark, folder):
     return rows.select("k", K.fix_sound_alikes(F.col("text")).alias("out_text"))
 
 
-_SUSPECT = """'{"corrected_text":"x","suspicious_parts":[{"text":"a' || CAST(k AS STRING) || '","start_char":' || CAST(k AS STRING) || ',"linguistic_type":"phonetic","suggestions":["b","c"],"confidence":0.6},{"text":"z"}]}'"""
+_SUSPECT = """'{"corrected_text":"x","suspicious_parts":[{"text":"a' || CAST(k AS STRING) || '","start_char":' || CAST(k AS STRING) || ',"linguistic_type":"phonetic","suggestions":["b","c"],"confidence":0.6},{"text":"z","end_char":' || CAST(k + 1 AS STRING) || ',"reason":"r' || CAST(k AS STRING) || '"}]}'"""
 
 
-@query("lab15_review_rows", f"SELECT k, CAST(k AS BIGINT) AS start, 'a' || CAST(k AS STRING) AS text, '#FF6B6B' AS colour, 0.6::DOUBLE AS confidence, CAST(2 AS BIGINT) AS suggestions FROM {_K} UNION ALL SELECT k, 0, 'z', '#FFA07A', 0.5, 0 FROM {_K}")
+@query("lab15_review_rows", f"SELECT k, CAST(k AS BIGINT) AS start, CAST(0 AS BIGINT) AS end_char, 'a' || CAST(k AS STRING) AS text, '' AS reason, 'phonetic' AS linguistic_type, '#FF6B6B' AS colour, 0.6::DOUBLE AS confidence, 'b|c' AS suggestions FROM {_K} "
+       f"UNION ALL SELECT k, 0, k + 1, 'z', 'r' || CAST(k AS STRING), '', '#FFA07A', 0.5, '' FROM {_K}")
 def lab15(spark, folder):
     rows = _keys(spark, folder).select("k", R.parse_correction(F.expr(_SUSPECT)).alias("response"))
-    return K.review_rows(rows, "k").select("k", F.col("start").cast("long").alias("start"), "text", "colour", "confidence", F.size("suggestions").cast("long").alias("suggestions"))
+    return K.review_rows(rows, "k").select("k", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_char"), "text", "reason", "linguistic_type", "colour",
+                                           "confidence", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 @query("join13_user_choices", f"SELECT k, '나나 ' || CAST(k AS STRING) || ' 가 다라라 가' AS out_text FROM {_K}")

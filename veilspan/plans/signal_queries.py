@@ -36,10 +36,10 @@ def sig1_recordings(spark, folder):
 _N0 = "sqrt(sum(ss) FILTER (frame_idx < 50) / sum(n) FILTER (frame_idx < 50))"
 
 
-@query("sig2_signal_to_noise", f"WITH {_EN} SELECT rec_id, round({_DB.format(_N0)}, 6) AS noise_level, round({_DB.format('sqrt(sum(ss) / sum(n))')}, 6) AS signal_level FROM en GROUP BY rec_id")
+@query("sig2_signal_to_noise", f"WITH {_EN} SELECT rec_id, round({_DB.format(_N0)}, 6) AS noise_level, round({_DB.format('sqrt(sum(ss) / sum(n))')}, 6) AS signal_level, round({_DB.format('sqrt(sum(ss) / sum(n))')} - {_DB.format(_N0)}, 6) AS snr FROM en GROUP BY rec_id")
 def sig2(spark, folder):
     r = G.signal_to_noise(frames(spark, folder), 50)
-    return r.select("rec_id", F.round("noise_level", 6).alias("noise_level"), F.round("signal_level", 6).alias("signal_level"))
+    return r.select("rec_id", *[F.round(c, 6).alias(c) for c in ("noise_level", "signal_level", "snr")])
 
 
 @query("sig3_quiet_noise", f"""WITH {_EN}, lv AS (SELECT *, sqrt(ss / n) AS lev FROM en), lim AS (SELECT rec_id, quantile_cont(lev, 0.2) AS q FROM lv GROUP BY rec_id),
@@ -110,25 +110,29 @@ def sig8(spark, folder):
 
 
 _PEAK = f"list_max({_ABS})"
+#: Samples in millionths, in their order and with their signs.
+_MILLIONTHS = "array_to_string(list_transform({}, lambda w: CAST(round(w * 1000000) AS BIGINT)), ',') AS samples"
 
 
-@query("sig9_compressed", f"""SELECT vec_id, round(list_sum(list_transform(y, lambda x: abs(CASE WHEN abs(x) > 0.5 THEN sign(x) * (0.5 + (abs(x) - 0.5) / 4) ELSE x END))), 6) AS total FROM (
+def _millionths(samples):
+    return F.array_join(F.transform(samples, lambda w: F.round(w * 1000000).cast("long").cast("string")), ",").alias("samples")
+
+
+@query("sig9_compressed", f"""SELECT vec_id, {_MILLIONTHS.format('list_transform(y, lambda x: CASE WHEN abs(x) > 0.5 THEN sign(x) * (0.5 + (abs(x) - 0.5) / 4) ELSE x END)')} FROM (
     SELECT vec_id, list_transform(v, lambda x: x * g * (CASE WHEN p * g > 0.95 THEN 0.95 / (p * g) ELSE 1 END)) AS y FROM (
       SELECT vec_id, v, {_PEAK} AS p, CASE WHEN label % 2 = 0 THEN 1 ELSE 4 END * 0.1 / {_RMS} AS g FROM ({_S})))""")
 def sig9(spark, folder):
     s = F.col("s")
     rows = _rows(spark, folder).select("vec_id", s.alias("s"), (G.rms(s) / F.when(F.col("label") % 2 == 0, 1).otherwise(4)).alias("lv"), F.array_max(F.transform(G.doubles(s), F.abs)).alias("p"))
-    out = rows.select("vec_id", G.compressed(F.col("s"), F.col("lv"), F.col("p")).alias("y"))
-    return out.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
+    return rows.select("vec_id", _millionths(G.compressed(F.col("s"), F.col("lv"), F.col("p"))))
 
 
-@query("sig10_limited", f"""SELECT vec_id, round(list_sum(list_transform(y, lambda x: abs(CASE WHEN abs(x) > 0.9 THEN sign(x) * (0.9 + tanh((abs(x) - 0.9) * 3) * 0.1) ELSE x END))), 6) AS total FROM (
+@query("sig10_limited", f"""SELECT vec_id, {_MILLIONTHS.format('list_transform(y, lambda x: CASE WHEN abs(x) > 0.9 THEN sign(x) * (0.9 + tanh((abs(x) - 0.9) * 3) * 0.1) ELSE x END)')} FROM (
     SELECT vec_id, list_transform(v, lambda x: x * least(pow(10, (-6 - {_DB.format(_RMS)}) / 20), 0.95 / {_PEAK})) AS y FROM ({_S}))""".replace("lambda x: x * least", "lambda z: z * least"))
 def sig10(spark, folder):
     s = F.col("s")
     rows = _rows(spark, folder).select("vec_id", s.alias("s"), G.decibels(G.rms(s)).alias("lv"), F.array_max(F.transform(G.doubles(s), F.abs)).alias("p"))
-    out = rows.select("vec_id", G.limited(F.col("s"), F.col("lv"), F.col("p"), target=-6.0).alias("y"))
-    return out.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
+    return rows.select("vec_id", _millionths(G.limited(F.col("s"), F.col("lv"), F.col("p"), target=-6.0)))
 
 
 @query("sig11_gate_threshold", "SELECT event_id, round(CASE WHEN -value < -40 THEN 0.15 WHEN -value < -30 THEN 0.20 ELSE 0.25 END * CASE WHEN event_id % 2 = 0 THEN 1.3 ELSE 1 END::DOUBLE, 6) AS threshold FROM events")
