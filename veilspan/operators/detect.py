@@ -34,7 +34,7 @@ _GATE_OF = {
 # The class a match starts with, where that is rarer than the pattern's look-arounds are cheap.
 _FIRST = {
     **dict.fromkeys(["resident", "business", "card", "phone", "ipv4", "date", "time", "ip", "licence"], r"\d"),
-    "passport": "[MSmsſ]", "account": r"[가-힣S\d]", "postcode": r"[\(\[\d]",
+    "url": r"[A-Za-z0-9\-]", "passport": "[MSmsſ]", "account": r"[가-힣S\d]", "postcode": r"[\(\[\d]",
 }
 
 

@@ -112,9 +112,15 @@ def text_sql(pieces: list[Piece]) -> str:
     return " || ".join(p.sql for p in pieces)
 
 
+def dealt(keys: DataFrame) -> DataFrame:
+    """Keys dealt over all cores before they become texts: a small file of keys is a single split, and so a single task."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(max(4 * cores, keys.rdd.getNumPartitions()))
+
+
 def sentences(orders: DataFrame, pieces: list[Piece]) -> DataFrame:
     """``(doc_id, text)``, one sentence per order."""
-    keyed = orders.select(F.col("o_orderkey").alias("k"))
+    keyed = dealt(orders.select(F.col("o_orderkey").alias("k")))
     return keyed.select(F.col("k").alias("doc_id"), F.expr(text_sql(pieces)).alias("text"))
 
 
