@@ -19,7 +19,8 @@ from .registry import query
 
 def _stream(spark, folder: str, name: str) -> DataFrame:
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # one file, or a folder of files of any name; a pattern, since a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
