@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..plans.ordered import running
+from ..session import written
 
 
 def read_bio(spark: SparkSession, path: str) -> DataFrame:
@@ -21,16 +22,34 @@ def read_bio(spark: SparkSession, path: str) -> DataFrame:
     return sentences_from_lines(lines)
 
 
+#: Lines of a split that one window holds.
+LINES_PER_BLOCK = 16384
+
+
 def sentences_from_lines(lines: DataFrame) -> DataFrame:
-    """``lines(path, at, nth, line)``, ordered by (at, nth) within a path."""
+    """``lines(path, at, nth, line)``, ordered by (at, nth) within a path.
+
+    Splits and files get short numbers, so that line rows carry no path through the shuffles, and a split is
+    counted in blocks of lines: a task sorts and holds a block, not a split.
+    """
     blank = lines.withColumn("_blank", (F.col("line") == "").cast("long"))
-    counted = running(blank, ["path"], ["at", "nth"], {"_gap": ("sum", "_blank")}, width=1)
+    # one row per split; written, so that its numbers stay
+    splits = written(blank.groupBy("path", "at").agg(F.min("nth").alias("_first"), F.sum("_blank").alias("_gaps"))
+                     .withColumn("_split", F.monotonically_increasing_id()))
+    earlier = running(splits, ["path"], ["at"], {"_before": ("sum", "_gaps")}, inclusive=False, width=1 << 32)
+    places = written(earlier.select("path", "at", "_split", F.min("_split").over(Window.partitionBy("path")).alias("_file"),
+                                    F.coalesce("_before", F.lit(0)).alias("_before")))
+    rows = blank.join(splits.select("path", "at", "_split", "_first"), ["path", "at"]).select(
+        "_split", (F.col("nth") - F.col("_first")).alias("_row"), "line", "_blank")
+    counted = running(rows, ["_split"], ["_row"], {"_inside": ("sum", "_blank")}, width=LINES_PER_BLOCK)
     parts = F.split("line", "\t", -1)
-    tokens = counted.where("line != ''").select(
-        "path", "_gap", "at", "nth", F.get(parts, F.lit(0)).alias("token"), F.coalesce(F.get(parts, F.lit(1)), F.lit("O")).alias("tag"))
-    rows = tokens.groupBy("path", "_gap").agg(F.sort_array(F.collect_list(F.struct("at", "nth", "token", "tag"))).alias("t"))
-    return rows.select("path", F.col("_gap").alias("sent"), F.transform("t", lambda x: x["token"]).alias("tokens"),
-                       F.transform("t", lambda x: x["tag"]).alias("tags"))
+    tokens = counted.where("line != ''").join(places.select("_split", "_file", "at", "_before"), "_split").select(
+        "_file", (F.col("_before") + F.coalesce("_inside", F.lit(0))).alias("_gap"), "at", "_row",
+        F.get(parts, F.lit(0)).alias("token"), F.coalesce(F.get(parts, F.lit(1)), F.lit("O")).alias("tag"))
+    rows = tokens.groupBy("_file", "_gap").agg(F.sort_array(F.collect_list(F.struct("at", "_row", "token", "tag"))).alias("t"))
+    return rows.join(places.select("_file", "path").distinct(), "_file").select(
+        "path", F.col("_gap").alias("sent"), F.transform("t", lambda x: x["token"]).alias("tokens"),
+        F.transform("t", lambda x: x["tag"]).alias("tags"))
 
 
 def bio_lines(sentences: DataFrame, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
