@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspan import lexicon as L
+from veilspan.functions import text as text_functions
 from veilspan.functions.finditer import marked_text
 from veilspan.operators import detect
 from veilspan.plans import corpus as C, stream_queries
 from veilspan.plans.corpus import Piece
+from veilspan.plans.masking_queries import docs_with_spans
 from veilspan.sources import tokens
 
 
@@ -80,3 +82,26 @@ def test_lines_of_a_split_are_counted_in_blocks(spark, monkeypatch):
     assert {(r["path"], r["sent"]): list(zip(r["tokens"], r["tags"])) for r in got} == want
     # the path is no key of what counts the lines
     assert (["_split"], 4) in widths
+
+
+def test_redaction_looks_for_what_a_text_can_hold(spark):
+    rng = random.Random(9)
+    parts = ["김민수", "010-1234-5678", "이", "a@b.co", "http://x", "www.q.kr", "801010-1234567", "1234 5678 9012 3456", " ", "word", "가", "X", "12", "३४५६", "@"]
+    rows = [(None,), ("",)] + [("".join(rng.choice(parts) for _ in range(rng.randint(1, 7))),) for _ in range(400)]
+    df = spark.createDataFrame(rows, "text string")
+
+    def in_turn(t):
+        for _, pattern in L.REDACTION_BANK:
+            t = text_functions.bind(t, lambda u, p=None: text_functions._redact_one(u, pattern, F.lit(""))) if False else text_functions._redact_one(t, pattern, F.lit(""))
+        return t
+
+    assert df.where(~in_turn(F.col("text")).eqNullSafe(text_functions.redact(F.col("text")))).isEmpty()
+    # a plain text is passed on after the looks alone
+    plain = spark.createDataFrame([("plain words without anything to hide, " * 20_000,)], "text string").select(F.explode(F.array_repeat("text", 8)).alias("text"))
+    spent = lambda done: plain.select(F.md5(done(F.col("text")))).collect()
+    spent(text_functions.redact), spent(in_turn)
+    assert timed(lambda: spent(text_functions.redact))[1] < 0.6 * timed(lambda: spent(in_turn))[1]
+
+
+def test_keys_of_masked_sentences_are_dealt(spark, folder):
+    assert docs_with_spans(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -85,14 +85,31 @@ def _redact_one(text: Column, pattern: str, fence: Column) -> Column:
     return F.array_join(blanked, "")
 
 
+# What a text must hold for a pattern to match, in one cheap look.  Redaction only turns letters and digits into X, which
+# completes none of these, so all are asked of the text as it was given.
+_REDACTION_GATES = {
+    **dict.fromkeys(["phone", "resident", "card", "digits"], lambda t: t.rlike(r"\p{Nd}{4}")),
+    "email": lambda t: F.contains(t, F.lit("@")),
+    "url": lambda t: F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")),
+    "name": lambda t: t.rlike("[가-힣]{2}"),
+}
+
+
 def redact(text: Column) -> Column:
     """Length-preserving redaction: letters and digits of every hit become ``X``; all else stays."""
-    def run(t: Column, fence: Column) -> Column:
-        for _, pattern in L.REDACTION_BANK:
-            t = _redact_one(t, pattern, fence)
+    def one(t: Column, name: str, pattern: str, fence: Column, gates: Column) -> Column:
+        return bind(t, lambda u: F.when(gates[name], _redact_one(u, pattern, fence)).otherwise(u))
+
+    def run(t: Column, fence: Column, gates: Column) -> Column:
+        for name, pattern in L.REDACTION_BANK:
+            t = one(t, name, pattern, fence, gates)
         return t
 
-    return bind(text, lambda t: bind(_absent_fence(t), lambda fence: run(t, fence)))
+    def given(t: Column) -> Column:
+        gates = F.struct(*[_REDACTION_GATES[name](t).alias(name) for name, _ in L.REDACTION_BANK])
+        return bind(F.struct(_absent_fence(t).alias("fence"), gates.alias("gates")), lambda g: run(t, g["fence"], g["gates"]))
+
+    return bind(text, given)
 
 
 def context_slice(text: Column, start: Column, end: Column, reach: int = L.CONTEXT_SLICE) -> Column:
