@@ -32,7 +32,7 @@ RULES = {
 
 def docs_with_spans(spark, folder):
     """The sentences with their spans placed by piece lengths."""
-    keyed = Tables(spark, folder).orders.select(F.col("o_orderkey").alias("k"))
+    keyed = C.dealt(Tables(spark, folder).orders.select(F.col("o_orderkey").alias("k")))
     parts = keyed.select("k", *[F.expr(p.sql).alias(f"s{i}") for i, p in enumerate(_PIECES)])
     spans = []
     for i, p in enumerate(_PIECES):
