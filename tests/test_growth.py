@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from veilspan import lexicon as L
 from veilspan.functions import text as text_functions
 from veilspan.functions.finditer import marked_text
-from veilspan.operators import detect
-from veilspan.plans import corpus as C, stream_queries
+from veilspan.operators import detect, transcripts
+from veilspan.plans import corpus as C, stream_queries, transcript_queries
 from veilspan.plans.corpus import Piece
 from veilspan.plans.masking_queries import docs_with_spans
 from veilspan.sources import tokens
@@ -105,3 +105,61 @@ def test_redaction_looks_for_what_a_text_can_hold(spark):
 
 def test_keys_of_masked_sentences_are_dealt(spark, folder):
     assert docs_with_spans(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_windows_of_a_text_take_linear_time(spark, tmp_path):
+    def windows(texts, size, step):
+        spark.createDataFrame(texts, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return transcript_queries.overlapped(spark, str(tmp_path), size, step)
+
+    texts = [(1, "가b😀\n" * 77), (2, "x"), (3, ""), (4, None), (5, "".join(random.Random(1).choice("ab 가😀") for _ in range(900)))]
+    for size, step in ((30, 24), (50, 20), (20, 20)):
+        want = []
+        for key, text in texts:
+            for i in range(-(-len(text or "") // step)):
+                at = (i - 1 if i % 7 == 5 else i) * step
+                want.append((key, i, "  " if i % 11 == 9 else text[at:at + size], i % 13 != 6))
+        assert sorted(map(tuple, windows(texts, size, step).collect())) == sorted(want)
+    spent = lambda n: timed(lambda df=windows([(1, "ab cd가 " * n)], 300, 240): df.agg(F.sum(F.length("text"))).collect())[1]
+    spent(20_000)
+    assert spent(600_000) < 8 * spent(150_000) + 1
+
+
+def test_next_texts_take_one_exchange(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "ROWS_PER_BLOCK", 4)
+    rows = [(key, pos, f"{key}{pos}") for key, n in (("a", 13), ("b", 4), ("c", 1), ("d", 5)) for pos in range(n)]
+    df = transcripts._with_next(spark.createDataFrame(rows[::-1], "rec_id string, pos long, text string"))
+    have = {(key, pos) for key, pos, _ in rows}
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(((k, p, t, f"{k}{p + 1}" if (k, p + 1) in have else None) for k, p, t in rows), key=str)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def fuzzy_rule(prev, cur):
+    p, c = prev.split(), cur.split()
+    for n in range(min(10, len(p) // 2), 2, -1) if len(p) >= 3 and len(c) >= 3 else ():
+        for s in range(min(10, len(c) - n + 1)):
+            if sum(a == b for a, b in zip(p[-n:], c[s:s + n])) / n >= 0.7:
+                return " ".join(c[s + n:])
+    return cur
+
+
+def test_fuzzy_runs_are_looked_for_where_words_are_shared(spark):
+    rng, rows = random.Random(11), []
+    for _ in range(1500):
+        words = rng.choice([["a", "b"], ["a", "b", "c", "가", "나"], [f"w{i}" for i in range(14)]])
+        prev, cur = ([rng.choice(words) for _ in range(rng.randint(1, 25))] for _ in "ab")
+        again = [w if rng.random() < 0.8 else "z" for w in prev[-rng.randint(1, 11):]]
+        rows.append((" ".join(prev), " ".join(rng.choice([cur, [*cur[:rng.randint(0, 9)], *again, *cur]]))))
+    df = spark.createDataFrame(rows, "prev string, cur string")
+    cut = lambda d: d.select("prev", "cur", transcripts._cut_fuzzy(F.col("prev"), F.col("cur")).alias("got"))
+    assert [r["got"] for r in cut(df).collect()] == [fuzzy_rule(*r) for r in rows]
+    # two shared words are no run
+    line = [f"w{i}" for i in range(40)]
+    pair = [(" ".join(line), " ".join(["w39", "w35", *(f"v{i}" for i in range(40))]))]
+    many = spark.createDataFrame(pair, "prev string, cur string").select("*", F.explode(F.array_repeat(F.lit(0), 30_000))).drop("col").cache()
+    many.count()
+    base = lambda: many.select(F.sum(F.size(text_functions.words(F.col("prev"))) + F.size(text_functions.words(F.col("cur"))))).collect()
+    full = lambda: cut(many).select(F.sum(F.length("got"))).collect()
+    base(), full()
+    took, least = timed(full)[1], timed(base)[1]
+    assert took < 10 * least + 0.5, (took, least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
@@ -12,8 +12,8 @@ from ..functions.arrays import bind
 from ..functions.clocks import minute_clock, subtitle_clock
 from ..functions.text import bare_sentences, sentences, squeeze, strip, terminated_sentences, words
 from ..plans.chain import landed
-from ..plans.ordered import documents_from_lines, neighbours, positions, running
-from ..session import cut_lineage
+from ..plans.ordered import BLOCK, ROWS_PER_BLOCK, documents_from_lines, neighbours, positions, running
+from ..session import cut_lineage, written
 
 KEY = ["rec_id"]
 SENTENCES = "array<struct<text:string,start_time:double,end_time:double>>"
@@ -102,8 +102,9 @@ def repair_overlaps(rows: DataFrame, order: Sequence[str], seconds_per_block: fl
 def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_most: int) -> Column:
     """``struct<k, at>``: the longest suffix of ``prev`` found in ``cur`` within the first positions.
 
-    The last ``shortest`` characters are looked for first; from every place where they stand the
-    match is extended to the left, by halving steps.  Of equally long ones the first place counts.
+    The last ``shortest`` characters are looked for first; from every place where they stand,
+    the match is extended to the left, by halving steps.  Of equally long ones
+    the first place counts.
     """
     head = F.substring(cur, F.lit(1), F.lit(at_most) + longest)
 
@@ -130,16 +131,18 @@ def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_m
     return F.when((longest >= shortest) & F.contains(head, F.right(prev, F.lit(shortest))), bind(asked, search))
 
 
-def cut_exact(prev: Column, cur: Column) -> Column:
-    """Remove through the previous text's tail (11-100 characters) found near the start."""
+def _exact_tail(prev: Column, cur: Column) -> Column:
     longest = F.least(F.lit(100), F.floor(F.length(prev) / 2), F.floor(F.length(cur) / 2)).cast("int")
-    return bind(_shared_tail(prev, cur, longest, 11, 49), lambda h: F.when(h.isNull(), cur).otherwise(
-        strip(F.substring(cur, h["at"] + h["k"], F.length(cur)))))
+    return _shared_tail(prev, cur, longest, 11, 49)
 
 
-def _exact_found(prev: Column, cur: Column) -> Column:
-    longest = F.least(F.lit(100), F.floor(F.length(prev) / 2), F.floor(F.length(cur) / 2)).cast("int")
-    return _shared_tail(prev, cur, longest, 11, 49).isNotNull()
+def _after_tail(cur: Column, found: Column) -> Column:
+    return strip(F.substring(cur, found["at"] + found["k"], F.length(cur)))
+
+
+def cut_exact(prev: Column, cur: Column) -> Column:
+    """Remove through the previous text's tail (11-100 characters) found near the start."""
+    return bind(_exact_tail(prev, cur), lambda h: F.when(h.isNull(), cur).otherwise(_after_tail(cur, h)))
 
 
 def _cut_fuzzy(prev: Column, cur: Column) -> Column:
@@ -149,29 +152,43 @@ def _cut_fuzzy(prev: Column, cur: Column) -> Column:
     def search(p: Column, c: Column) -> Column:
         most = F.least(F.lit(10), F.floor(F.size(p) / 2)).cast("int")
         lengths = F.when(most >= 3, F.sequence(most, F.lit(3), F.lit(-1)))
+        # a run that ends before word ``end`` has its last word at ``ago`` 0; equal words of one run share that end
+        tail, front = F.reverse(F.slice(p, -F.least(F.lit(10), F.size(p)), F.lit(10))), F.slice(c, 1, 19)
+
+        def spots(f: Column, word: Column, ago: Column) -> Column:
+            here = F.transform(f, lambda x, j: F.when(x == word, F.struct((j + ago + 1).alias("end"), ago.alias("ago"))))
+            return F.filter(here, lambda h: h.isNotNull())
+
+        def runs(hits: Column) -> Column:
+            # 70 % of at least 3 words are at least 3 words
+            ends = F.filter(F.array_distinct(F.transform(hits, lambda h: h["end"])), lambda k: (k <= F.size(c)) & (
+                F.size(F.filter(hits, lambda h: h["end"] == k)) >= 3))
 
-        def starts(n: Column) -> Column:
-            last = F.least(F.lit(10), F.size(c) - n + 1)
-            return F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+            def fits(k: Column, n: Column) -> Column:
+                same = F.size(F.filter(hits, lambda h: (h["end"] == k) & (h["ago"] < n)))
+                return (k - n).between(0, 9) & (same / n >= 0.7)
 
-        def score(n: Column, s: Column) -> Column:
-            same = F.zip_with(F.slice(p, -n, n), F.slice(c, s + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0))
-            return F.aggregate(same, F.lit(0), lambda a, x: a + x)
+            # the longest run counts, of equally long ones the first
+            return F.array_min(F.flatten(F.transform(ends, lambda k: F.transform(
+                F.filter(lengths, lambda n: fits(k, n)), lambda n: F.struct((-n).alias("n"), k.alias("end"))))))["end"]
 
-        grid = F.flatten(F.transform(lengths, lambda n: F.transform(
-            F.filter(starts(n), lambda s: score(n, s) / n >= 0.7), lambda s: s + n)))
-        # 70 % of at least 3 words means a shared word: skip the grid without one
-        near = F.arrays_overlap(F.slice(p, -F.least(F.lit(10), F.size(p)), F.lit(10)), F.slice(c, 1, 19))
-        rest = bind(F.get(grid, F.lit(0)), lambda drop: F.when(
-            drop.isNotNull(), F.array_join(F.slice(c, drop + 1, F.greatest(F.size(c) - drop, F.lit(0))), " ")))
-        return F.when((F.size(p) >= 3) & (F.size(c) >= 3) & near, rest)
+        def shared(w: Column) -> Column:
+            known = F.filter(F.transform(w["tail"], lambda x, ago: F.when(F.array_contains(w["front"], x), F.struct(
+                x.alias("word"), ago.alias("ago")))), lambda x: x.isNotNull())
+            hits = bind(known, lambda ks: F.when(F.size(ks) >= 3, F.flatten(F.transform(ks, lambda x: spots(w["front"], x["word"], x["ago"])))))
+            return bind(hits, lambda h: F.when(h.isNotNull(), runs(h)))
+
+        drop = bind(F.struct(tail.alias("tail"), front.alias("front")), shared)
+        rest = bind(drop, lambda d: F.when(
+            d.isNotNull(), F.array_join(F.slice(c, d + 1, F.greatest(F.size(c) - d, F.lit(0))), " ")))
+        return F.when((F.size(p) >= 3) & (F.size(c) >= 3), rest)
 
     return F.coalesce(bind(F.struct(pw.alias("p"), cw.alias("c")), lambda w: search(w["p"], w["c"])), cur)
 
 
 def cut_fuzzy(prev: Column, cur: Column) -> Column:
     """Exact removal, else the fuzzy word overlap."""
-    return F.when(_exact_found(prev, cur), cut_exact(prev, cur)).otherwise(_cut_fuzzy(prev, cur))
+    return bind(_exact_tail(prev, cur), lambda h: F.when(h.isNull(), _cut_fuzzy(prev, cur)).otherwise(_after_tail(cur, h)))
 
 
 def cut_prefix(prev: Column, cur: Column) -> Column:
@@ -190,17 +207,20 @@ def cut_prefix(prev: Column, cur: Column) -> Column:
     return bind(k, lambda n: F.when(n.isNotNull(), strip(F.substring(cur, n + 1, F.length(cur)))).otherwise(worded))
 
 
-def _runs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs of equal texts: ``(rec_id, pos, run)`` of every chunk and ``(rec_id, run, head, text)`` of every run."""
-    before = neighbours(texts, KEY, "pos", ["text"], -1, "prev_")
-    marked = before.withColumn("_new", F.when((F.col("pos") > 0) & (F.col("text") != F.col("prev_text")), 1).otherwise(0).cast("long"))
-    runs = cut_lineage(running(marked.select(*KEY, "pos", "text", "_new"), KEY, ["pos"], {"run": ("sum", "_new")}))
-    heads = runs.groupBy(*KEY, "run").agg(F.min("pos").alias("head"), F.first("text").alias("text"))
-    return runs.select(*KEY, "pos", "run"), cut_lineage(heads)
+#: Followers that are tried at once after the next one was swallowed; four times as many in every further round.
+FOLLOWERS = 2
+
 
+def _with_next(texts: DataFrame) -> DataFrame:
+    """``texts`` with the text of the next position, null at the last one.
 
-#: Followers that are tried at once after the next one was swallowed; twice as many in every further round.
-FOLLOWERS = 8
+    A block's first row is copied to the block before, so one exchange of the texts serves all.
+    """
+    block = F.floor(F.col("pos") / ROWS_PER_BLOCK)
+    homes = F.when((F.col("pos") > 0) & (F.col("pos") % ROWS_PER_BLOCK == 0), F.array(block - 1, block)).otherwise(F.array(block))
+    spread = texts.select("*", F.explode(homes).alias(BLOCK))
+    w = Window.partitionBy(*KEY, BLOCK).orderBy("pos")
+    return spread.withColumn("_cur", F.lead("text").over(w)).where(F.col(BLOCK) == block).drop(BLOCK)
 
 
 def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column]) -> DataFrame:
@@ -208,34 +228,39 @@ def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column]) -> Data
 
     ``texts(rec_id, pos, text)`` with dense positions.  Each chunk's jump is its first follower
     that is not swallowed whole; nearly always the next one.  The few chunks whose next one is
-    swallowed try the next 8, 16, 32, ... followers at once, so the rounds grow with the logarithm
+    swallowed try the next 2, 8, 32, ... followers at once, so the rounds grow with the logarithm
     of a run of swallowed chunks.  A text equal to a swallowed one before it is swallowed too, so
     a run of equal texts counts as one follower.
     """
-    last = texts.groupBy(*KEY).agg(F.max("pos").alias("_last"))
-    nxt = texts.select(*KEY, (F.col("pos") - 1).alias("pos"), F.col("text").alias("_cur"))
-    tried = texts.join(nxt, [*KEY, "pos"], "left").withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
-    first = cut_lineage(tried.withColumn("_ok", F.col("_cur").isNull() | (F.col("_cut") != "")).drop("_cur"))
+    tried = _with_next(texts).withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
+    ok = F.col("_cur").isNull() | (F.col("_cut") != "")
+    differs = F.when(F.col("text") != F.col("_cur"), 1).otherwise(0).cast("long")
+    # of the texts only those are kept that are asked for again
+    first = written(tried.select(*KEY, "pos", "_cut", ok.alias("_ok"), differs.alias("_new"), F.when(~ok | (F.col("pos") == 0), F.col("text")).alias("text")))
     jumps = first.where("_ok").select(*KEY, "pos", (F.col("pos") + 1).alias("nxt"), "_cut")
     still_open, width = first.where("NOT _ok").select(*KEY, "pos", "text"), FOLLOWERS
     if not still_open.isEmpty():
-        runs, heads = _runs(texts)
-        followers = heads.select(*KEY, "run", F.col("head").alias("_at"), F.col("text").alias("_cur"))
+        last = first.groupBy(*KEY).agg(F.max("pos").alias("_last"))
+        before = running(first.select(*KEY, "pos", "_ok", "_new"), KEY, ["pos"], {"run": ("sum", "_new")}, inclusive=False)
+        runs = written(before.withColumn("run", F.coalesce("run", F.lit(0).cast("long"))))
+        heads = cut_lineage(runs.groupBy(*KEY, "run").agg(F.min("pos").alias("_at")))
+        followers = texts.select(*KEY, F.col("pos").alias("_at"), F.col("text").alias("_cur"))
         # the run of the next chunk is swallowed; the search goes on after it
-        at_next = runs.select(*KEY, (F.col("pos") - 1).alias("pos"), (F.col("run") + 1).alias("run"))
+        at_next = runs.where("NOT _ok").select(*KEY, "pos", (F.col("run") + F.col("_new") + 1).alias("run"))
         still_open = still_open.join(at_next, [*KEY, "pos"]).join(last, KEY)
     while not still_open.isEmpty():
         asked = still_open.select(*KEY, "pos", "text", "_last", F.explode(F.sequence("run", F.col("run") + (width - 1))).alias("run"))
-        judged = asked.join(followers, [*KEY, "run"], "left").withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
+        met = asked.join(heads, [*KEY, "run"], "left").join(followers, [*KEY, "_at"], "left")
+        judged = met.withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
         # beyond the last run the chain ends
         hit = F.when(F.col("_at").isNull() | (F.col("_cut") != ""), F.struct("run", F.coalesce("_at", F.col("_last") + 1).alias("nxt"), "_cut"))
         state = cut_lineage(judged.groupBy(*KEY, "pos").agg(F.min(hit).alias("hit"), (F.max("run") + 1).alias("run"), F.max("_last").alias("_last")))
         jumps = jumps.unionByName(state.where("hit IS NOT NULL").select(*KEY, "pos", "hit.nxt", "hit._cut"))
-        still_open = state.where("hit IS NULL").drop("hit").join(texts, [*KEY, "pos"])
-        width *= 2
+        still_open = state.where("hit IS NULL").drop("hit").join(first.select(*KEY, "pos", "text"), [*KEY, "pos"])
+        width *= 4
     visited = landed(jumps.drop("_cut"), KEY)
     later = jumps.where("_cut IS NOT NULL").join(visited, [*KEY, "pos"]).select(*KEY, F.col("nxt").alias("pos"), F.col("_cut").alias("added"))
-    return later.unionByName(texts.where("pos = 0").select(*KEY, "pos", F.col("text").alias("added")))
+    return later.unionByName(first.where("pos = 0").select(*KEY, "pos", F.col("text").alias("added")))
 
 
 def stitched(results: DataFrame, cut: Callable[[Column, Column], Column] = cut_exact) -> DataFrame:
@@ -244,8 +269,9 @@ def stitched(results: DataFrame, cut: Callable[[Column, Column], Column] = cut_e
     The comparison text is always the previous accepted chunk's full text.  ``removed`` marks
     chunks swallowed whole (their text is empty).
     """
-    clean = results.select(*KEY, "chunk_index", strip(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''")
-    numbered = cut_lineage(positions(clean, KEY, ["chunk_index"], "pos"))
+    # written, so that the passes that only count do not make the texts again
+    clean = written(results.select(*KEY, "chunk_index", strip(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''"))
+    numbered = written(positions(clean, KEY, ["chunk_index"], "pos"))
     added = _accepted(numbered.select(*KEY, "pos", "text"), cut)
     return numbered.join(added, [*KEY, "pos"], "left").select(
         *KEY, "chunk_index", "pos", F.coalesce("added", F.lit("")).alias("text"), F.col("added").isNull().alias("removed"))

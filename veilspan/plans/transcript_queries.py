@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind, each
 from ..operators import transcripts as X
 from ..plans.ordered import running
 from . import sqltext as S
@@ -151,12 +153,19 @@ def trx11(spark, folder):
 def overlapped(spark, folder, size: int, step: int):
     """Windows of a document as chunks; some repeat the one before, some are blank."""
     d = Tables(spark, folder).documents.where(F.length("text") > 0)
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(step))
-    w = d.select(F.col("doc_id").alias("rec_id"), "text", F.posexplode(starts).alias("i", "o"))
-    i = F.col("i")
-    at = F.when(i % 7 == 5, F.col("o") - step).otherwise(F.col("o"))
-    text = F.when(i % 11 == 9, "  ").otherwise(F.substring("text", at + 1, F.lit(size)))
-    return w.select("rec_id", i.cast("long").alias("chunk_index"), text.alias("text"), (i % 13 != 6).alias("success"))
+    # one pass cuts a text into steps, from which the windows are joined; a window cut from the text would count from its start
+    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    most = -(-size // step)
+
+    def window(cells: Column, i: Column) -> Column:
+        at = F.when(i % 7 == 5, i - 1).otherwise(i)
+        whole = F.left(F.array_join(F.slice(cells, at + 1, F.lit(most)), ""), F.lit(size))
+        return F.struct(i.alias("i"), F.when(i % 11 == 9, "  ").otherwise(whole).alias("text"))
+
+    windows = bind(steps, lambda cells: F.transform(cells, lambda _, i: window(cells, i)))
+    w = each(d.select(F.col("doc_id").alias("rec_id"), windows.alias("w")), "w", "rec_id", name="w")
+    i = F.col("w.i")
+    return w.select("rec_id", i.cast("long").alias("chunk_index"), F.col("w.text").alias("text"), (i % 13 != 6).alias("success"))
 
 
 def _overlapped_sql(size: int, step: int) -> str:
