@@ -163,3 +163,32 @@ def test_fuzzy_runs_are_looked_for_where_words_are_shared(spark):
     base(), full()
     took, least = timed(full)[1], timed(base)[1]
     assert took < 10 * least + 0.5, (took, least)
+
+
+def prefix_rule(prev, cur):
+    for n in range(min(50, len(prev) // 2), 5, -1):
+        if cur.startswith(prev[-n:]):
+            return cur[n:].strip()
+    p, c = prev.split(), cur.split()
+    for j in range(1, min(len(p), len(c), 5) + 1):
+        if p[-j:] == c[:j]:
+            return " ".join(c[j:])
+    return cur
+
+
+def test_prefixes_are_tried_where_they_can_start(spark, monkeypatch):
+    rng, rows = random.Random(12), []
+    for _ in range(1500):
+        letters = rng.choice(["a", "ab", "ab 가", "abcdefgh 😀"])
+        prev, cur = ("".join(rng.choice(letters) for _ in range(rng.randint(1, 130))).strip() or "a" for _ in "ab")
+        rows.append((prev, (prev[-rng.randint(1, 60):].strip() + cur) if rng.random() < 0.5 else cur))
+    df = spark.createDataFrame(rows, "prev string, cur string")
+    got = df.select(transcripts.cut_prefix(F.col("prev"), F.col("cur"))).collect()
+    assert [r[0] for r in got] == [prefix_rule(*r) for r in rows]
+    # rows and lines are written, so that no pass makes them again
+    kept, written = [], transcripts.written
+    monkeypatch.setattr(transcripts, "written", lambda d: kept.append(d.columns) or written(d))
+    chunks = spark.createDataFrame([("r", 0, True, "first words come here"), ("r", 1, False, None), ("r", 2, True, "come here at last")],
+                                   "rec_id string, chunk_index long, success boolean, text string")
+    assert transcripts.merged_transcript(chunks).first()["text"] == "first words come here [...]. at last"
+    assert sum("row" in c for c in kept) >= 2 and sum("piece" in c for c in kept) >= 2

@@ -99,6 +99,12 @@ def repair_overlaps(rows: DataFrame, order: Sequence[str], seconds_per_block: fl
 # --- stitching overlapping chunk texts --------------------------------------------------
 
 
+def _between(text: Column, probe: Column) -> Column:
+    """Places from the first to the last one where ``probe`` stands in ``text``, which holds it."""
+    behind = F.position(F.reverse(probe), F.reverse(text))
+    return F.sequence(F.position(probe, text), F.length(text) - F.length(probe) - behind + 2)
+
+
 def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_most: int) -> Column:
     """``struct<k, at>``: the longest suffix of ``prev`` found in ``cur`` within the first positions.
 
@@ -194,8 +200,15 @@ def cut_fuzzy(prev: Column, cur: Column) -> Column:
 def cut_prefix(prev: Column, cur: Column) -> Column:
     """Remove a prefix equal to the previous tail (6-50 characters), else up to five shared words."""
     longest = F.least(F.lit(50), F.floor(F.length(prev) / 2)).cast("int")
-    sizes = F.when(longest >= 6, F.sequence(longest, F.lit(6), F.lit(-1)))
-    k = F.get(F.filter(sizes, lambda n: F.startswith(cur, F.right(prev, n))), F.lit(0))
+
+    def sizes(w: Column) -> Column:
+        # a tail that starts the text starts where the text's first six characters stand
+        tail, front = w["tail"], w["front"]
+        starts = F.when(F.contains(tail, front) & (F.length(front) == 6), _between(tail, front))
+        return F.filter(F.transform(starts, lambda p: F.length(tail) - p + 1), lambda n: F.startswith(cur, F.right(tail, n)))
+
+    asked = F.struct(F.right(prev, longest).alias("tail"), F.left(cur, F.lit(6)).alias("front"))
+    k = F.get(F.when(longest >= 6, bind(asked, sizes)), F.lit(0))
 
     def by_words(p: Column, c: Column) -> Column:
         n = F.least(F.size(p), F.size(c), F.lit(5))
@@ -285,14 +298,14 @@ def stitched_with_markers(results: DataFrame) -> DataFrame:
 
 def merged_transcript(results: DataFrame) -> DataFrame:
     """One text per recording: prefix stitching, ``[...]`` for failed inner chunks, tidy punctuation."""
-    rows = positions(results.select(*KEY, "chunk_index", "success", "text"), KEY, ["chunk_index"], "row")
+    rows = written(positions(written(results.select(*KEY, "chunk_index", "success", "text")), KEY, ["chunk_index"], "row"))
     last = rows.groupBy(*KEY).agg(F.max("row").alias("last"))
     good = F.col("success") & (F.coalesce("text", F.lit("")) != "")
     failed = rows.join(last, KEY).where(~good & (F.col("row") > 0) & (F.col("row") < F.col("last"))).select(
         *KEY, "row", F.lit(L.MISSING_CHUNK).alias("piece"), F.lit(True).alias("gap"))
     texts = stitched(rows.where(good).select(*KEY, F.col("row").alias("chunk_index"), "text"), cut_prefix)
     kept = texts.where(~F.col("removed")).select(*KEY, F.col("chunk_index").alias("row"), F.col("text").alias("piece"), F.lit(False).alias("gap"))
-    lines = positions(kept.unionByName(failed), KEY, ["row"], "pos")
+    lines = written(positions(written(kept.unionByName(failed)), KEY, ["row"], "pos"))
     after = neighbours(lines, KEY, "pos", ["piece", "gap"], 1, "next_")
     # a piece gets its full stop when the next recognised piece does not start in upper case
     dotted = after.withColumn("piece", F.when(
