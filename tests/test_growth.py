@@ -192,3 +192,9 @@ def test_prefixes_are_tried_where_they_can_start(spark, monkeypatch):
                                    "rec_id string, chunk_index long, success boolean, text string")
     assert transcripts.merged_transcript(chunks).first()["text"] == "first words come here [...]. at last"
     assert sum("row" in c for c in kept) >= 2 and sum("piece" in c for c in kept) >= 2
+
+
+def test_the_tail_is_searched_only_between_its_first_and_last_place(spark):
+    rows = [("xx", "x"), ("axxa", "xx"), ("xxxxx", "xx"), ("가xx나xx", "xx"), ("😀ab", "😀ab")]
+    got = spark.createDataFrame(rows, "t string, p string").select(transcripts._between(F.col("t"), F.col("p"))).collect()
+    assert [r[0] for r in got] == [[1, 2], [2], [1, 2, 3, 4], [2, 3, 4, 5], [1]]

@@ -109,7 +109,7 @@ def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_m
     """``struct<k, at>``: the longest suffix of ``prev`` found in ``cur`` within the first positions.
 
     The last ``shortest`` characters are looked for first; from every place where they stand,
-    the match is extended to the left, by halving steps.  Of equally long ones
+    nearly always one, the match is extended to the left, by halving steps.  Of equally long ones
     the first place counts.
     """
     head = F.substring(cur, F.lit(1), F.lit(at_most) + longest)
@@ -117,7 +117,7 @@ def _shared_tail(prev: Column, cur: Column, longest: Column, shortest: int, at_m
     def search(w: Column) -> Column:
         tail, front, most = w["tail"], w["head"], w["most"]
         probe = F.right(tail, F.lit(shortest))
-        spots = F.filter(F.sequence(F.lit(1), at_most + 1 + most - shortest), lambda p: F.substring(front, p, F.lit(shortest)) == probe)
+        spots = F.filter(_between(front, probe), lambda p: F.substring(front, p, F.lit(shortest)) == probe)
 
         def extended(p: Column) -> Column:
             room = F.least(most - shortest, p - 1)
