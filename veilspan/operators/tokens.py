@@ -5,13 +5,17 @@ A sentence keeps its tokens and tags as arrays on one row, so decoding is row-lo
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.arrays import bind
 
 IGNORED = -100
-TAGGED = "array<struct<start:int,end:int,type:string>>"
+TAGGED = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("type", StringType())]))
 
 
 def label_ids(labels: Column) -> Column:
@@ -30,31 +34,51 @@ def align_labels(word_ids: Column, tags: Column, ids: Column) -> Column:
     return F.transform(word_ids, one)
 
 
+def _counted(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements and first element of every list of an array, and the list of every element; null has none."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+
+
+@F.arrow_udf(TAGGED)
+def _spans(tags: pa.Array) -> pa.Array:
+    """``bio_spans`` of a batch of rows, over all their tokens at once."""
+    sizes, begin, row = _counted(tags)
+    coded = tags.flatten().dictionary_encode()
+    texts = [x or "" for x in coded.dictionary.to_pylist()] + [""]
+    names = [x[2:] if x.startswith(("B-", "I-")) else "" for x in texts]
+    known = {name: n for n, name in enumerate(dict.fromkeys(["", *names]))}
+    at = pc.fill_null(coded.indices, len(texts) - 1).to_numpy(zero_copy_only=False)
+    kind, opens = np.array([known[n] for n in names])[at], np.array([x.startswith("B-") for x in texts])[at]
+    # the tokens before the first and after the last one of a row have no type
+    ahead, behind = np.zeros_like(kind), np.zeros_like(kind)
+    ahead[1:], behind[:-1] = kind[:-1], kind[1:]
+    ahead[begin[sizes > 0]] = behind[(begin + sizes - 1)[sizes > 0]] = 0
+    starts = (kind > 0) & (opens | (ahead != kind))
+    follows = np.append(starts[1:], False)
+    first, last = np.flatnonzero(starts), np.flatnonzero((kind > 0) & ((behind != kind) | follows))
+    inside = pa.StructArray.from_arrays([
+        pa.array((first - begin[row[first]]).astype(np.int32)), pa.array((last - begin[row[first]] + 1).astype(np.int32)),
+        pa.array(list(known), pa.string()).take(pa.array(kind[first]))], ["start", "end", "type"])
+    bounds = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(sizes))))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inside, mask=pc.is_null(tags))
+
+
+@F.arrow_udf(LongType())
+def _equal(one: pa.Array, other: pa.Array) -> pa.Array:
+    """Equal elements of two lists of one length; null equals nothing."""
+    sizes, _, row = _counted(one)
+    same = pc.fill_null(pc.equal(one.flatten(), other.flatten()), False).to_numpy(zero_copy_only=False)
+    return pc.if_else(pc.is_null(one), None, pa.array(np.bincount(row[same], minlength=len(sizes)).astype(np.int64)))
+
+
 def bio_spans(tags: Column) -> Column:
     """Entity spans over token positions: a span starts at ``B-`` or where the type changes.
 
     Starts and ends are picked independently by looking one token back and one ahead; the n-th
     start belongs to the n-th end.
     """
-    marked = F.transform(tags, lambda t: F.struct(
-        F.coalesce(t.startswith("B-"), F.lit(False)).alias("begins"),
-        F.when(t.rlike(r"\A[BI]-"), F.substring(t, F.lit(3), F.length(t))).otherwise("").alias("type")))
-
-    def pair(m: Column) -> Column:
-        def type_at(i: Column) -> Column:
-            return F.coalesce(F.get(m, i)["type"], F.lit(""))
-
-        def starts(i: Column) -> Column:
-            here = F.get(m, i)
-            return F.coalesce((here["type"] != "") & (here["begins"] | (type_at(i - 1) != here["type"])), F.lit(False))
-
-        spots = F.transform(m, lambda x, i: i)
-        first = F.filter(spots, starts)
-        last = F.filter(spots, lambda i: (type_at(i) != "") & ((type_at(i + 1) != type_at(i)) | starts(i + 1)))
-        return F.zip_with(first, last, lambda s, e: F.struct(
-            s.alias("start"), (e + 1).alias("end"), F.get(m, s)["type"].alias("type")))
-
-    return bind(marked, pair).cast(TAGGED)
+    return _spans(tags)
 
 
 def span_scores(df: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
@@ -63,18 +87,20 @@ def span_scores(df: DataFrame, gold: str = "gold", predicted: str = "predicted")
     Tokens whose gold tag is null (ignored sub-words) are left out first.  Row-local counts are
     summed, so nothing is shuffled but one row per task.
     """
-    pairs = F.filter(F.arrays_zip(F.col(gold).alias("g"), F.col(predicted).alias("p")), lambda x: x["g"].isNotNull())
-    clean = df.select(pairs.alias("pairs")).select(
-        F.transform("pairs", lambda x: x["g"]).alias("g"), F.transform("pairs", lambda x: x["p"]).alias("p"))
-
-    def names(tags: str) -> Column:
+    g, p = F.col(gold), F.col(predicted)
+    pairs = F.filter(F.arrays_zip(g.alias("g"), p.alias("p")), lambda x: x["g"].isNotNull())
+    # nearly always there is nothing to leave out
+    whole = (F.size(g) == F.size(p)) & ~F.exists(g, lambda x: x.isNull())
+    clean = df.select(F.when(whole, g).otherwise(F.transform(pairs, lambda x: x["g"])).alias("g"),
+                      F.when(whole, p).otherwise(F.transform(pairs, lambda x: x["p"])).alias("p"))
+
+    def names(spans: str) -> Column:
         # one string per span: Spark intersects arrays of strings by hashing, arrays of structs by comparing all
-        return F.transform(bio_spans(F.col(tags)), lambda s: F.concat_ws(":", s["start"], s["end"], s["type"]))
+        return F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"], s["type"]))
 
-    named = clean.select("g", "p", names("g").alias("gs"), names("p").alias("ps"))
-    counted = named.select(
-        F.size("gs").alias("gold"), F.size("ps").alias("pred"), F.size(F.array_intersect("gs", "ps")).alias("hit"), F.size("g").alias("n"),
-        F.aggregate(F.zip_with("g", "p", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x).alias("same"))
+    found = clean.select(F.size("g").alias("n"), bio_spans(F.col("g")).alias("gs"), bio_spans(F.col("p")).alias("ps"), _equal("g", "p").alias("same"))
+    counted = found.select(
+        F.size("gs").alias("gold"), F.size("ps").alias("pred"), F.size(F.array_intersect(names("gs"), names("ps"))).alias("hit"), "n", "same")
     sums = counted.agg(*[F.sum(c).alias(c) for c in ("gold", "pred", "hit", "n", "same")])
     zero = F.lit(0.0)
     p, r = F.coalesce(F.try_divide("hit", "pred"), zero), F.coalesce(F.try_divide("hit", "gold"), zero)
