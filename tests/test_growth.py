@@ -236,3 +236,35 @@ def test_spans_of_a_batch_are_found_at_once(spark):
     base(), full()
     took, least = timed(full)[1], timed(base)[1]
     assert took < 3 * least + 0.2, (took, least)
+
+
+def test_label_ids_are_looked_up_once_per_word(spark):
+    rng = random.Random(14)
+    ids = {"O": 0, "B-가": 1, "I-가": 2, "B-x": 3}
+    rows = [(None, ["O"]), ([], [])]
+    for _ in range(200):
+        tags = [rng.choice([*ids, "I-x", " B-가 ", "", None, "B-B-x"]) for _ in range(rng.randint(0, 8))]
+        rows.append(([rng.choice([None, *range(len(tags) + 2)]) for _ in range(rng.randint(0, 12))], tags))
+
+    def rule(words, tags):
+        out = []
+        for i, w in enumerate(words):
+            tag = ((tags[w] if w is not None and w < len(tags) else None) or "O").strip(" ")
+            if i and w == words[i - 1] and tag.startswith("B-"):
+                tag = tag.replace("B-", "I-")
+            out.append(-100 if w is None else ids.get(tag, 0))
+        return out
+
+    table = tokens_operator.label_ids(F.array(*[F.lit(x) for x in ids]))
+    aligned = lambda df: df.select(tokens_operator.align_labels(F.col("words"), F.col("tags"), table).alias("y"))
+    df = spark.createDataFrame(rows, "words array<int>, tags array<string>")
+    assert [r["y"] for r in aligned(df).collect()] == [None if words is None else rule(words, tags) for words, tags in rows]
+    # pieces cost no lookup of their own
+    many = spark.createDataFrame([([i // 20 for i in range(20_000)], ["B-가", "O"] * 500)], "words array<int>, tags array<string>").select(
+        "words", "tags", F.explode(F.array_repeat(F.lit(0), 120))).drop("col").cache()
+    many.count()
+    base = lambda: many.select(F.sum(F.size(F.filter("words", lambda w: w % 7 == 3)))).collect()
+    full = lambda: aligned(many).select(F.sum(F.size(F.col("y")))).collect()
+    base(), full()
+    took, least = timed(full)[1], timed(base)[1]
+    assert took < 5 * least + 0.2, (took, least)

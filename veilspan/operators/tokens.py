@@ -24,14 +24,29 @@ def label_ids(labels: Column) -> Column:
 
 
 def align_labels(word_ids: Column, tags: Column, ids: Column) -> Column:
-    """Label id per sub-word: first piece keeps the tag, later pieces continue it, specials are ignored."""
-    def one(w: Column, i: Column) -> Column:
-        tag = F.trim(F.coalesce(F.nullif(F.get(tags, w), F.lit("")), F.lit("O")))
-        again = F.get(word_ids, i - 1) == w
-        shown = F.when(F.coalesce(again, F.lit(False)) & tag.startswith("B-"), F.replace(tag, F.lit("B-"), F.lit("I-"))).otherwise(tag)
-        return F.when(w.isNull(), F.lit(IGNORED)).otherwise(F.coalesce(F.element_at(ids, shown), F.element_at(ids, F.lit("O"))))
-
-    return F.transform(word_ids, one)
+    """Label id per sub-word: first piece keeps the tag, later pieces continue it, specials are ignored.
+
+    The ids of a tag are looked up once per word, for its first and for its later pieces.
+    """
+    def both(table: Column, t: Column) -> Column:
+        known = lambda name: F.coalesce(F.element_at(table, name), F.element_at(table, F.lit("O")))
+        tag = F.trim(F.coalesce(F.nullif(t, F.lit("")), F.lit("O")))
+        return bind(tag, lambda x: F.struct(known(x).alias("first"), known(
+            F.when(x.startswith("B-"), F.replace(x, F.lit("B-"), F.lit("I-"))).otherwise(x)).alias("later")))
+
+    def aligned(words: Column, of: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            # a word without a tag is outside
+            mine = F.coalesce(F.get(of["tags"], w), of["outside"])
+            again = F.coalesce(F.get(words, i - 1) == w, F.lit(False))
+            return F.when(w.isNull(), F.lit(IGNORED)).when(again, mine["later"]).otherwise(mine["first"])
+
+        return F.transform(words, one)
+
+    # the ids are an expression here: made once, not once per piece
+    found = bind(ids, lambda table: F.struct(
+        F.transform(tags, lambda t: both(table, t)).alias("tags"), both(table, F.lit("O")).alias("outside")))
+    return bind(F.struct(word_ids.alias("words"), found.alias("of")), lambda x: aligned(x["words"], x["of"]))
 
 
 def _counted(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -82,7 +82,7 @@ def bio1(spark, folder):
       SELECT *, CASE t WHEN 'B-이름' THEN 1 WHEN 'I-이름' THEN 2 WHEN 'B-주소' THEN 3 ELSE 0 END AS id FROM lab) GROUP BY doc_id""")
 def bio2(spark, folder):
     rows = sentences(spark, folder).where(F.size("tokens") > 0)
-    pieces = F.flatten(F.transform("tokens", lambda w, i: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(w) / 4.0).cast("int"))), lambda _: i)))
+    pieces = F.flatten(F.transform("tokens", lambda w, i: F.array_repeat(i, F.greatest(F.lit(1), F.ceil(F.length(w) / 4.0).cast("int")))))
     special = F.array(F.lit(None).cast("int"))
     ids = B.label_ids(F.array(*[F.lit(x) for x in _LABELS]))
     staged = rows.select("doc_id", "gold", F.concat(special, pieces, special).alias("word_ids"))
