@@ -2,6 +2,7 @@
 
 import random
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,3 +269,19 @@ def test_label_ids_are_looked_up_once_per_word(spark):
     base(), full()
     took, least = timed(full)[1], timed(base)[1]
     assert took < 5 * least + 0.2, (took, least)
+
+
+def test_stable_texts_are_told_in_one_run(spark):
+    rng = random.Random(15)
+    rows = [(None,), ("",), ("가" * 300_000,), ("가" * 300_000 + "①",)]
+    rows += [("".join(rng.choice("ab가é—\n①ﬁ\u0301가😀🅐Å") for _ in range(rng.randint(1, 6))),) for _ in range(300)]
+    rows += [("".join(rng.choice("ab 가é—\n一") for _ in range(9)),) for _ in range(100)]
+    got = spark.createDataFrame(rows, "text string").select(text_functions.nfkc(F.col("text"))).collect()
+    assert [r[0] for r in got] == [t and unicodedata.normalize("NFKC", t) for t, in rows]
+    many = spark.createDataFrame([("plain words and 한글 in a line, " * 20_000,)], "text string").select(F.explode(F.array_repeat("text", 40)).alias("text")).cache()
+    many.count()
+    base = lambda: many.select(F.sum(F.length(F.regexp_replace("text", "[a-z ]+", "")))).collect()
+    full = lambda: many.select(F.sum(F.length(text_functions.nfkc(F.col("text"))))).collect()
+    base(), full()
+    took, least = timed(full)[1], timed(base)[1]
+    assert took < 2 * least + 0.15, (took, least)
