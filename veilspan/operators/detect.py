@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions import checks
+from ..functions import checks, scanner
 from ..functions.arrays import bind, change, each, lookup, make_span, no_spans
 from ..functions.finditer import (char_slice, contains_match, find_all, find_literal, full_match, marked_text, matches_of, unicode_regex)
 from ..functions.text import normalize_text
@@ -98,11 +98,7 @@ def _bank(text: Column, entries: Iterable[tuple[str, str, str, str]], staged: di
 def bank_spans(df: DataFrame, text: str = "text", out: str = "spans", *,
                allow: Iterable[str] = (), deny: Iterable[str] = ()) -> DataFrame:
     """The whole pattern bank with validators, contained spans pruned."""
-    gates = {g: f"_gate_{g}" for g in _GATES}
-    staged = df.withColumns({c: contains_match(F.col(text), _GATES[g]) for g, c in gates.items()})
-    known = {g: F.col(c) for g, c in gates.items()}
-    hits = _bank(F.col(text), L.PATTERN_BANK, known, lambda name: _guard(name, F.col(text), allow, deny))
-    return staged.withColumn(out, overlap.prune_contained(hits)).drop(*gates.values())
+    return df.withColumn(out, scanner.bank(F.col(text), allow, deny))
 
 
 def email_allowed_rows(spans: DataFrame, allow: DataFrame, deny: DataFrame, text: str = "text", out: str = "allowed") -> DataFrame:
@@ -206,9 +202,7 @@ def domain_spans(text: Column) -> Column:
 
 def detect_default(df: DataFrame, text: str = "text", out: str = "spans", **lists) -> DataFrame:
     """Pattern bank, number refinement and domain keywords: the default detection path."""
-    staged = bank_spans(df, text, "_bank", **lists)
-    return staged.withColumn(
-        out, F.concat(refine_numbers(F.col(text), F.col("_bank")), domain_spans(F.col(text)))).drop("_bank")
+    return df.withColumn(out, scanner.default(F.col(text), **lists))
 
 
 # --- names and the supplementary bank ---------------------------------------------------
@@ -315,6 +309,9 @@ def detect_all(df: DataFrame, text: str = "text", out: str = "spans", prediction
     ``predictions`` names an optional column of model output, ``verdicts`` one of reviewed spans
     (both relative to the normalised text).  The normalised text replaces ``text``.
     """
+    if not predictions and not verdicts:
+        found = df.withColumn("_found", scanner.everything(F.col(text), use_nfkc))
+        return found.withColumns({text: F.col("_found.text"), out: F.col("_found.spans")}).drop("_found")
     base = df.withColumn(text, normalize_text(F.col(text), use_nfkc))
     base = detect_default(base, text, "_found")
     body = F.col(text)
