@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspan import lexicon as L
+from veilspan.functions import text as text_functions
 from veilspan.functions.text import normalize_text
 from veilspan.operators import detect, overlap
 
@@ -71,3 +72,17 @@ def test_empty_batches_and_long_texts(spark):
     assert detect.detect_all(df.where("text = ''")).count() == 0
     one, many = (detect.detect_all(x).select(F.size("spans")).first()[0] for x in (df.select(F.substring("text", 1, len(line) - 1).alias("text")), df))
     assert one > 4 and many == 3_000 * one
+
+
+def test_redaction_is_one_evaluation_a_text(spark):
+    """No pattern is a fold of its own, and a text may hold every private-use character."""
+    fences = "".join([chr(0xE000 + i) for i in range(8)] + [chr(0xF0000 + i) for i in range(24)])
+    texts = [(None,), ("",), (fences + "김민수 1234_5 a_b@c.kr",), ("01012345678 801010-1234567, http://가.나/다_1?x=é",), ("plain_1 ①②③④⑤",)]
+    df = spark.createDataFrame(texts, "text string").select("text", text_functions.redact(F.col("text")).alias("shown"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    assert out.getvalue().count("ArrowEvalPython") == 1 and "regexp_replace(" not in out.getvalue()
+    assert {r["text"]: r["shown"] for r in df.collect()} == {
+        None: None, "": "", fences + "김민수 1234_5 a_b@c.kr": fences + "XXX XXXX_5 X_X@X.XX",
+        "01012345678 801010-1234567, http://가.나/다_1?x=é": "XXXXXXXXXXX XXXXXX-XXXXXXX, XXXX://X.X/X_X?X=X", "plain_1 ①②③④⑤": "plain_1 ①②③④⑤"}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import lexicon as L
+from . import scanner
 from .arrays import bind
 from .finditer import FENCE, char_slice, fence_free, find_all, replace_all, split_on, unicode_regex
 
@@ -67,17 +68,6 @@ def normalize_text(text: Column, use_nfkc: bool = True) -> Column:
     return collapse_blanks(tighten_separators(drop_zero_width(ascii_confusables(base))))
 
 
-# a row takes the first of these that it does not hold
-_FENCES = [chr(0xE000 + i) for i in range(8)] + [chr(0xF0000 + i) for i in range(24)]
-
-
-def _absent_fence(text: Column) -> Column:
-    chain = F.when(~F.contains(text, F.lit(_FENCES[0])), F.lit(_FENCES[0]))
-    for fence in _FENCES[1:]:
-        chain = chain.when(~F.contains(text, F.lit(fence)), F.lit(fence))
-    return F.when(text.isNotNull(), F.coalesce(chain, F.raise_error(F.lit("every private-use fence occurs in the text"))))
-
-
 def _redact_one(text: Column, pattern: str, fence: Column) -> Column:
     # the text is an expression here: mention it once, so that the chain stays linear
     pieces = F.split(F.regexp_replace(text, F.lit(unicode_regex(pattern)), F.concat(fence, F.lit("$0"), fence)), fence, -1)
@@ -86,31 +76,9 @@ def _redact_one(text: Column, pattern: str, fence: Column) -> Column:
     return F.array_join(blanked, "")
 
 
-# What a text must hold for a pattern to match, in one cheap look.  Redaction only turns letters and digits into X, which
-# completes none of these, so all are asked of the text as it was given.
-_REDACTION_GATES = {
-    **dict.fromkeys(["phone", "resident", "card", "digits"], lambda t: t.rlike(r"\p{Nd}{4}")),
-    "email": lambda t: F.contains(t, F.lit("@")),
-    "url": lambda t: F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")),
-    "name": lambda t: t.rlike("[가-힣]{2}"),
-}
-
-
 def redact(text: Column) -> Column:
     """Length-preserving redaction: letters and digits of every hit become ``X``; all else stays."""
-    def one(t: Column, name: str, pattern: str, fence: Column, gates: Column) -> Column:
-        return bind(t, lambda u: F.when(gates[name], _redact_one(u, pattern, fence)).otherwise(u))
-
-    def run(t: Column, fence: Column, gates: Column) -> Column:
-        for name, pattern in L.REDACTION_BANK:
-            t = one(t, name, pattern, fence, gates)
-        return t
-
-    def given(t: Column) -> Column:
-        gates = F.struct(*[_REDACTION_GATES[name](t).alias(name) for name, _ in L.REDACTION_BANK])
-        return bind(F.struct(_absent_fence(t).alias("fence"), gates.alias("gates")), lambda g: run(t, g["fence"], g["gates"]))
-
-    return bind(text, given)
+    return scanner.redaction(text)
 
 
 def context_slice(text: Column, start: Column, end: Column, reach: int = L.CONTEXT_SLICE) -> Column:
