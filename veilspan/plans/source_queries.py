@@ -69,7 +69,7 @@ def src5(spark, folder):
 def src6(spark, folder):
     path = _fresh(spark, "bio")
     rows = sentences(spark, folder).where(F.size("tokens") > 0)
-    Tok.bio_lines(rows, "tokens", "gold").write.text(path)
+    Tok.bio_lines(rows, "tokens", "gold").write.option("compression", "gzip").text(path)
     back = Tok.read_bio(spark, path)
     return back.select(F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
