@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import make_span
-from veilspan.operators import masking
+from veilspan.operators import masking, transcripts
 from veilspan.sources import tokens, vault
 
 
@@ -73,3 +73,17 @@ def test_batches_of_lines(monkeypatch):
         batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string()))], names))
     got = [r for b in tokens._pieces(iter(batches)) for r in b.to_pylist()]
     assert len(got) == len(want) and {(r["path"], r["at"], r["gap"]): r["tokens"] for r in got} == want
+
+
+def test_a_merged_transcript_gathers_its_texts_once(spark, monkeypatch):
+    """Lines are neither numbered nor joined to their next ones: they are gathered as they are."""
+    said = [(True, "one  two three . four"), (False, "lost"), (True, "  "), (True, "Upper here"), (True, "lower here"), (None, "x"), (False, None), (False, None),
+            (True, ", comma"), (True, "end!"), (True, "after ?"), (False, "tail")]
+    rows = [(key, n, ok, text) for key in (1, 2) for n, (ok, text) in enumerate(said)] + [(3, 0, False, "x"), (3, 1, True, "only"), (4, 0, False, "x"), (None, 0, True, "no one's")]
+    tables, write = [], transcripts.written
+    monkeypatch.setattr(transcripts, "written", lambda df: tables.append(df.columns) or write(df))
+    df = transcripts.merged_transcript(spark.createDataFrame(rows, "rec_id long, chunk_index long, success boolean, text string").repartition(3))
+    whole = "one two three. four [...] Upper here. lower here [...] [...]., comma. end! after?"
+    assert sorted(map(tuple, df.collect())) == [(1, whole), (2, whole), (3, "only")]
+    # the texts as given, as numbered, and those that are asked for again with what is left of them
+    assert sum(bool({"text", "piece"} & set(t)) for t in tables) == 3

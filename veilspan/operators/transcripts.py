@@ -12,7 +12,7 @@ from ..functions.arrays import bind
 from ..functions.clocks import minute_clock, subtitle_clock
 from ..functions.text import bare_sentences, sentences, squeeze, strip, terminated_sentences, words
 from ..plans.chain import landed
-from ..plans.ordered import BLOCK, ROWS_PER_BLOCK, documents_from_lines, neighbours, positions, running
+from ..plans.ordered import BLOCK, ROWS_PER_BLOCK, documents_from_lines, positions, running
 from ..session import cut_lineage, written
 
 KEY = ["rec_id"]
@@ -297,24 +297,36 @@ def stitched_with_markers(results: DataFrame) -> DataFrame:
 
 
 def merged_transcript(results: DataFrame) -> DataFrame:
-    """One text per recording: prefix stitching, ``[...]`` for failed inner chunks, tidy punctuation."""
-    rows = written(positions(written(results.select(*KEY, "chunk_index", "success", "text")), KEY, ["chunk_index"], "row"))
-    last = rows.groupBy(*KEY).agg(F.max("row").alias("last"))
+    """One text per recording: prefix stitching, ``[...]`` for failed inner chunks, tidy punctuation.
+
+    A text is shuffled when it is numbered, compared, accepted and gathered; all else goes by its numbers.
+    """
     good = F.col("success") & (F.coalesce("text", F.lit("")) != "")
-    failed = rows.join(last, KEY).where(~good & (F.col("row") > 0) & (F.col("row") < F.col("last"))).select(
-        *KEY, "row", F.lit(L.MISSING_CHUNK).alias("piece"), F.lit(True).alias("gap"))
-    texts = stitched(rows.where(good).select(*KEY, F.col("row").alias("chunk_index"), "text"), cut_prefix)
-    kept = texts.where(~F.col("removed")).select(*KEY, F.col("chunk_index").alias("row"), F.col("text").alias("piece"), F.lit(False).alias("gap"))
-    lines = written(positions(written(kept.unionByName(failed)), KEY, ["row"], "pos"))
-    after = neighbours(lines, KEY, "pos", ["piece", "gap"], 1, "next_")
-    # a piece gets its full stop when the next recognised piece does not start in upper case
-    dotted = after.withColumn("piece", F.when(
-        F.col("next_piece").isNotNull() & ~F.col("next_gap") & ~F.col("piece").rlike(r"[.!?]\z")
-        & ~F.col("next_piece").rlike(r"\A\p{IsUppercase}"), F.concat("piece", F.lit("."))).otherwise(F.col("piece")))
-    tidy = F.regexp_replace(squeeze(F.col("piece")), " ([.,?!])", "$1")
-    spaced = dotted.withColumn("line", tidy).withColumn("line", F.when(
-        (F.col("pos") == 0) | F.col("line").rlike(r"\A[.,?!]"), F.col("line")).otherwise(F.concat(F.lit(" "), F.col("line"))))
-    return documents_from_lines(spaced, KEY, "pos", "line")
+    # a blank text is no failure, and is not said
+    made = written(results.select(*KEY, "chunk_index", (~good).alias("failed"), F.when(good, F.nullif(strip(F.col("text")), F.lit(""))).alias("text")))
+    counts = made.withColumns({"_one": F.lit(1).cast("long"), "_said": F.col("text").isNotNull().cast("long")})
+    # the chunk's place, and its place among those with a text, or that of the last one before it
+    rows = written(running(counts, KEY, ["chunk_index"], {"row": ("sum", "_one"), "pos": ("sum", "_said")}).select(
+        *KEY, (F.col("row") - 1).alias("row"), (F.col("pos") - 1).alias("pos"), "failed", "text"))
+    last = rows.groupBy(*KEY).agg(F.max("row").alias("last"))
+    failed = rows.select(*KEY, "row", "pos", "failed").join(last, KEY).where("failed AND row > 0 AND row < last").select(
+        *KEY, "pos", F.lit(True).alias("gap"), "row", F.lit(L.MISSING_CHUNK).alias("piece"))
+    added = _accepted(rows.where("text IS NOT NULL").select(*KEY, "pos", "text"), cut_prefix)
+    kept = added.select(*KEY, "pos", F.lit(False).alias("gap"), F.lit(0).cast("long").alias("row"), F.col("added").alias("piece"))
+    piece = F.col("piece")
+    pieces = kept.unionByName(failed).select(
+        *KEY, "pos", "gap", "row", piece.rlike(r"[.!?]\z").alias("ends"), piece.rlike(r"\A\p{IsUppercase}").alias("upper"),
+        F.regexp_replace(squeeze(piece), " ([.,?!])", "$1").alias("tidy"))
+
+    def line(p: Column, after: Column, i: Column) -> Column:
+        # a piece gets its full stop when the next recognised piece does not start in upper case
+        open_end = after.isNotNull() & ~after["gap"] & ~p["ends"] & ~after["upper"]
+        dotted = F.when(open_end, F.concat(p["tidy"], F.lit("."))).otherwise(p["tidy"])
+        return bind(dotted, lambda t: F.when((i == 0) | t.rlike(r"\A[.,?!]"), t).otherwise(F.concat(F.lit(" "), t)))
+
+    # a task holds the pieces of one text at a time, as in documents_from_lines
+    gathered = pieces.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "gap", "row", "ends", "upper", "tidy"))).alias("p"))
+    return gathered.select(*KEY, F.array_join(F.transform("p", lambda p, i: line(p, F.get("p", i + 1), i)), "").alias("text"))
 
 
 # --- rendering --------------------------------------------------------------------------

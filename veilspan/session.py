@@ -76,7 +76,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read back column by column."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veilspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
