@@ -309,12 +309,13 @@ def merged_transcript(results: DataFrame) -> DataFrame:
     rows = written(running(counts, KEY, ["chunk_index"], {"row": ("sum", "_one"), "pos": ("sum", "_said")}).select(
         *KEY, (F.col("row") - 1).alias("row"), (F.col("pos") - 1).alias("pos"), "failed", "text"))
     last = rows.groupBy(*KEY).agg(F.max("row").alias("last"))
-    failed = rows.select(*KEY, "row", "pos", "failed").join(last, KEY).where("failed AND row > 0 AND row < last").select(
-        *KEY, "pos", F.lit(True).alias("gap"), "row", F.lit(L.MISSING_CHUNK).alias("piece"))
+    failed = written(rows.select(*KEY, "row", "pos", "failed").join(last, KEY).where("failed AND row > 0 AND row < last").select(
+        *KEY, "pos", F.lit(True).alias("gap"), "row", F.lit(L.MISSING_CHUNK).alias("piece")))
     added = _accepted(rows.where("text IS NOT NULL").select(*KEY, "pos", "text"), cut_prefix)
     kept = added.select(*KEY, "pos", F.lit(False).alias("gap"), F.lit(0).cast("long").alias("row"), F.col("added").alias("piece"))
     piece = F.col("piece")
-    pieces = kept.unionByName(failed).select(
+    # written, so that what led to them can go
+    pieces = written(kept).unionByName(failed).select(
         *KEY, "pos", "gap", "row", piece.rlike(r"[.!?]\z").alias("ends"), piece.rlike(r"\A\p{IsUppercase}").alias("upper"),
         F.regexp_replace(squeeze(piece), " ([.,?!])", "$1").alias("tidy"))
 
