@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from veilspan import session
 from veilspan.functions.arrays import make_span
 from veilspan.operators import masking, transcripts
 from veilspan.sources import tokens, vault
@@ -82,8 +83,11 @@ def test_a_merged_transcript_gathers_its_texts_once(spark, monkeypatch):
     rows = [(key, n, ok, text) for key in (1, 2) for n, (ok, text) in enumerate(said)] + [(3, 0, False, "x"), (3, 1, True, "only"), (4, 0, False, "x"), (None, 0, True, "no one's")]
     tables, write = [], transcripts.written
     monkeypatch.setattr(transcripts, "written", lambda df: tables.append(df.columns) or write(df))
+    held = len(session._tables(spark))
     df = transcripts.merged_transcript(spark.createDataFrame(rows, "rec_id long, chunk_index long, success boolean, text string").repartition(3))
     whole = "one two three. four [...] Upper here. lower here [...] [...]., comma. end! after?"
     assert sorted(map(tuple, df.collect())) == [(1, whole), (2, whole), (3, "only")]
     # the texts as given, as numbered, those that are asked for again with what is left of them, the gaps, and the pieces
     assert sum(bool({"text", "piece"} & set(t)) for t in tables) <= 5
+    # of all tables the result reads the last two
+    assert len(session._tables(spark)) == held + 2

@@ -13,7 +13,7 @@ from ..functions.clocks import minute_clock, subtitle_clock
 from ..functions.text import bare_sentences, sentences, squeeze, strip, terminated_sentences, words
 from ..plans.chain import landed
 from ..plans.ordered import BLOCK, ROWS_PER_BLOCK, documents_from_lines, positions, running
-from ..session import cut_lineage, written
+from ..session import cut_lineage, discard, written
 
 KEY = ["rec_id"]
 SENTENCES = "array<struct<text:string,start_time:double,end_time:double>>"
@@ -236,26 +236,29 @@ def _with_next(texts: DataFrame) -> DataFrame:
     return spread.withColumn("_cur", F.lead("text").over(w)).where(F.col(BLOCK) == block).drop(BLOCK)
 
 
-def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column]) -> DataFrame:
+def _accepted(texts: DataFrame, cut: Callable[[Column, Column], Column], tables: list[DataFrame] | None = None) -> DataFrame:
     """``(rec_id, pos, added)`` for chunks that keep some text after their overlap with the last accepted one is cut.
 
     ``texts(rec_id, pos, text)`` with dense positions.  Each chunk's jump is its first follower
     that is not swallowed whole; nearly always the next one.  The few chunks whose next one is
     swallowed try the next 2, 8, 32, ... followers at once, so the rounds grow with the logarithm
     of a run of swallowed chunks.  A text equal to a swallowed one before it is swallowed too, so
-    a run of equal texts counts as one follower.
+    a run of equal texts counts as one follower.  ``tables`` gets what is written on the way and the result reads.
     """
+    tables = [] if tables is None else tables
     tried = _with_next(texts).withColumn("_cut", F.when(F.col("_cur").isNotNull(), cut(F.col("text"), F.col("_cur"))))
     ok = F.col("_cur").isNull() | (F.col("_cut") != "")
     differs = F.when(F.col("text") != F.col("_cur"), 1).otherwise(0).cast("long")
     # of the texts only those are kept that are asked for again
     first = written(tried.select(*KEY, "pos", "_cut", ok.alias("_ok"), differs.alias("_new"), F.when(~ok | (F.col("pos") == 0), F.col("text")).alias("text")))
+    tables.append(first)
     jumps = first.where("_ok").select(*KEY, "pos", (F.col("pos") + 1).alias("nxt"), "_cut")
     still_open, width = first.where("NOT _ok").select(*KEY, "pos", "text"), FOLLOWERS
     if not still_open.isEmpty():
         last = first.groupBy(*KEY).agg(F.max("pos").alias("_last"))
         before = running(first.select(*KEY, "pos", "_ok", "_new"), KEY, ["pos"], {"run": ("sum", "_new")}, inclusive=False)
         runs = written(before.withColumn("run", F.coalesce("run", F.lit(0).cast("long"))))
+        tables.append(runs)
         heads = cut_lineage(runs.groupBy(*KEY, "run").agg(F.min("pos").alias("_at")))
         followers = texts.select(*KEY, F.col("pos").alias("_at"), F.col("text").alias("_cur"))
         # the run of the next chunk is swallowed; the search goes on after it
@@ -308,14 +311,16 @@ def merged_transcript(results: DataFrame) -> DataFrame:
     # the chunk's place, and its place among those with a text, or that of the last one before it
     rows = written(running(counts, KEY, ["chunk_index"], {"row": ("sum", "_one"), "pos": ("sum", "_said")}).select(
         *KEY, (F.col("row") - 1).alias("row"), (F.col("pos") - 1).alias("pos"), "failed", "text"))
+    discard(made)
     last = rows.groupBy(*KEY).agg(F.max("row").alias("last"))
     failed = written(rows.select(*KEY, "row", "pos", "failed").join(last, KEY).where("failed AND row > 0 AND row < last").select(
         *KEY, "pos", F.lit(True).alias("gap"), "row", F.lit(L.MISSING_CHUNK).alias("piece")))
-    added = _accepted(rows.where("text IS NOT NULL").select(*KEY, "pos", "text"), cut_prefix)
-    kept = added.select(*KEY, "pos", F.lit(False).alias("gap"), F.lit(0).cast("long").alias("row"), F.col("added").alias("piece"))
+    added = _accepted(rows.where("text IS NOT NULL").select(*KEY, "pos", "text"), cut_prefix, tables := [rows])
+    kept = written(added.select(*KEY, "pos", F.lit(False).alias("gap"), F.lit(0).cast("long").alias("row"), F.col("added").alias("piece")))
+    # gaps and pieces are written: nothing reads what led to them
+    discard(*tables)
     piece = F.col("piece")
-    # written, so that what led to them can go
-    pieces = written(kept).unionByName(failed).select(
+    pieces = kept.unionByName(failed).select(
         *KEY, "pos", "gap", "row", piece.rlike(r"[.!?]\z").alias("ends"), piece.rlike(r"\A\p{IsUppercase}").alias("upper"),
         F.regexp_replace(squeeze(piece), " ([.,?!])", "$1").alias("tidy"))
 

@@ -78,7 +78,22 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/veilspan-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _tables(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._veilspan_path = path
+    return made
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made; no frame that is still to be computed may read them."""
+    for frame in frames:
+        if (path := vars(frame).get("_veilspan_path")) in _tables(frame.sparkSession):
+            _tables(frame.sparkSession).remove(path)
+            _delete(frame.sparkSession, path)
 
 
 def _tables(spark: SparkSession) -> list[str]:
@@ -92,6 +107,5 @@ def clean_up(spark: SparkSession) -> int:
     paths = _tables(spark)
     done = len(paths)
     while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(spark, paths.pop())
     return done
