@@ -89,11 +89,14 @@ def _delete(spark: SparkSession, name: str) -> None:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``written`` made; no frame that is still to be computed may read them."""
+    """Delete tables that ``written`` made, and shuffle files that are done with; no frame still to be computed may read the tables."""
     for frame in frames:
         if (path := vars(frame).get("_veilspan_path")) in _tables(frame.sparkSession):
             _tables(frame.sparkSession).remove(path)
             _delete(frame.sparkSession, path)
+    # shuffle files of the passes that wrote them stay until the driver collects its garbage
+    for spark in {frame.sparkSession for frame in frames}:
+        spark._jvm.System.gc()
 
 
 def _tables(spark: SparkSession) -> list[str]:
